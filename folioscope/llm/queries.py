@@ -7,10 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import encode, leaks, overlap, terms
+from folioscope.llm import encode, leaks, lookalikes, noise, overlap, terms
 from folioscope.session import table
 
 
+TEXT_FIELDS = ["text_raw", "text_normalized", "text_gt"]
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return lookalikes.differing_fields(table(spark, d, "run_lines"), ["run_id", "line_index"], TEXT_FIELDS).select("run_id", "line_index", "field")
+
+
+def p1_fields(spark: SparkSession, d: str) -> DataFrame:
+    return lookalikes.normalize_fields(table(spark, d, "run_lines").select("run_id", "line_index", *TEXT_FIELDS).distinct(), TEXT_FIELDS)
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return terms.term_frequencies(table(spark, d, "corpus_lines"), "line_id", "text").where("mark is not null").select("term", "mark")
 
@@ -28,6 +39,15 @@ def p4_report(spark: SparkSession, d: str) -> DataFrame:
     return overlap.overlap_report(overlap.find_overlaps(table(spark, d, "corpus_lines"), table(spark, d, "dataset_manifest")))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    found = noise.line_noise(*(table(spark, d, t) for t in ("run_lines", "lexicon", "runs", "name_forms")))
+    return found.select("run_id", "line_index", "noise").distinct()
+
+
+def p5_text(spark: SparkSession, d: str) -> DataFrame:
+    return noise.repaired_lines(*(table(spark, d, t) for t in ("run_lines", "lexicon", "runs", "name_forms")))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode.encode_ids(table(spark, d, "documents"), vocabulary=encode.vocabulary_path())
 
@@ -37,4 +57,4 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_frequencies, p4_found, p4_report, p6_ids, p7_found)}
+    return {f.__name__: f for f in (p1_found, p1_fields, p2_found, p2_frequencies, p4_found, p4_report, p5_found, p5_text, p6_ids, p7_found)}
