@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import encode, leaks, lookalikes, noise, overlap, terms
+from folioscope.llm import encode, leaks, lookalikes, noise, overlap, privacy, terms
 from folioscope.session import table
 
 
@@ -56,5 +56,13 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return privacy.find_personal(table(spark, d, "documents"), table(spark, d, "name_forms")).select("doc_id", "pii_kind", "start_pos")
+
+
+def p8_text(spark: SparkSession, d: str) -> DataFrame:
+    return privacy.redact_personal(table(spark, d, "documents"), table(spark, d, "name_forms"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_fields, p2_found, p2_frequencies, p4_found, p4_report, p5_found, p5_text, p6_ids, p7_found)}
+    return {f.__name__: f for f in (p1_found, p1_fields, p2_found, p2_frequencies, p4_found, p4_report, p5_found, p5_text, p6_ids, p7_found, p8_found, p8_text)}
