@@ -7,14 +7,15 @@ Method: an exact prefix-filter join on rare shingles between the two sides.
 1. Distinct texts: copies are joined once. A shingle is a run of Q characters, hashed to one of 2^18 numbers
    (equal runs have equal numbers, so a collision only adds candidates). Shingle counts over all texts,
    a table of at most 2^18 numbers, give one order from rare to common.
-2. Prefix: one edit destroys at most Q overlapping shingles, and shingles that do not overlap need an
-   edit each. The prefix of a text is its rarest shingles up to the point where destroying all of them
-   takes more edits than a partner that is no longer may differ by. If the longer of two similar texts
-   loses fewer, one shingle of its prefix stands in the other, shifted by no more than the distance. (Texts from
-   `MIN_CHARS` on always have such a prefix.)
+2. Prefix: of every text as many shingles as its edit limit and one more, which do not overlap, the rarest
+   such set. Each edit destroys one of them at most, so if the longer of two similar texts
+   loses no more than its limit, one of its prefix shingles stands in the other. (A text of `MIN_CHARS` or more
+   always has room for them.)
 3. Join: shingles are spread over buckets, evaluation texts also over blocks of bounded size. A task takes one
-   bucket of one block: it indexes the evaluation side, then streams train texts past it. Length and position filters come first, then
-   a bound from 512-bit shingle signatures, at last the edit distance itself.
+   bucket of one block: it indexes the evaluation side, then streams train texts past it. Length and position
+   filters come first: the k-th prefix shingle counts only if it is shifted by less than k places as seen from
+   the beginning, and by no more than the limit and one less k as seen from the end; some shingle of a similar pair is so.
+   Then a bound from 512-bit shingle signatures, at last the edit distance itself.
 4. Pairs of texts are joined back to line ids.
 
 A shingle that a third of the texts share is common, so it is in few prefixes; its postings on the
@@ -34,7 +35,7 @@ from folioscope.session import cut
 
 Q, SHINGLE_BITS, SIGNATURE_WORDS = 4, 18, 8
 MIN_CHARS, SHARE = 20, 5  # a text counts from MIN_CHARS characters on; the distance is at most 1/SHARE of the longer
-BUCKETS, BLOCK_TEXTS = 32, 40_000
+BUCKETS, BLOCK_TEXTS, EXACT_LENGTH = 24, 40_000, 400
 _CHUNK = 2_000_000  # candidate postings handled at once in a task
 
 
@@ -56,24 +57,34 @@ def signature(text: str) -> bytes:
     return np.packbits(bits).tobytes()
 
 
-def prefix_length(positions: np.ndarray, edits: int, q: int = Q) -> int:
-    """How many of the shingles at `positions`, rarest first, take more than `edits` edits to destroy."""
+def prefixes(counts: np.ndarray, k: int, q: int = Q) -> np.ndarray:
+    """Marks the rarest k shingles that do not overlap, for texts of one length: rows of shingle counts to rows of 0 and 1.
 
-    def needed(k: int) -> int:
-        n, end = 0, -1
-        for p in sorted(positions[:k]):
-            if p > end:
-                n, end = n + 1, p + q - 1
-        return n
-
-    low, high = min(edits + 1, len(positions)), len(positions)
-    while low < high:
-        middle = (low + high) // 2
-        if needed(middle) > edits:
-            high = middle
-        else:
-            low = middle + 1
-    return low
+    Least sum of counts by dynamic programming; beyond `EXACT_LENGTH` places the rarest in each of k equal
+    stretches, as any k that do not overlap will do.
+    """
+    rows, n = counts.shape
+    chosen = np.zeros((rows, n), np.int8)
+    if n > EXACT_LENGTH:
+        edge = np.linspace(0, n + q - 1, k + 1).astype(np.int64)
+        for a, z in zip(edge, edge[1:]):
+            best = a + np.argmin(counts[:, a : max(z - q + 1, a + 1)], axis=1)
+            chosen[np.arange(rows), best] = 1
+        return chosen
+    # cost[i][j]: least sum of j shingles that begin before place i - q + 1 and end before place i.
+    cost = np.full((n + q, k + 1, rows), np.inf, np.float32)
+    cost[:, 0] = 0
+    for i in range(1, n + 1):
+        cost[i + q - 1, 1:] = np.minimum(cost[i + q - 2, 1:], cost[i - 1, :-1] + counts[:, i - 1])
+    at, left = np.full(rows, n + q - 1), np.full(rows, k)
+    row = np.arange(rows)
+    for i in range(n, 0, -1):
+        here = (at >= i + q - 1) & (left > 0)
+        take = here & (cost[i + q - 1, left, row] < cost[i + q - 2, left, row])
+        chosen[take, i - 1] = 1
+        at = np.where(take, i - 1, at)
+        left = left - take
+    return chosen
 
 
 def edit_distance(a: str, b: str, limit: int) -> int:
@@ -120,47 +131,60 @@ def _count_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def _post(frequency, buckets: int, blocks: int):
-    """Texts to (bucket, block, side, text, signature, shingles, positions, in prefix) rows."""
-    names = ["bucket", "block", "side", "text", "sig", "g", "p", "l"]
-
+    """Texts to (bucket, block, side, text, signature, shingles, positions, rank in the prefix or 0) rows."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         counts = frequency.value
         for batch in batches:
+            by_length: dict[int, list[int]] = {}
+            texts, train, held = (c.to_pylist() for c in batch.columns)
+            for i, t in enumerate(texts):
+                by_length.setdefault(len(t), []).append(i)
             rows: list[tuple] = []
-            for text, train, held in zip(*(c.to_pylist() for c in batch.columns)):
-                g = shingles(text).astype(np.int32)
-                order = np.lexsort((g, counts[g]))
-                in_prefix = np.zeros(len(g), np.int8)
-                in_prefix[order[: prefix_length(order, len(text) // SHARE)]] = 1
-                bucket, sig = g % buckets, signature(text)
-                for b in np.unique(bucket):
-                    mine = bucket == b
-                    row = (text, sig, g[mine].tolist(), np.nonzero(mine)[0].tolist(), in_prefix[mine].tolist())
-                    if held:
-                        rows.append((int(b), xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) % blocks, 0, *row))
-                    if train:
-                        rows.extend((int(b), k, 1, *row) for k in range(blocks))
-                if len(rows) > 20_000:
-                    yield _to_batch(rows, names)
-                    rows = []
-            yield _to_batch(rows, names)
+            for length, members in sorted(by_length.items()):
+                for at in range(0, len(members), 512):
+                    some = members[at : at + 512]
+                    grams = np.stack([shingles(texts[i]).astype(np.int32) for i in some])
+                    chosen = prefixes(counts[grams].astype(np.float32), length // SHARE + 1)
+                    rank = chosen * np.cumsum(chosen, axis=1, dtype=np.int32)
+                    for i, g, l in zip(some, grams, rank):
+                        text, bucket = texts[i], g % buckets
+                        order = np.argsort(bucket, kind="stable")
+                        edges = np.nonzero(np.diff(bucket[order], prepend=-1))[0].tolist() + [len(g)]
+                        block = xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) % blocks
+                        sig, sorted_g, sorted_l = signature(text), g[order], l[order]
+                        for a, z in zip(edges, edges[1:]):
+                            row = (text, sig, sorted_g[a:z], order[a:z], sorted_l[a:z])
+                            b = int(bucket[order[a]])
+                            if held[i]:
+                                rows.append((b, block, 0, *row))
+                            if train[i]:
+                                rows.extend((b, k, 1, *row) for k in range(blocks))
+                    if len(rows) > 20_000:
+                        yield _to_batch(rows)
+                        rows = []
+            yield _to_batch(rows)
 
     return run
 
 
-_POST = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("side", pa.int32()), ("text", pa.string()), ("sig", pa.binary()), ("g", pa.list_(pa.int32())), ("p", pa.list_(pa.int32())), ("l", pa.list_(pa.int8()))])
-_POST_DDL = "bucket int, block int, side int, text string, sig binary, g array<int>, p array<int>, l array<tinyint>"
+_POST = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("side", pa.int32()), ("text", pa.string()), ("sig", pa.binary()), ("g", pa.list_(pa.int32())), ("p", pa.list_(pa.int32())), ("l", pa.list_(pa.int32()))])
+_POST_DDL = "bucket int, block int, side int, text string, sig binary, g array<int>, p array<int>, l array<int>"
 
 
-def _to_batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
-    columns = list(zip(*rows)) if rows else [[] for _ in names]
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _POST)], schema=_POST)
+def _to_batch(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows)) if rows else [()] * 8
+    out = [pa.array(c, f.type) for c, f in zip(columns[:5], _POST)]
+    ends = np.concatenate([[0], np.cumsum([len(x) for x in columns[5]])]).astype(np.int32)
+    for c in columns[5:]:
+        flat = np.concatenate(c).astype(np.int32) if c else np.zeros(0, np.int32)
+        out.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)))
+    return pa.RecordBatch.from_arrays(out, schema=_POST)
 
 
 class _Side:
-    """Postings of some texts: text number, shingle, position, in prefix."""
+    """Postings of some texts: text number, shingle, position, rank in the prefix (0 outside it)."""
 
     def __init__(self, batch: pa.Table | pa.RecordBatch) -> None:
         self.texts = batch.column("text").to_pylist()
@@ -172,28 +196,30 @@ class _Side:
         self.g = g.flatten().to_numpy().astype(np.int64)
         p, l = (batch.column(c) for c in ("p", "l"))
         p, l = (c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in (p, l))
-        self.p, self.l = p.flatten().to_numpy().astype(np.int64), l.flatten().to_numpy() == 1
-
-    def take(self, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        return self.owner[keep], self.g[keep], self.p[keep]
+        self.p, self.l = p.flatten().to_numpy().astype(np.int64), l.flatten().to_numpy().astype(np.int64)
 
 
 class _Index:
-    """Evaluation postings sorted by shingle and text length."""
+    """Evaluation postings sorted by shingle and position."""
 
     def __init__(self, side: _Side, keep: np.ndarray) -> None:
         self.side = side
-        owner, g, p = side.take(keep)
-        key = g << 32 | side.length[owner]
+        key = side.g[keep] << 32 | side.p[keep]
         order = np.argsort(key, kind="stable")
-        self.key, self.owner, self.p = key[order], owner[order], p[order]
+        self.key, self.owner, self.p, self.l = key[order], side.owner[keep][order], side.p[keep][order], side.l[keep][order]
+
+    def candidates(self, probe: _Side, keep: np.ndarray, longer: bool) -> set[tuple[int, int]]:
+        """(evaluation text, train text) that pass the length, position and signature filters.
 
-    def candidates(self, probe: _Side, keep: np.ndarray, low, high) -> set[tuple[int, int]]:
-        """(evaluation text, train text) that pass the length, position and signature filters."""
-        owner, g, p = probe.take(keep)
+        longer: the evaluation text is the longer or as long, and its postings are those of its prefix;
+        else the train text is strictly longer and the probe's postings are those of its prefix.
+        """
+        owner, g, p, rank = probe.owner[keep], probe.g[keep], probe.p[keep], probe.l[keep]
         length = probe.length[owner]
-        first = np.searchsorted(self.key, g << 32 | low(length), "left")
-        count = np.maximum(np.searchsorted(self.key, g << 32 | high(length), "right") - first, 0)
+        # The limit of the longer text bounds the shift; the longer has 5/4 of the other's length at most.
+        reach = length // (SHARE - 1) if longer else length // SHARE
+        first = np.searchsorted(self.key, g << 32 | np.maximum(p - reach, 0), "left")
+        count = np.maximum(np.searchsorted(self.key, g << 32 | p + reach, "right") - first, 0)
         out: set[tuple[int, int]] = set()
         total = np.concatenate([[0], np.cumsum(count)])
         start = 0
@@ -201,17 +227,23 @@ class _Index:
             stop = max(start + 1, int(np.searchsorted(total, total[start] + _CHUNK, "right")) - 1)
             n = count[start:stop]
             t = np.repeat(np.arange(start, stop), n)
-            at = np.arange(total[stop] - total[start]) - np.repeat(total[start:stop] - total[start], n) + np.repeat(first[start:stop], n)
-            limit = np.maximum(self.side.length[self.owner[at]], length[t]) // SHARE
-            near = np.abs(self.p[at] - p[t]) <= limit
-            e, r, limit = self.owner[at[near]], owner[t[near]], limit[near]
-            pair, once = np.unique(e * len(probe.texts) + r, return_index=True)
-            e, r, limit = e[once], r[once], limit[once]
-            a, b = self.side.sig[e], probe.sig[r]
+            at = np.arange(total[stop] - total[start]) + np.repeat(first[start:stop] - (total[start:stop] - total[start]), n)
+            start = stop
+            own, other = self.side.length[self.owner[at]], length[t]
+            shift = p[t] - self.p[at]
+            if longer:
+                limit, k, gap, ok = own // SHARE, self.l[at], other - own, own >= other
+            else:
+                limit, k, gap, ok = other // SHARE, rank[t], other - own, own < other
+            # Seen from the beginning and from the end; for the longer text's k-th prefix shingle.
+            ok &= (np.abs(shift) < k) & (np.abs(shift - gap) <= limit + 1 - k) & (np.abs(gap) <= limit)
+            e, r, limit = self.owner[at[ok]], owner[t[ok]], limit[ok]
             # One edit destroys three runs of three characters at most, on either side.
-            ok = (np.bitwise_count(a & ~b).sum(1, dtype=np.int64) <= 3 * limit) & (np.bitwise_count(b & ~a).sum(1, dtype=np.int64) <= 3 * limit)
+            a, b = self.side.sig[e], probe.sig[r]
+            ok = np.bitwise_count(a & ~b).sum(1, dtype=np.int64) <= 3 * limit
+            e, r, limit, a, b = e[ok], r[ok], limit[ok], a[ok], b[ok]
+            ok = np.bitwise_count(b & ~a).sum(1, dtype=np.int64) <= 3 * limit
             out.update(zip(e[ok].tolist(), r[ok].tolist()))
-            start = stop
         return out
 
 
@@ -234,11 +266,9 @@ def _join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             if index is None:
                 side = _Side(pa.Table.from_batches(held))
-                index = _Index(side, side.l), _Index(side, np.ones(len(side.g), bool))
+                index = _Index(side, side.l > 0), _Index(side, side.l >= 0)
             probe = _Side(part)
-            # The evaluation text is the longer or as long: its prefix against all train shingles; else the other way.
-            found = index[0].candidates(probe, np.ones(len(probe.g), bool), lambda n: n, lambda n: n * SHARE // (SHARE - 1))
-            found |= index[1].candidates(probe, probe.l, lambda n: n - n // SHARE, lambda n: n - 1)
+            found = index[0].candidates(probe, probe.l >= 0, True) | index[1].candidates(probe, probe.l > 0, False)
             rows = []
             for e, t in found:
                 x, y = index[0].side.texts[e], probe.texts[t]
