@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from folioscope.operators import compact
+from folioscope.plans.reference import QUERIES
 from folioscope.session import fresh_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,4 +30,4 @@ FROM f WHERE split <> '' AND digits <> '' GROUP BY split, CAST(digits AS BIGINT)
 
 
 def catalogue() -> dict[str, tuple[Query, str | None]]:
-    return {"p3_found": (p3_found, P3_FOUND_SQL)}
+    return QUERIES | {"p3_found": (p3_found, P3_FOUND_SQL)}
