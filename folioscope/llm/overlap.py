@@ -15,7 +15,7 @@ Method: an exact prefix-filter join on rare shingles between the two sides.
    bucket of one block: it indexes the evaluation side, then streams train texts past it. Length and position
    filters come first: the k-th prefix shingle counts only if it is shifted by less than k places as seen from
    the beginning, and by no more than the limit and one less k as seen from the end; some shingle of a similar pair is so.
-   Then a bound from 512-bit shingle signatures, at last the edit distance itself.
+   Then bounds from bit signatures of shorter shingles, at last the edit distance itself.
 4. Pairs of texts are joined back to line ids.
 
 A shingle that a third of the texts share is common, so it is in few prefixes; its postings on the
@@ -33,28 +33,50 @@ from pyspark.sql import functions as F
 
 from folioscope.session import cut
 
-Q, SHINGLE_BITS, SIGNATURE_WORDS = 4, 18, 8
+Q, SHINGLE_BITS, SIGNATURE_WORDS = 4, 18, 16
 MIN_CHARS, SHARE = 20, 5  # a text counts from MIN_CHARS characters on; the distance is at most 1/SHARE of the longer
 BUCKETS, BLOCK_TEXTS, EXACT_LENGTH = 24, 40_000, 400
-_CHUNK = 2_000_000  # candidate postings handled at once in a task
+_CHUNK = 1_000_000  # candidate postings handled at once in a task
 
 
-def shingles(text: str, q: int = Q) -> np.ndarray:
-    """Numbers of the runs of q characters, by position."""
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    n = len(points) - q + 1
-    h = np.zeros(max(n, 0), np.uint64)
+def code_points(texts: list[str]) -> np.ndarray:
+    """Texts of one length as rows of code points."""
+    flat = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    return flat.reshape(len(texts), -1).astype(np.uint64)
+
+
+def shingles(points: np.ndarray, q: int = Q) -> np.ndarray:
+    """Numbers of the runs of q characters by position, for rows of code points."""
+    n = max(points.shape[1] - q + 1, 0)
+    h = np.zeros((len(points), n), np.uint64)
     with np.errstate(over="ignore"):
         for k in range(q):
-            h = h * np.uint64(0x100000001B3) + points[k : k + len(h)]
+            h = h * np.uint64(0x100000001B3) + points[:, k : k + n]
         return (h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SHINGLE_BITS)
 
 
-def signature(text: str) -> bytes:
-    """512 bits, one set for each distinct run of three characters."""
-    bits = np.zeros(64 * SIGNATURE_WORDS, np.uint8)
-    bits[shingles(text, 3) % np.uint64(64 * SIGNATURE_WORDS)] = 1
-    return np.packbits(bits).tobytes()
+def signatures(points: np.ndarray) -> np.ndarray:
+    """Rows of 512 bits for the runs of two characters, then 512 for those of three; the n-th occurrence of a run has a bit of its own."""
+    rows, size = len(points), 32 * SIGNATURE_WORDS
+    bits = np.zeros((rows, 2, size), np.uint8)
+    row = np.arange(rows)[:, None]
+    for half, q in enumerate((2, 3)):
+        g = np.sort(shingles(points, q), axis=1)
+        place = np.broadcast_to(np.arange(g.shape[1]), g.shape)
+        fresh = np.ones(g.shape, bool)
+        fresh[:, 1:] = g[:, 1:] != g[:, :-1]
+        nth = place - np.maximum.accumulate(np.where(fresh, place, 0), axis=1)
+        with np.errstate(over="ignore"):
+            bit = ((g + nth.astype(np.uint64) * np.uint64(0x9E3779B1)) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(55)
+        bits[row, half, bit.astype(np.int64)] = 1
+    return np.packbits(bits.reshape(rows, -1), axis=1)
+
+
+def within_bound(a: np.ndarray, b: np.ndarray, limit: np.ndarray) -> np.ndarray:
+    """Where two signatures allow a distance up to `limit`: an edit destroys q runs of q characters at most."""
+    half = SIGNATURE_WORDS // 2
+    gone = np.bitwise_count(a & ~b)
+    return (gone[:, :half].sum(1, dtype=np.int64) <= 2 * limit) & (gone[:, half:].sum(1, dtype=np.int64) <= 3 * limit)
 
 
 def prefixes(counts: np.ndarray, k: int, q: int = Q) -> np.ndarray:
@@ -121,50 +143,60 @@ def edit_distance(a: str, b: str, limit: int) -> int:
     return score
 
 
+def _by_length(texts: list[str], most: int = 2_000_000) -> Iterator[list[int]]:
+    """Places of texts of one length, in groups of bounded total length."""
+    groups: dict[int, list[int]] = {}
+    for i, t in enumerate(texts):
+        groups.setdefault(len(t), []).append(i)
+    for length, members in sorted(groups.items()):
+        step = max(1, min(1024, most // (20 * length)))
+        for at in range(0, len(members), step):
+            yield members[at : at + step]
+
+
 def _count_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros(1 << SHINGLE_BITS, np.int64)
     for batch in batches:
-        for text in batch.column(0).to_pylist():
-            np.add.at(counts, np.unique(shingles(text)).astype(np.int64), 1)
+        texts = batch.column(0).to_pylist()
+        for some in _by_length(texts):
+            counts += np.bincount(shingles(code_points([texts[i] for i in some])).ravel().astype(np.int64), minlength=len(counts))
     at = np.nonzero(counts)[0]
     yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at])], ["g", "n"])
 
 
 def _post(frequency, buckets: int, blocks: int):
     """Texts to (bucket, block, side, text, signature, shingles, positions, rank in the prefix or 0) rows."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         counts = frequency.value
         for batch in batches:
-            by_length: dict[int, list[int]] = {}
-            texts, train, held = (c.to_pylist() for c in batch.columns)
-            for i, t in enumerate(texts):
-                by_length.setdefault(len(t), []).append(i)
-            rows: list[tuple] = []
-            for length, members in sorted(by_length.items()):
-                for at in range(0, len(members), 512):
-                    some = members[at : at + 512]
-                    grams = np.stack([shingles(texts[i]).astype(np.int32) for i in some])
-                    chosen = prefixes(counts[grams].astype(np.float32), length // SHARE + 1)
-                    rank = chosen * np.cumsum(chosen, axis=1, dtype=np.int32)
-                    for i, g, l in zip(some, grams, rank):
-                        text, bucket = texts[i], g % buckets
-                        order = np.argsort(bucket, kind="stable")
-                        edges = np.nonzero(np.diff(bucket[order], prepend=-1))[0].tolist() + [len(g)]
-                        block = xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) % blocks
-                        sig, sorted_g, sorted_l = signature(text), g[order], l[order]
-                        for a, z in zip(edges, edges[1:]):
-                            row = (text, sig, sorted_g[a:z], order[a:z], sorted_l[a:z])
-                            b = int(bucket[order[a]])
-                            if held[i]:
-                                rows.append((b, block, 0, *row))
-                            if train[i]:
-                                rows.extend((b, k, 1, *row) for k in range(blocks))
-                    if len(rows) > 20_000:
-                        yield _to_batch(rows)
-                        rows = []
-            yield _to_batch(rows)
+            texts, train, held = batch.column(0).to_pylist(), *(batch.column(i).to_numpy(zero_copy_only=False).astype(bool) for i in (1, 2))
+            for some in _by_length(texts):
+                points = code_points([texts[i] for i in some])
+                g = shingles(points).astype(np.int32)
+                chosen = prefixes(counts[g].astype(np.float32), points.shape[1] // SHARE + 1)
+                rank = chosen * np.cumsum(chosen, axis=1, dtype=np.int32)
+                order = np.argsort(g % buckets, axis=1, kind="stable").astype(np.int32)
+                g, rank = np.take_along_axis(g, order, 1), np.take_along_axis(rank, order, 1)
+                bucket = g % buckets
+                first = np.ones(g.shape, bool)
+                first[:, 1:] = bucket[:, 1:] != bucket[:, :-1]
+                begin = np.nonzero(first.ravel())[0]
+                owner = begin // g.shape[1]
+                ends = pa.array(np.append(begin, g.size).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(ends, pa.array(x.ravel())) for x in (g, order, rank)]
+                own = pa.array([texts[i] for i in some], pa.string()).take(pa.array(owner))
+                sig = pa.array([r.tobytes() for r in signatures(points)], pa.binary()).take(pa.array(owner))
+                block = np.array([xxhash.xxh64_intdigest(texts[i].encode("utf-8", "surrogatepass")) % blocks for i in some], np.int32)[owner]
+                at = pa.array(bucket.ravel()[begin])
+                for side, member in ((0, held), (1, train)):
+                    keep = pa.array(member[np.array(some)][owner])
+                    for k in range(blocks if side else 1):
+                        place = pa.array(np.full(len(begin), k, np.int32)) if side else pa.array(block)
+                        whole = pa.RecordBatch.from_arrays([at, place, pa.array(np.full(len(begin), side, np.int32)), own, sig, *lists], schema=_POST)
+                        yield whole.filter(keep)
 
     return run
 
@@ -173,16 +205,6 @@ _POST = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("side", pa.in
 _POST_DDL = "bucket int, block int, side int, text string, sig binary, g array<int>, p array<int>, l array<int>"
 
 
-def _to_batch(rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows)) if rows else [()] * 8
-    out = [pa.array(c, f.type) for c, f in zip(columns[:5], _POST)]
-    ends = np.concatenate([[0], np.cumsum([len(x) for x in columns[5]])]).astype(np.int32)
-    for c in columns[5:]:
-        flat = np.concatenate(c).astype(np.int32) if c else np.zeros(0, np.int32)
-        out.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)))
-    return pa.RecordBatch.from_arrays(out, schema=_POST)
-
-
 class _Side:
     """Postings of some texts: text number, shingle, position, rank in the prefix (0 outside it)."""
 
@@ -200,50 +222,52 @@ class _Side:
 
 
 class _Index:
-    """Evaluation postings sorted by shingle and position."""
+    """All postings of some texts, sorted by shingle and distance from the beginning, and by shingle and distance from the end."""
 
-    def __init__(self, side: _Side, keep: np.ndarray) -> None:
+    def __init__(self, side: _Side) -> None:
         self.side = side
-        key = side.g[keep] << 32 | side.p[keep]
-        order = np.argsort(key, kind="stable")
-        self.key, self.owner, self.p, self.l = key[order], side.owner[keep][order], side.p[keep][order], side.l[keep][order]
+        self.sorted = []
+        for place in (side.p, side.length[side.owner] - side.p):
+            key = side.g << 32 | place
+            order = np.argsort(key, kind="stable")
+            self.sorted.append((key[order], side.owner[order], side.p[order]))
 
-    def candidates(self, probe: _Side, keep: np.ndarray, longer: bool) -> set[tuple[int, int]]:
-        """(evaluation text, train text) that pass the length, position and signature filters.
+    def candidates(self, probe: _Side, strict: bool) -> list[tuple[int, int]]:
+        """(text of the index, text of the probe) where the probe's is the longer (or as long, unless strict).
 
-        longer: the evaluation text is the longer or as long, and its postings are those of its prefix;
-        else the train text is strictly longer and the probe's postings are those of its prefix.
+        Prefix shingles of the probe's texts look for themselves: those of the first half at nearly the
+        same distance from the beginning, the others from the end.
         """
-        owner, g, p, rank = probe.owner[keep], probe.g[keep], probe.p[keep], probe.l[keep]
-        length = probe.length[owner]
-        # The limit of the longer text bounds the shift; the longer has 5/4 of the other's length at most.
-        reach = length // (SHARE - 1) if longer else length // SHARE
-        first = np.searchsorted(self.key, g << 32 | np.maximum(p - reach, 0), "left")
-        count = np.maximum(np.searchsorted(self.key, g << 32 | p + reach, "right") - first, 0)
-        out: set[tuple[int, int]] = set()
-        total = np.concatenate([[0], np.cumsum(count)])
-        start = 0
-        while start < len(count):
-            stop = max(start + 1, int(np.searchsorted(total, total[start] + _CHUNK, "right")) - 1)
-            n = count[start:stop]
-            t = np.repeat(np.arange(start, stop), n)
-            at = np.arange(total[stop] - total[start]) + np.repeat(first[start:stop] - (total[start:stop] - total[start]), n)
-            start = stop
-            own, other = self.side.length[self.owner[at]], length[t]
-            shift = p[t] - self.p[at]
-            if longer:
-                limit, k, gap, ok = own // SHARE, self.l[at], other - own, own >= other
-            else:
-                limit, k, gap, ok = other // SHARE, rank[t], other - own, own < other
-            # Seen from the beginning and from the end; for the longer text's k-th prefix shingle.
-            ok &= (np.abs(shift) < k) & (np.abs(shift - gap) <= limit + 1 - k) & (np.abs(gap) <= limit)
-            e, r, limit = self.owner[at[ok]], owner[t[ok]], limit[ok]
-            # One edit destroys three runs of three characters at most, on either side.
-            a, b = self.side.sig[e], probe.sig[r]
-            ok = np.bitwise_count(a & ~b).sum(1, dtype=np.int64) <= 3 * limit
-            e, r, limit, a, b = e[ok], r[ok], limit[ok], a[ok], b[ok]
-            ok = np.bitwise_count(b & ~a).sum(1, dtype=np.int64) <= 3 * limit
-            out.update(zip(e[ok].tolist(), r[ok].tolist()))
+        out: list[tuple[int, int]] = []
+        limit = probe.length[probe.owner] // SHARE
+        front = probe.l - 1 <= limit + 1 - probe.l
+        for (keys, owners, places), half, place, reach in (
+            (self.sorted[0], front & (probe.l > 0), probe.p, probe.l - 1),
+            (self.sorted[1], ~front & (probe.l > 0), probe.length[probe.owner] - probe.p, limit + 1 - probe.l),
+        ):
+            g, at, width = probe.g[half] << 32, place[half], reach[half]
+            first = np.searchsorted(keys, g | np.maximum(at - width, 0), "left")
+            count = np.maximum(np.searchsorted(keys, g | (at + width), "right") - first, 0)
+            total = np.concatenate([[0], np.cumsum(count)])
+            own, p, k, tau = probe.owner[half], probe.p[half], probe.l[half], limit[half]
+            start = 0
+            while start < len(count):
+                stop = max(start + 1, int(np.searchsorted(total, total[start] + _CHUNK, "right")) - 1)
+                n = count[start:stop]
+                t = np.repeat(np.arange(start, stop), n)
+                e = np.arange(total[stop] - total[start]) + np.repeat(first[start:stop] - (total[start:stop] - total[start]), n)
+                start = stop
+                other, mine = owners[e], own[t]
+                gap = self.side.length[other] - probe.length[mine]
+                near = (gap < 0 if strict else gap <= 0) & (-gap <= tau[t])
+                e, t, other, mine, gap = e[near], t[near], other[near], mine[near], gap[near]
+                shift = places[e] - p[t]
+                ok = (np.abs(shift) < k[t]) & (np.abs(shift - gap) <= tau[t] + 1 - k[t])
+                other, mine, bound = other[ok], mine[ok], tau[t[ok]]
+                ok = within_bound(probe.sig[mine], self.side.sig[other], bound)
+                other, mine, bound = other[ok], mine[ok], bound[ok]
+                ok = within_bound(self.side.sig[other], probe.sig[mine], bound)
+                out += zip(other[ok].tolist(), mine[ok].tolist())
         return out
 
 
@@ -265,13 +289,13 @@ def _join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not held:
                 continue
             if index is None:
-                side = _Side(pa.Table.from_batches(held))
-                index = _Index(side, side.l > 0), _Index(side, side.l >= 0)
+                index = _Index(_Side(pa.Table.from_batches(held)))
             probe = _Side(part)
-            found = index[0].candidates(probe, probe.l >= 0, True) | index[1].candidates(probe, probe.l > 0, False)
+            # Either text may be the longer, whose prefix then decides.
+            found = set(index.candidates(probe, strict=True)) | {(e, t) for t, e in _Index(probe).candidates(index.side, strict=False)}
             rows = []
             for e, t in found:
-                x, y = index[0].side.texts[e], probe.texts[t]
+                x, y = index.side.texts[e], probe.texts[t]
                 limit = max(len(x), len(y)) // SHARE
                 d = edit_distance(x, y, limit)
                 if d <= limit:
