@@ -27,7 +27,7 @@ def _files(df: DataFrame) -> DataFrame:
     """Usable files with the split and number that their paths name."""
     path = F.regexp_replace("file_path", r"\\", "/")
     name = F.regexp_extract(path, r"(?i)(?:^|/)line_(\d+)[^/]*\.(?:png|gt\.txt)\s*$", 1)
-    split = F.lower(F.regexp_extract(path, r"(?i)^(?:.*/)?(train|validation|test)/(?:[^/]+/)*[^/]*$", 1))
+    split = F.lower(F.regexp_extract(path, r"(?i)^(?:.*/)?(train|validation|test)/(?:[^/]*/)*[^/]*$", 1))
     is_image = F.lower(path).rlike(r"\.png\s*$")
     rank = F.struct("modified_at", "file_id", F.xxhash64(F.coalesce("img_bytes", F.encode("text", "UTF-8"))))
     picked = df.select(
@@ -82,7 +82,16 @@ def compact_line_files(df: DataFrame, out_path: str, target_bytes: int = 128 <<
     """
     spark = df.sparkSession
     records, staging = line_records(df), f"{out_path.rstrip('/')}.staging"
-    with _settings(spark, {"spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_bytes), "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true"}):
+    adaptive = {
+        "enabled": "true",
+        "advisoryPartitionSizeInBytes": str(target_bytes),
+        "optimizeSkewsInRebalancePartitions.enabled": "true",
+        "coalescePartitions.enabled": "true",
+        # Merge up to the target size, not just as far as all cores stay busy.
+        "coalescePartitions.parallelismFirst": "false",
+        "coalescePartitions.minPartitionSize": str(min(1 << 20, target_bytes)),
+    }
+    with _settings(spark, {f"spark.sql.adaptive.{k}": v for k, v in adaptive.items()}):
         records.hint("rebalance").write.mode("overwrite").parquet(staging)
     files = _files(df)
     # The source side never carries the images: their hashes take the same way.

@@ -19,7 +19,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 P3_FOUND_SQL = r"""
 WITH f AS (
-  SELECT lower(regexp_extract(replace(file_path, '\', '/'), '(?i)^(?:.*/)?(train|validation|test)/(?:[^/]+/)*[^/]*$', 1)) AS split,
+  SELECT lower(regexp_extract(replace(file_path, '\', '/'), '(?i)^(?:.*/)?(train|validation|test)/(?:[^/]*/)*[^/]*$', 1)) AS split,
     regexp_extract(replace(file_path, '\', '/'), '(?i)(?:^|/)line_(\d+)[^/]*\.(?:png|gt\.txt)$', 1) AS digits,
     lower(file_path) LIKE '%.png' AND hex(img_bytes) LIKE '89504E470D0A1A0A%' AND hex(img_bytes) LIKE '%0000000049454E44AE426082' AS image,
     lower(file_path) LIKE '%.gt.txt' AND trim(text, ' ' || chr(9) || chr(10) || chr(13)) <> '' AS body
