@@ -290,7 +290,12 @@ def find_spans(text: str, model: NameModel) -> list[tuple[str, int, int]]:
             end = z
     kept += [(a, z, "name") for a, z in find_names(body, model, [(a, z) for a, z, _ in kept])]
     kept.sort()
-    return [(kind, p.source(a), p.source(z - 1) + 1) for a, z, kind in kept]
+    out = []
+    for a, z, kind in kept:
+        # What a replacement stood for ends where the next position's source begins.
+        begin, end = p.source(a), p.source(z) if z < len(body) else len(text)
+        out.append((kind, begin, begin + len(text[begin:end].rstrip(" \t\n,.-") if kind == "phone" else text[begin:end].rstrip())))
+    return out
 
 
 def redact(text: str, spans: list[tuple[str, int, int]]) -> str:
