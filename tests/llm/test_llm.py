@@ -191,7 +191,7 @@ def test_noise(spark):
     assert got[5, "hyphen"] == "commencement" and got[10, "misread"] == "l1 v0nt"
     whole = noise.repaired_lines(df, lexicon).orderBy("line_index").collect()
     text = " ".join(r.text for r in whole)
-    assert "commencement" in text and "romans" not in text and "=" not in text and "l1" not in text
+    assert "commencement" in text and "romans" not in text and "=" not in text and "v0nt" not in text
     assert noise.line_noise(df.limit(0), lexicon).count() == 0
 
 
@@ -207,7 +207,7 @@ def test_noise_chunks_agree(spark, monkeypatch):
 
 def test_noise_against_ground_truth(spark):
     """Held-out lines: those with a ground truth, which the operator never reads."""
-    read = lambda t: spark.read.parquet(f"{SF}/{t}.parquet")
+    read = lambda t: spark.read.parquet(f"{SF.replace('0.001', '0.01')}/{t}.parquet")
     lines = read("run_lines")
     found = noise.line_noise(lines, read("lexicon"), read("runs"), read("name_forms")).collect()
     misread = {(r.run_id, r.line_index) for r in found if r.noise == "misread"}
@@ -221,10 +221,10 @@ def test_noise_against_ground_truth(spark):
         good += k in misread and not same
         bad += k in misread and same
         missed += k not in misread and not same
-    assert good >= 5 and bad <= 0.1 * good + 1 and missed <= 0.1 * good + 1
+    assert good >= 100 and bad <= 0.03 * good and missed <= 0.03 * good
 
 
-@pytest.mark.parametrize("text,shape", [("[69]", 2), ("f. 43v", 2), ("lxij.", 2), ("·lxxij·", 2), ("fol. xvijr", 2), ("p. 8l", 2), ("- 47 -", 2), ("li", 1), ("mil", 1), ("", 0), ("rois", 0), ("[l3]", 2)])
+@pytest.mark.parametrize("text,shape", [("[69]", 2), ("f. 43v", 2), ("lxij.", 2), ("·lxxij·", 2), ("fol. xvijr", 2), ("p. 8l", 2), ("- 47 -", 2), ("li", 1), ("mil", 0), ("", 0), ("rois", 0), ("[l3]", 2)])
 def test_number_shape(text, shape):
     assert noise.number_shape(text) == shape
 
@@ -311,7 +311,7 @@ NAMES = [(f, "given") for f in "Aldbal Aldmar Aldnor Aldric Brenlis Brenmar Bren
         ("à 72 bis, rue de l'Encrier, 99100 Ostrmont. Le 128 de la rue haute est une glose.", [("address", "72 bis, rue de l'Encrier, 99100 Ostrmont")]),
         ("at Flat 4, 134 bis Rubric Close, Ostermere.\nQuill Lane was a street.", [("address", "Flat 4, 134 bis Rubric Close, Ostermere")]),
         ("Dr Aldbal Arbnay et BRULUC, Cydnor ; T. de Cornay", [("name", "Aldbal Arbnay"), ("name", "BRULUC, Cydnor"), ("name", "T. de Cornay")]),
-        ("Brennor Corgny and Cydbal-Aldlis Falthon-Arbluc", [("name", "Brennor Corgny"), ("name", "Cydbal-Aldlis Falthon-Arbluc")]),  # unlisted forms
+        ("Brennor Corgny and Cydbal-Aldmar Falthon-Arbluc", [("name", "Brennor Corgny"), ("name", "Cydbal-Aldmar Falthon-Arbluc")]),  # unlisted forms
         ("King Aldbal speaks to Cydlis. La lecture de Bruluc, Cydnor. M. Arbnay Torlis", [("name", "Bruluc, Cydnor"), ("name", "Arbnay Torlis")]),
         ("aldbal.arbnay@lab.test", [("email", "aldbal.arbnay@lab.test")]),
         ("А​ldbal Аrbnay ｔ＠lab.test", [("name", "А​ldbal Аrbnay"), ("email", "ｔ＠lab.test")]),  # Cyrillic A, zero width
