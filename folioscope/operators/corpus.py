@@ -41,10 +41,9 @@ def number_rows(df: DataFrame, order: list[str], name: str = "idx") -> DataFrame
         total += r["count"]
     # The place in a partition is the low part of the monotonic id.
     place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    if not offsets:
-        return placed.withColumn(name, F.lit(0).cast("bigint"))
-    base = F.create_map(*[F.lit(x) for p, o in offsets.items() for x in (p, o)])
-    return placed.withColumn(name, (base[F.spark_partition_id()] + place).cast("bigint"))
+    offset = df.sparkSession.createDataFrame(list(offsets.items()), "__p int, __o bigint")  # a row a partition
+    numbered = placed.withColumns({"__p": F.spark_partition_id(), "__k": place}).join(F.broadcast(offset), "__p")
+    return numbered.withColumn(name, F.col("__o") + F.col("__k")).drop("__p", "__k", "__o")
 
 
 def stem(number: Column) -> Column:

@@ -52,6 +52,9 @@ def candidates(words: DataFrame, lexicon: DataFrame, max_distance: int = 2, max_
     """
     w = words.select("word").distinct().withColumn("cw", compare(F.col("word")))
     f = lexicon.select("form").distinct().withColumn("cf", compare(F.col("form")))
+    # Words longer than any form and the difference have no candidate; their deletions are never made.
+    longest = f.agg(F.coalesce(F.max(F.length("cf")), F.lit(0)).alias("longest"))  # one row
+    w = w.join(F.broadcast(longest)).where(F.length("cw") <= F.col("longest") + max_len_diff).drop("longest")
     left = w.withColumn("key", F.explode(_deletions(F.col("cw"), max_distance)))
     right = f.withColumn("key", F.explode(_deletions(F.col("cf"), max_distance)))
     near = left.join(right, "key").where(F.abs(F.length("cw") - F.length("cf")) <= max_len_diff)
