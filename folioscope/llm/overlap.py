@@ -31,11 +31,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.session import cut
+from folioscope.session import cut, parallelism
 
 Q, SHINGLE_BITS, SIGNATURE_WORDS = 4, 18, 16
 MIN_CHARS, SHARE = 20, 5  # a text counts from MIN_CHARS characters on; the distance is at most 1/SHARE of the longer
-BUCKETS, BLOCK_TEXTS, EXACT_LENGTH = 24, 40_000, 400
+LEAST_BUCKETS, BLOCK_TEXTS, EXACT_LENGTH = 12, 200_000, 400
 _CHUNK = 1_000_000  # candidate postings handled at once in a task
 
 
@@ -304,9 +304,14 @@ def _join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.string(), pa.int32()))], names)
 
 
-def similar_texts(texts: DataFrame, buckets: int = BUCKETS, block_texts: int = BLOCK_TEXTS) -> DataFrame:
-    """(eval_text, train_text, distance) for distinct `texts` (text, is_train, is_eval)."""
+def similar_texts(texts: DataFrame, buckets: int | None = None, block_texts: int = BLOCK_TEXTS) -> DataFrame:
+    """(eval_text, train_text, distance) for distinct `texts` (text, is_train, is_eval).
+
+    As many buckets as the session plans tasks for; a text goes to those of its shingles, so to no more than
+    it has shingles, however many buckets there are.
+    """
     spark = texts.sparkSession
+    buckets = buckets or max(LEAST_BUCKETS, parallelism(spark))
     pairs = texts.select("text").mapInArrow(_count_shingles, "g int, n bigint").groupBy("g").agg(F.sum("n").alias("n"))
     counts = np.zeros(1 << SHINGLE_BITS, np.int64)
     for r in pairs.toLocalIterator():  # at most 2^SHINGLE_BITS rows, however large the corpus
@@ -334,7 +339,7 @@ def split_lines(lines: DataFrame, manifest: DataFrame) -> DataFrame:
     return train.unionByName(held).select("line_id", F.col("s").alias("split"), "source", "is_train", "is_eval", "text").distinct()
 
 
-def find_overlaps(lines: DataFrame, manifest: DataFrame, buckets: int = BUCKETS, block_texts: int = BLOCK_TEXTS) -> DataFrame:
+def find_overlaps(lines: DataFrame, manifest: DataFrame, buckets: int | None = None, block_texts: int = BLOCK_TEXTS) -> DataFrame:
     """Pairs of an evaluation line and a similar train line, with split and source of each and the distance.
 
     Columns: eval_id, train_id, eval_split, eval_source, train_source, distance. Repeated rows and manifests
