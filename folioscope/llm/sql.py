@@ -1,5 +1,8 @@
 """SQL twins of the queries that SQL can express on whole tables."""
 
+from folioscope.llm.leaks import BREAK_MARKS
+from folioscope.llm.lookalikes import LOOKALIKES
+
 _TERMS = r"""
 WITH l AS (SELECT line_id, min(text) AS text FROM corpus_lines WHERE text IS NOT NULL GROUP BY line_id),
 n AS (SELECT count(*) AS total FROM l),
@@ -8,9 +11,48 @@ c AS (SELECT term, count(*) AS n_occurrences, count(DISTINCT line_id) AS n_recor
 m AS (SELECT c.*, CASE WHEN n_records < 3 THEN 'rare' WHEN n_records > 0.05 * total THEN 'common' END AS mark FROM c, n)
 """
 
+_LOOK = "".join(sorted(set("".join(LOOKALIKES.values()))))
+
+#: Fields with signs of a class of differences. The word of a look-alike is a run of letters and marks, invisible signs taken out.
+_LOOKALIKES = rf"""
+WITH f AS (SELECT DISTINCT run_id, line_index, unnest([struct_pack(field := 'text_raw', t := text_raw), struct_pack(field := 'text_normalized', t := text_normalized), struct_pack(field := 'text_gt', t := text_gt)]) AS x FROM run_lines),
+p AS (SELECT run_id, line_index, x.field AS field, x.t AS t, regexp_replace(translate(x.t, '{"".join(chr(0xFF01 + i) for i in range(94) if chr(0x21 + i).isalpha())}', '{"".join(chr(0x21 + i) for i in range(94) if chr(0x21 + i).isalpha())}'), '[\p{{Cf}}]', '', 'g') AS plain FROM f)
+SELECT DISTINCT run_id, line_index, field FROM p WHERE regexp_matches(t, '[\p{{Cf}}\t\x{{0b}}\x{{0c}}\x{{85}}\x{{a0}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}\x{{ff01}}-\x{{ff5e}}\x{{fb00}}-\x{{fb06}}\x{{132}}\x{{133}}\x{{2171}}-\x{{2173}}\x{{2175}}-\x{{2178}}\x{{217a}}\x{{217b}}\x{{2161}}-\x{{2163}}\x{{2165}}-\x{{2168}}\x{{216a}}\x{{216b}}]')
+  OR nfc_normalize(t) <> t OR regexp_matches(plain, '[A-Za-z][\p{{L}}\p{{M}}]*[{_LOOK}]|[{_LOOK}][\p{{L}}\p{{M}}]*[A-Za-z]')
+"""
+
+#: Signs of the corpus beyond ASCII, each with a one-byte sign, as distances here count bytes.
+_CODES = ("éëãẽõſ⁊ꝑ·èàâêûîôçùïœæĩũꝐÉ̃", "\x01\x02\x03\x04\x05\x06\x07\x08\x0e\x0f\x10\x11\x12\x13\x14\x15\x16\x17\x18\x19\x1a\x1b\x1c\x1d\x1e\x1f")
+
+_OVERLAPS = rf"""
+WITH s AS (SELECT DISTINCT line_id, manifest_id, lower(regexp_replace(split, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g')) AS split, regexp_replace(translate(text, '{_CODES[0]}', '{_CODES[1]}'), '[^\x00-\x7f]', '?', 'g') AS t FROM corpus_lines WHERE length(text) >= 20),
+n AS (SELECT DISTINCT manifest_id, lower(trim(unnest(map_keys(splits)))) AS split FROM dataset_manifest),
+e AS (SELECT DISTINCT s.line_id, t, length(t) AS k FROM s JOIN n ON s.manifest_id = n.manifest_id AND s.split = n.split WHERE s.split <> 'train'),
+r AS (SELECT DISTINCT line_id, t, length(t) AS k FROM s WHERE split = 'train')
+SELECT DISTINCT least(e.line_id, r.line_id) AS line_id_a, greatest(e.line_id, r.line_id) AS line_id_b FROM e JOIN r ON abs(e.k - r.k) <= greatest(e.k, r.k) // 5 WHERE levenshtein(e.t, r.t) <= greatest(e.k, r.k) // 5
+"""
+
+_MARKS = "".join("\\" + c if c in "-~=" else c for c in BREAK_MARKS)
+
+
+def _words(table: str, key: str) -> str:
+    joined = rf"regexp_replace(text, '([\p{{L}}\p{{M}}])[{_MARKS}][^\S\n\r]*[\n\r]\s*(\p{{L}})', '\1\2', 'g')"
+    folded = rf"replace(translate(lower(regexp_replace(strip_accents(nfc_normalize({joined})), '[\p{{M}}\p{{Cf}}]', '', 'g')), 'vj', 'ui'), 'ſ', 's')"
+    return rf"SELECT {key} AS k, regexp_extract_all({folded}, '\p{{L}}+') AS w FROM {table} WHERE text IS NOT NULL"
+
+
+def _grams(table: str, key: str) -> str:
+    return f"SELECT DISTINCT k, unnest(list_transform(range(1, len(w) - 6), lambda i: array_to_string(w[i:i + 7], ' '))) AS g FROM ({_words(table, key)}) WHERE len(w) >= 8"
+
+
+_LEAKS = f"SELECT DISTINCT d.k AS doc_id, i.k AS item_id FROM ({_grams('documents', 'doc_id')}) d JOIN ({_grams('eval_items', 'item_id')}) i ON d.g = i.g"
+
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p1_found": _LOOKALIKES,
         "p2_found": _TERMS + "SELECT term, mark FROM m WHERE mark IS NOT NULL",
         "p2_frequencies": _TERMS + "SELECT term, n_occurrences, n_records, mark FROM m",
+        "p4_found": _OVERLAPS,
+        "p7_found": _LEAKS,
     }

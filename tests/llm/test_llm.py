@@ -358,7 +358,8 @@ def test_twins(spark):
 
     assert set(sql.oracle_sql()) <= set(queries.queries())
     con = duckdb.connect()
-    con.sql(f"CREATE VIEW corpus_lines AS SELECT * FROM '{SF}/corpus_lines.parquet'")
+    for t in "corpus_lines dataset_manifest run_lines documents eval_items".split():
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     for name in sql.oracle_sql():
         df, rel = queries.queries()[name](spark, SF), con.sql(sql.oracle_sql()[name])
         assert df.columns == rel.columns and rows(df) == sorted(map(tuple, rel.fetchall()), key=repr)
