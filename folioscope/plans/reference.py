@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from folioscope.functions import geometry as geo
 from folioscope.functions import text as tx
 from folioscope.operators import corpus, lexicon, metrics, runs, segmentation, training
-from folioscope.session import table
+from folioscope.session import parallelism, table
 from folioscope.sources import alto
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -130,11 +130,20 @@ def manifest_last_issue(spark: SparkSession, d: str) -> DataFrame:
     return m.select("manifest_id", "m.total", counted.alias("counted"), "m.filter_on.language")
 
 
+def _spread(df: DataFrame, *keys: str) -> DataFrame:
+    """The exchange that a following group or distinct on the keys needs anyway, in a fixed number of partitions.
+
+    Edit distances cost far more than their bytes tell; adaptive execution would merge them into one task.
+    """
+    return df.repartition(parallelism(df.sparkSession), *keys)
+
+
 # --- text ------------------------------------------------------------------------------------------
 
 
 def _texts(spark: SparkSession, d: str, *columns: str) -> DataFrame:
-    return table(spark, d, "run_lines").select("run_id", "line_index", *(columns or ("text_raw",))).distinct()
+    t = table(spark, d, "run_lines").select("run_id", "line_index", *(columns or ("text_raw",)))
+    return _spread(t, "run_id", "line_index").distinct()
 
 
 _RAW = "SELECT DISTINCT run_id, line_index, text_raw AS t FROM run_lines"
@@ -402,7 +411,7 @@ def _pages(spark: SparkSession, d: str) -> DataFrame:
     box = F.struct("x0", "y0", "x1", "y1")
     moved = F.struct((F.col("x0") + 7).alias("x0"), (F.col("y0") + 5).alias("y0"), (F.col("x1") + 7).alias("x1"), (F.col("y1") + 5).alias("y1"))
     pick = lambda cond, s: F.transform(F.array_sort(F.collect_list(F.when(cond, F.struct("i", s.alias("b"))))), lambda x: x["b"])
-    return b.groupBy("page").agg(pick(F.col("i") % 2 == 1, box).alias("truth"), pick(F.col("i") > 1, moved).alias("found"))
+    return _spread(b, "page").groupBy("page").agg(pick(F.col("i") % 2 == 1, box).alias("truth"), pick(F.col("i") > 1, moved).alias("found"))
 
 
 _GREEDY = f"""WITH RECURSIVE b AS ({_BOX}), t AS (SELECT page, row_number() OVER (PARTITION BY page ORDER BY i, b.x0, b.y0, b.x1, b.y1) AS k, x0, y0, x1, y1 FROM b WHERE i % 2 = 1),
@@ -457,7 +466,8 @@ _L = "SELECT DISTINCT run_id, line_index // 30 AS page, line_index, text_raw, te
 def _paged(spark: SparkSession, d: str) -> DataFrame:
     """Lines with a page number: thirty lines a page."""
     l = table(spark, d, "run_lines").where("run_id is not null and line_index is not null")
-    return l.select("run_id", F.expr("cast(line_index div 30 as int)").alias("page"), "line_index", "text_raw", "text_gt", "mean_confidence", "needs_review").distinct()
+    p = l.select("run_id", F.expr("cast(line_index div 30 as int)").alias("page"), "line_index", "text_raw", "text_gt", "mean_confidence", "needs_review")
+    return _spread(p, "run_id", "page").distinct()
 
 
 def _alto_pages(spark: SparkSession, d: str) -> DataFrame:
