@@ -1,7 +1,8 @@
 """Queries for the operators outside the llm subpackage, each beside its SQL twin.
 
-Twins that compare edit distances do so on `ascii_coded` texts, as SQL engines differ in whether distances
-count bytes or characters; the tests hold the operators against a plain implementation on any text.
+The queries read the stored texts. Twins that compare edit distances do so on texts of one ASCII sign a character, as
+SQL engines differ in whether distances count bytes or characters; so they agree with their queries only where no
+two characters or spaces fall together in that code. The tests hold the queries against plain Python on stored texts.
 """
 
 from __future__ import annotations
@@ -206,7 +207,7 @@ levenshtein(coalesce(array_to_string(list_transform(a, lambda x: chr(32 + CAST(l
 
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
     p = _texts(spark, d, "text_gt", "text_raw").where("text_gt is not null")
-    return p.select("run_id", "line_index", tx.ascii_coded(F.col("text_gt")).alias("ref"), tx.ascii_coded(F.coalesce("text_raw", F.lit(""))).alias("hyp"))
+    return p.select("run_id", "line_index", F.col("text_gt").alias("ref"), F.coalesce("text_raw", F.lit("")).alias("hyp"))
 
 
 @query(f"SELECT run_id, line_index, CASE WHEN n_chars > 0 THEN d_chars / n_chars WHEN length(hyp) = 0 THEN 0.0 ELSE 1.0 END AS cer, CASE WHEN n_words > 0 THEN d_words / n_words WHEN m_words = 0 THEN 0.0 ELSE 1.0 END AS wer FROM ({_DIST})")
@@ -294,7 +295,7 @@ def unknown_words(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_LEXICON + _CANDS + " SELECT * FROM cand WHERE rank <= 10")
 def lexicon_candidates(spark: SparkSession, d: str) -> DataFrame:
-    return lexicon.candidates(_unknown(spark, d), _lex(spark, d), compare=tx.ascii_coded)
+    return lexicon.candidates(_unknown(spark, d), _lex(spark, d))
 
 
 _CORRECT = ", fix AS (SELECT tok.*, CASE WHEN best IS NOT NULL THEN bef || best || aft ELSE token END AS nw, best IS NOT NULL AS ch FROM tok LEFT JOIN best ON tok.word = best.word) SELECT run_id, line_index, string_agg(nw, ' ' ORDER BY pos) AS corrected, CAST(count(*) FILTER (ch) AS BIGINT) AS n_changes FROM fix GROUP BY run_id, line_index"
@@ -302,14 +303,14 @@ _CORRECT = ", fix AS (SELECT tok.*, CASE WHEN best IS NOT NULL THEN bef || best
 
 @query(_LEXICON + _CANDS + ", best AS (SELECT word, form AS best FROM cand WHERE rank = 1)" + _CORRECT)
 def correct_lines(spark: SparkSession, d: str) -> DataFrame:
-    return lexicon.correct_lines(_texts(spark, d), ["run_id", "line_index"], "text_raw", _lex(spark, d), compare=tx.ascii_coded).drop("changes")
+    return lexicon.correct_lines(_texts(spark, d), ["run_id", "line_index"], "text_raw", _lex(spark, d)).drop("changes")
 
 
 @query(_LEXICON + _CANDS + ", kn AS (SELECT word AS form, count(*) AS n FROM tok GROUP BY word), sc AS (SELECT cand.*, coalesce(n, 0) AS n FROM cand LEFT JOIN kn ON cand.form = kn.form WHERE rank <= 10), best AS (SELECT word, form AS best FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY n DESC, rank) AS k FROM sc) WHERE k = 1)" + _CORRECT)
 def correct_lines_scored(spark: SparkSession, d: str) -> DataFrame:
     words = lexicon.words_of(_texts(spark, d), ["run_id", "line_index"], "text_raw")
     counts = words.groupBy(F.col("word").alias("form")).agg(F.count(F.lit(1)).alias("n"))
-    return lexicon.correct_lines(_texts(spark, d), ["run_id", "line_index"], "text_raw", _lex(spark, d), lexicon.by_frequency(counts), compare=tx.ascii_coded).drop("changes")
+    return lexicon.correct_lines(_texts(spark, d), ["run_id", "line_index"], "text_raw", _lex(spark, d), lexicon.by_frequency(counts)).drop("changes")
 
 
 # --- training --------------------------------------------------------------------------------------
@@ -514,8 +515,8 @@ def contract_validate(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _page_lines(spark: SparkSession, d: str) -> DataFrame:
-    """Pages with their lines and true texts, in ASCII code, thirty lines a page."""
-    p = _paged(spark, d).withColumns({"t": tx.ascii_coded(F.coalesce("text_raw", F.lit(""))), "g": tx.ascii_coded(F.col("text_gt"))})
+    """Pages with their lines and true texts, thirty lines a page."""
+    p = _paged(spark, d).withColumns({"t": F.coalesce("text_raw", F.lit("")), "g": F.col("text_gt")})
     rows = F.array_sort(F.collect_list(F.struct("line_index", F.struct(F.col("t").alias("text"), "mean_confidence", "needs_review").alias("l"), "g")))
     return p.groupBy("run_id", "page").agg(rows.alias("r")).select("run_id", "page", F.transform("r", lambda x: x["l"]).alias("lines"), F.transform(F.filter("r", lambda x: x["g"].isNotNull()), lambda x: x["g"]).alias("truth"))
 
