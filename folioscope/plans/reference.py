@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions import geometry as geo
@@ -234,18 +234,14 @@ def corpus_metrics_by_manuscript(spark: SparkSession, d: str) -> DataFrame:
     return metrics.corpus_metrics(_pairs(spark, d).join(owners, "run_id"), by=["manuscript"])
 
 
-def _folded(c: Column) -> Column:
-    return tx.normalize_for_cer(c, tx.NORMALIZATION_STEPS[1:])
-
-
 _FOLD_SQL = lambda c: _COLLAPSE(_IJ(_UV(c)))
 
 
 @query(f"""WITH p AS ({_PAIRS}) SELECT 'raw' AS stage, sum(levenshtein(ref, hyp)) / sum(length(ref)) AS cer FROM p
 UNION ALL SELECT 'normalized', sum(levenshtein({_FOLD_SQL("ref")}, {_FOLD_SQL("hyp")})) / sum(length({_FOLD_SQL("ref")})) FROM p""")
 def cer_before_after(spark: SparkSession, d: str) -> DataFrame:
-    p = _pairs(spark, d)
-    both = p.select(F.explode(F.array(F.struct(F.lit("raw").alias("stage"), F.col("ref"), F.col("hyp")), F.struct(F.lit("normalized").alias("stage"), _folded(F.col("ref")).alias("ref"), _folded(F.col("hyp")).alias("hyp")))).alias("x"))
+    p = _pairs(spark, d).withColumns({"r": tx.normalize_for_cer(F.col("ref")), "h": tx.normalize_for_cer(F.col("hyp"))})
+    both = p.select(F.explode(F.array(F.struct(F.lit("raw").alias("stage"), F.col("ref"), F.col("hyp")), F.struct(F.lit("normalized").alias("stage"), F.col("r").alias("ref"), F.col("h").alias("hyp")))).alias("x"))
     return metrics.corpus_metrics(both.select("x.*"), by=["stage"]).select("stage", "cer")
 
 
@@ -530,13 +526,13 @@ CASE WHEN {_FOLD_SQL("gt")} = '' THEN 0.0 ELSE levenshtein({_FOLD_SQL("sure")},
 
 @query(_PAGE + "SELECT * FROM e")
 def page_eval(spark: SparkSession, d: str) -> DataFrame:
-    e = runs.evaluate_pages(_page_lines(spark, d), normalize=_folded).drop("n_abbreviations")
+    e = runs.evaluate_pages(_page_lines(spark, d)).drop("n_abbreviations")
     return e.withColumn("mean_confidence", F.round("mean_confidence", 6))
 
 
 @query(_PAGE + "SELECT run_id, count(*) AS n_pages, CAST(sum(n_lines) AS BIGINT) AS n_lines, CAST(sum(n_review) AS BIGINT) AS n_review, sum(n_review) / sum(n_lines) AS needs_review_rate, round(avg(cer_raw), 6) AS cer_raw, round(avg(cer_normalized), 6) AS cer_normalized FROM e GROUP BY run_id")
 def aggregate_pages(spark: SparkSession, d: str) -> DataFrame:
-    a = runs.aggregate_pages(runs.evaluate_pages(_page_lines(spark, d), normalize=_folded), by=["run_id"])
+    a = runs.aggregate_pages(runs.evaluate_pages(_page_lines(spark, d)), by=["run_id"])
     return a.select("run_id", "n_pages", "n_lines", "n_review", "needs_review_rate", F.round("cer_raw", 6).alias("cer_raw"), F.round("cer_normalized", 6).alias("cer_normalized"))
 
 

@@ -1,6 +1,8 @@
 """Registered queries on stored texts against plain Python: characters that one ASCII sign would merge stay different."""
 
 import random
+import re
+import unicodedata
 
 import pytest
 
@@ -60,3 +62,25 @@ def test_candidates(spark, folder):
     forms = ["ñañ", "λκλκ", "roi"]
     assert got == {(w, f): n for w in words for f in forms if abs(len(w) - len(f)) <= 2 and (n := levenshtein(w, f)) <= 2}
     assert got
+
+
+def normal(t):
+    t = unicodedata.normalize("NFC", t).translate(str.maketrans("vVjJſ", "uUiIs"))
+    return re.sub(r"\s+", " ", t).strip()
+
+
+def test_normalized_with_all_steps(spark, folder):
+    d, pairs = folder
+    plain = [(normal(r), normal(h)) for r, h in pairs]
+    got = {r.stage: r.cer for r in reference.cer_before_after(spark, d).collect()}
+    assert got["raw"] == pytest.approx(micro(pairs)[0]) and got["normalized"] == pytest.approx(micro(plain)[0])
+    pages = {(r.run_id, r.page): r.cer_normalized for r in reference.page_eval(spark, d).collect()}
+    want = {}
+    for run in (1, 2):
+        for page in (0, 1):
+            of = [p for i, p in enumerate(pairs) if 1 + i % 2 == run and i // 30 == page]
+            ref, hyp = (normal(" ".join(x)) for x in zip(*of))
+            want[run, page] = levenshtein(hyp, ref) / len(ref)
+    assert pages == pytest.approx(want)
+    for r in reference.aggregate_pages(spark, d).collect():
+        assert r.cer_normalized == pytest.approx((want[r.run_id, 0] + want[r.run_id, 1]) / 2, abs=1e-6)
