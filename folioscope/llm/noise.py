@@ -30,12 +30,13 @@ from pyspark.sql import types as T
 
 from folioscope.llm.lookalikes import inspect, script
 from folioscope.llm.overlap import edit_distance
+from folioscope.operators.lexicon import candidates
 from folioscope.session import cut, parallelism
 
 SAMPLE_LINES, ROUNDS = 20_000, 4
 CHUNK, MARGIN = 2_000, 60
-#: A capitalised word unknown to the lexicon is a name if it stands in this share of all lines, and in NAME_LINES at least.
-NAME_SHARE, NAME_LINES = 1e-4, 2
+#: A capitalised word unknown to the lexicon is a name if it stands in so many lines.
+NAME_LINES = 2
 #: Forms that the tasks can hold.
 MAX_FORMS = 1_000_000
 #: Tokens that break a word at a line end (fixed values).
@@ -460,32 +461,50 @@ def labelled_lines(lines: DataFrame, runs: DataFrame | None = None, text: str =
 def proper_names(labelled: DataFrame, forms: list[str], given: list[str]) -> list[str]:
     """Capitalised words of the body that the lexicon lacks and that are names by their number or their parts.
 
-    By number: they stand in NAME_SHARE of the lines, and in NAME_LINES at least. By parts: of a beginning and
-    an ending that two other such words have. Those that look like a misread form or name are left out.
+    By number: they stand in NAME_LINES lines. By parts: of a beginning and an ending that two other such words
+    have. Those that look like a misread form or name are left out. The rules are the same for any number of
+    lines. Words are counted and judged in distributed tables; only the names are collected, and over MAX_FORMS refused.
     """
-    share = math.ceil(NAME_SHARE * labelled.count())
-    words = labelled.where("label = 'body'").select(F.explode(_capitalised("clean")).alias("w"))
-    counted = words.groupBy("w").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= share)
-    # No more rows than 1 / NAME_SHARE times the words of a line.
-    found = {r.w: r.n for r in counted.collect()}
-    return choose_names(found, max(NAME_LINES, share), Vocabulary(forms, given))
-
-
-def choose_names(found: dict[str, int], least: int, plain: Vocabulary) -> list[str]:
-    found = {w: n for w, n in found.items() if not plain.has(w)}
-    heads, tails = defaultdict(set), defaultdict(set)
-    for w in map(str.lower, found):
-        for i in range(2, len(w) - 2):
-            heads[w[:i]].add(w)
-            tails[w[i:]].add(w)
+    plain = labelled.sparkSession.sparkContext.broadcast(Vocabulary(forms, given))
 
-    def parted(w: str) -> bool:
-        return any(len(heads[w[:i]]) >= 3 and len(tails[w[i:]]) >= 3 and not heads[w[:i]] & tails[w[i:]] - {w} for i in range(2, len(w) - 2))
+    @F.pandas_udf(T.BooleanType())
+    def unknown(s: pd.Series) -> pd.Series:
+        return s.map(lambda w: not plain.value.has(w)).astype(bool)
 
-    def misread(w: str, n: int) -> bool:
-        return bool(plain.nearest(w, 1)[1]) or any(m >= 8 * n and edit_distance(w, x, 2) <= 2 for x, m in found.items())
+    @F.pandas_udf(T.BooleanType())
+    def like_a_form(s: pd.Series) -> pd.Series:
+        return s.map(lambda w: bool(plain.value.nearest(w, 1)[1])).astype(bool)
 
-    return [w for w, n in found.items() if (n >= least or parted(w.lower())) and not misread(w, n)]
+    words = labelled.where("label = 'body'").select(F.explode(_capitalised("clean")).alias("w"))
+    found = cut(words.groupBy("w").agg(F.count(F.lit(1)).alias("n")).where(unknown("w")))
+    often = found.where(F.col("n") >= NAME_LINES)
+    rare = found.where(F.col("n") < NAME_LINES).withColumn("l", F.lower("w")).join(_parted(found), "l", "left_semi").select("w", "n")
+    likely = cut(often.unionByName(rare).where(~like_a_form("w")))
+    # Within two edits of a word eight times as frequent: a misread name.
+    near = candidates(likely.select(F.col("w").alias("word")), found.where("n >= 8").select(F.col("w").alias("form")), k=None).select(F.col("word").alias("w"), F.col("form").alias("x"))
+    counted = near.join(likely, "w").join(found.select(F.col("w").alias("x"), F.col("n").alias("m")), "x")
+    return _collected(likely.join(counted.where("m >= 8 * n"), "w", "left_anti").select("w"), "names")
+
+
+def _parted(found: DataFrame) -> DataFrame:
+    """(l): lower-case words of a beginning and an ending that two others have each, and none other both."""
+    words = found.select(F.lower("w").alias("l")).distinct().withColumn("k", F.length("l")).where("k >= 5")
+    head, tail = lambda i: F.substring("l", F.lit(1), F.col(i)), lambda i: F.substring("l", F.col(i) + 1, F.col("k"))
+    seams = words.withColumn("i", F.explode(F.sequence(F.lit(2), F.col("k") - 3)))
+    cuts = seams.select("l", head("i").alias("h"), tail("i").alias("t"))
+    shared = lambda c: cuts.groupBy(c).agg(F.count(F.lit(1)).alias("n")).where("n >= 3").select(c)
+    kept = cuts.join(shared("h"), "h", "left_semi").join(shared("t"), "t", "left_semi")
+    both = seams.withColumn("j", F.explode(F.sequence(F.lit(2), F.col("k") - 3))).select(head("i").alias("h"), tail("j").alias("t"))
+    alone = both.join(kept, ["h", "t"], "left_semi").groupBy("h", "t").agg(F.count(F.lit(1)).alias("n")).where("n = 1")
+    return kept.join(alone, ["h", "t"], "left_semi").select("l").distinct()
+
+
+def _collected(words: DataFrame, what: str) -> list[str]:
+    """Values of the one column; more than the tasks can hold are refused, not shortened."""
+    out = [r[0] for r in words.limit(MAX_FORMS + 1).collect()]
+    if len(out) > MAX_FORMS:
+        raise ValueError(f"there are over {MAX_FORMS} {what}; they would not fit the tasks")
+    return out
 
 
 def vocabulary_of(lexicon: DataFrame, labelled: DataFrame, name_forms: DataFrame | None) -> Vocabulary:
