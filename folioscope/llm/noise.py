@@ -334,12 +334,12 @@ def blame(part: str, following: str, vocabulary: Vocabulary) -> str | None:
     return "second" if second else "first" if first else "both"
 
 
-def paragraphs(lines: list[tuple[int, str]], labels: dict[int, str], vocabulary: Vocabulary) -> list[tuple[int, str]]:
+def paragraphs(lines: list[tuple[int, str]], labels: dict[int, str], vocabulary: Vocabulary, usual: int) -> list[tuple[int, str]]:
     """(line index, text that the line gives to its paragraph) of the body lines.
 
     Titles and numbers are gone; a broken word stands whole in its first line; misread words are put right
     where one form alone is nearest. Joined by spaces the texts of a run read on; a line that ends a
-    sentence well short of its neighbours ends a paragraph, which its text shows by a line feed.
+    sentence well short of the `usual` length of the run ends a paragraph, which its text shows by a line feed.
     """
 
     def right(m: re.Match) -> str:
@@ -352,7 +352,6 @@ def paragraphs(lines: list[tuple[int, str]], labels: dict[int, str], vocabulary:
         return near[0].capitalize() if w[0].isupper() else near[0]
 
     body = [(i, t) for i, t in lines if t and labels[i] == "body"]
-    usual = sorted(len(t) for _, t in body)[len(body) // 2] if body else 0
     out, start = [], 0
     for n, (i, text) in enumerate(body):
         own, begin, start = text, start, 0
@@ -362,7 +361,7 @@ def paragraphs(lines: list[tuple[int, str]], labels: dict[int, str], vocabulary:
             own = text[:-1] + following[0]
             start = body[n + 1][1].index(following[0]) + len(following[0])
         own = own[begin:].strip()
-        stop = len(text) < 0.6 * usual and own[-1:] in ".:;?!"
+        stop = len(text) < 0.6 * usual and own.endswith((".", ":", ";", "?", "!"))
         out.append((i, _TOKEN.sub(right, own) + ("\n" if stop else "")))
     return out
 
@@ -523,7 +522,8 @@ def _by_chunk(labelled: DataFrame, vocabulary: Vocabulary, work, schema: str) ->
         pdf = pdf.sort_values("line_index")
         run_id = pdf["run_id"].iloc[0]
         own = set(pdf.loc[pdf["own"] == pdf["chunk"], "line_index"])
-        rows = work(list(zip(pdf["line_index"].tolist(), pdf["clean"])), dict(zip(pdf["line_index"].tolist(), pdf["label"])), shared.value)
+        more = [pdf["usual"].iloc[0]] if "usual" in pdf else []
+        rows = work(list(zip(pdf["line_index"].tolist(), pdf["clean"])), dict(zip(pdf["line_index"].tolist(), pdf["label"])), shared.value, *more)
         return pd.DataFrame([(run_id, *r) for r in rows if r[0] in own], columns=[c.split()[0] for c in schema.split(", ")])
 
     return _chunks(labelled).groupBy("run_id", "chunk").applyInPandas(run, schema)
@@ -545,4 +545,31 @@ def repaired_lines(lines: DataFrame, lexicon: DataFrame, runs: DataFrame | None
     """(run_id, line_index, text): what each body line gives to the continuous text of its run; see `paragraphs`."""
     labelled = labelled_lines(lines, runs, text)
     kind = lines.schema["run_id"].dataType.simpleString()
-    return _by_chunk(labelled, vocabulary_of(lexicon, labelled, name_forms), paragraphs, f"run_id {kind}, line_index int, text string")
+    wide = labelled.join(usual_lengths(labelled), "run_id", "left").fillna(0, ["usual"])
+    return _by_chunk(wide, vocabulary_of(lexicon, labelled, name_forms), paragraphs, f"run_id {kind}, line_index int, text string")
+
+
+def usual_lengths(labelled: DataFrame) -> DataFrame:
+    """(run_id, usual): the upper median of the lengths of a run's body lines, from the numbers of lines of each length."""
+    lengths = labelled.where("label = 'body'").groupBy("run_id", F.length("clean").alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    run = Window.partitionBy("run_id")  # as many rows as a run has lengths
+    upto = F.sum("n").over(run.orderBy("k").rowsBetween(Window.unboundedPreceding, 0))
+    return lengths.select("run_id", "k", upto.alias("upto"), F.sum("n").over(run).alias("total")).where("upto > total div 2").groupBy("run_id").agg(F.min("k").alias("usual"))
+
+
+def run_paragraphs(lines: DataFrame, lexicon: DataFrame, runs: DataFrame | None = None, name_forms: DataFrame | None = None, text: str = "text_raw") -> DataFrame:
+    """(run_id, paragraph_no, text): the continuous text of each run, paragraphs numbered from 0 in order.
+
+    The parts of `repaired_lines` are joined by spaces. A paragraph's number is the number of ends before it: those
+    of earlier chunks, summed over one row a chunk, and those of its own. A run without body lines has no rows.
+    """
+    chunk = F.floor(F.col("line_index") / CHUNK).cast("int")
+    parts = cut(repaired_lines(lines, lexicon, runs, name_forms, text).select("run_id", chunk.alias("chunk"), "line_index", F.regexp_replace("text", "\n$", "").alias("text"), F.col("text").endswith("\n").cast("bigint").alias("ends")))
+    earlier = Window.unboundedPreceding, -1
+    ended = F.sum("ends").over(Window.partitionBy("run_id").orderBy("chunk").rowsBetween(*earlier))
+    chunks = parts.groupBy("run_id", "chunk").agg(F.sum("ends").alias("ends")).select("run_id", "chunk", F.coalesce(ended, F.lit(0)).alias("before"))
+    within = F.coalesce(F.sum("ends").over(Window.partitionBy("run_id", "chunk").orderBy("line_index").rowsBetween(*earlier)), F.lit(0))
+    numbered = parts.withColumn("within", within).join(chunks, ["run_id", "chunk"]).where("text <> ''")
+    order = F.array_sort(F.collect_list(F.struct("line_index", "text")))
+    out = numbered.groupBy("run_id", (F.col("before") + F.col("within")).alias("paragraph_no")).agg(order.alias("parts"))
+    return out.select("run_id", "paragraph_no", F.array_join("parts.text", " ").alias("text"))

@@ -45,7 +45,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_text(spark: SparkSession, d: str) -> DataFrame:
-    return noise.repaired_lines(*(table(spark, d, t) for t in ("run_lines", "lexicon", "runs", "name_forms")))
+    return noise.run_paragraphs(*(table(spark, d, t) for t in ("run_lines", "lexicon", "runs", "name_forms")))
 
 
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:

@@ -1,11 +1,12 @@
 """Problem 5 on tables of any size."""
 
+import random
 from collections import defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
-from folioscope.llm import noise
+from folioscope.llm import noise, queries
 from folioscope.llm.overlap import edit_distance
 
 FORMS = "li rois vint a la grant cort et si parla".split()
@@ -39,3 +40,31 @@ def test_too_many_names_are_refused(spark, monkeypatch):
     lines = spark.createDataFrame([(f"li {w} vint", "body") for w in ("Xanfrit", "Perceval") * 2], "clean string, label string")
     with pytest.raises(ValueError, match="names"):
         noise.proper_names(lines, FORMS, [])
+
+
+def test_paragraphs_of_a_run(spark, monkeypatch):
+    """Paragraphs are joined, numbered and ended alike in one chunk and in many; long lines come first, short ones last."""
+    rng = random.Random(6)
+    long = lambda n: [" ".join(rng.sample(FORMS, 10)) for _ in range(n)]
+    pairs = [f"{a} {b}" for a in FORMS for b in FORMS if a < b]  # no line stands twice, as a title does
+    rng.shuffle(pairs)
+    texts = long(40) + ["si parla."] + long(40) + pairs[:20] + ["a la cort."] + pairs[20:40] + long(1)
+    lexicon = spark.createDataFrame([(f,) for f in FORMS], "form string")
+    lines = spark.createDataFrame([(run, i, t) for run in (1, 2) for i, t in enumerate(texts)], "run_id bigint, line_index int, text_raw string")
+    want = [" ".join(texts[:41]), " ".join(texts[41:102]), " ".join(texts[102:])]
+    for chunk in (2000, 30):
+        monkeypatch.setattr(noise, "CHUNK", chunk)
+        monkeypatch.setattr(noise, "MARGIN", 10)
+        got = sorted(map(tuple, noise.run_paragraphs(lines, lexicon).collect()))
+        assert got == [(run, n, t) for run in (1, 2) for n, t in enumerate(want)]
+    assert noise.run_paragraphs(lines.limit(0), lexicon).count() == 0
+
+
+def test_text_query_gives_paragraphs(spark):
+    df = queries.p5_text(spark, "/root/testdata/sf0.001")
+    got = df.collect()
+    assert df.columns == ["run_id", "paragraph_no", "text"] and got
+    numbers = defaultdict(list)
+    for r in got:
+        numbers[r.run_id].append(r.paragraph_no)
+    assert all(sorted(n) == list(range(len(n))) for n in numbers.values()) and not any("\n" in r.text for r in got)
