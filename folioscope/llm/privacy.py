@@ -44,10 +44,14 @@ _INVISIBLE = re.compile("[­​-‏‪-‮⁠-⁤﻿]+")
 _AT = r"\s*[\[({<]\s*(?:at|arobase|arobas|chez|@)\s*[\])}>]\s*|\s+(?:arobase|AT)\s+|\s+at\s+(?=[\w-]+\s+dot\s)"
 _DOT = r"\s*[\[({<]\s*(?:dot|point|\.)\s*[\])}>]\s*|(?<=\w)\s+(?:dot|DOT|point)\s+(?=[\w-]+)"
 _AT_RE = re.compile(_AT)
+#: Whether a text holds any of these at all; no text that `_DISGUISED` rewrites is without.
+_WRITTEN_OUT = re.compile(rf"{_AT}|{_DOT}")
 _DISGUISED = re.compile(rf"[\w.+%-]*\w(?:{_AT})[\w-]+(?:(?:\.|{_DOT})[\w-]+)+|[\w.+%-]+(?: ?@ ?)[\w-]+(?:(?:\.)[\w-]+)*(?:(?:{_DOT})[\w-]+)+")
 #: Digits spelled out (fixed values).
 _DIGIT_WORDS = dict(zip("zéro zero oh un une one deux two trois three quatre four cinq five six sept seven huit eight neuf nine".split(), "000111223344556778899"))
-_SPELLED = re.compile(r"\b(?:(?:zéro|zero|oh|une?|one|deux|two|trois|three|quatre|four|cinq|five|six|sept|seven|huit|eight|neuf|nine)\b[\s,.-]{0,2}){6,}", re.I)
+_DIGIT_WORD = "(?:zéro|zero|oh|une?|one|deux|two|trois|three|quatre|four|cinq|five|six|sept|seven|huit|eight|neuf|nine)"
+_SPELLED = re.compile(rf"\b(?:{_DIGIT_WORD}\b[\s,.-]{{0,2}}){{6,}}", re.I)
+_DIGIT_PAIR = re.compile(rf"\b{_DIGIT_WORD}\b[\s,.-]{{1,2}}{_DIGIT_WORD}\b", re.I)
 
 
 class Plain:
@@ -115,10 +119,9 @@ def plain_form(text: str) -> Plain:
             p.rewrite([(m.start(), m.end(), "") for m in _INVISIBLE.finditer(p.text)])
         if _ODD.search(p.text):
             p.text = p.text.translate(_SAME_LENGTH)
-    low = p.text
-    if "dot" in low or "point" in low or "arobas" in low or "[at" in low or "(at" in low or "{at" in low or "<at" in low or "DOT" in low or " AT " in low:
+    if _WRITTEN_OUT.search(p.text):
         p.rewrite([s for m in _DISGUISED.finditer(p.text) for s in _undisguise(m)])
-    spelled = [m for m in _SPELLED.finditer(p.text)] if re.search(r"(?i)\b(?:z[ée]ro|oh|one|six|deux|two|four|sept)\b[\s,.-]{1,2}(?:z[ée]ro|oh|one|un|deux|two|trois|three|quatre|four|cinq|five|six|sept|seven|huit|eight|neuf|nine)\b", p.text) else []
+    spelled = list(_SPELLED.finditer(p.text)) if _DIGIT_PAIR.search(p.text) else []
     if spelled:
         p.rewrite([(m.start() + w.start(), m.start() + w.end() + len(re.match(r"[\s,.-]{0,2}", m.group()[w.end() :]).group()) * (m.start() + w.end() < m.end()), _DIGIT_WORDS[w.group().lower()]) for m in spelled for w in re.finditer(r"[^\W\d_]+", m.group())])
     return p
