@@ -27,11 +27,11 @@ def parse_stage_log(lines: DataFrame, text: str = "value", order: str = "line_no
     return last.select("epoch", "x.*")
 
 
-def best_epoch(metrics: DataFrame, metric: str, lowest: bool = False) -> DataFrame:
-    """(epoch, value) of the best value; the first epoch on ties."""
+def best_epoch(metrics: DataFrame, metric: str, lowest: bool = False, by: list[str] | None = None) -> DataFrame:
+    """(epoch, value) of the best value, or of each curve of `by`; the first epoch on ties."""
     pick = F.min_by("epoch", F.struct(metric, "epoch")) if lowest else F.max_by("epoch", F.struct(F.col(metric), -F.col("epoch")))
     value = F.min(metric) if lowest else F.max(metric)
-    return metrics.where(F.col(metric).isNotNull()).agg(pick.alias("epoch"), value.alias("value"))
+    return metrics.where(F.col(metric).isNotNull()).groupBy(*(by or [])).agg(pick.alias("epoch"), value.alias("value"))
 
 
 def early_stopping(metrics: DataFrame, patience: int, by: list[str] | None = None) -> DataFrame:
