@@ -507,11 +507,9 @@ def _collected(words: DataFrame, what: str) -> list[str]:
 
 
 def vocabulary_of(lexicon: DataFrame, labelled: DataFrame, name_forms: DataFrame | None) -> Vocabulary:
-    """Forms and names for the tasks. The lexicon is a fixed table; one of over MAX_FORMS forms is refused, not shortened."""
-    forms = [r.form for r in lexicon.select("form").where("form is not null").distinct().limit(MAX_FORMS + 1).collect()]
-    if len(forms) > MAX_FORMS:
-        raise ValueError(f"the lexicon has over {MAX_FORMS} forms; it would not fit the tasks")
-    given = [r.form for r in name_forms.where("form is not null and role = 'given'").select("form").distinct().limit(MAX_FORMS).collect()] if name_forms is not None else []
+    """Forms and names for the tasks. Both are fixed tables; one of over MAX_FORMS forms is refused, not shortened."""
+    forms = _collected(lexicon.select("form").where("form is not null").distinct(), "forms in the lexicon")
+    given = _collected(name_forms.where("form is not null and role = 'given'").select("form").distinct(), "given names in name_forms") if name_forms is not None else []
     return Vocabulary(forms, given + proper_names(labelled, forms, given))
 
 

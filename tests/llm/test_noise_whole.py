@@ -68,3 +68,13 @@ def test_text_query_gives_paragraphs(spark):
     for r in got:
         numbers[r.run_id].append(r.paragraph_no)
     assert all(sorted(n) == list(range(len(n))) for n in numbers.values()) and not any("\n" in r.text for r in got)
+
+
+def test_too_many_name_forms_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(noise, "MAX_FORMS", 2)
+    lexicon = spark.createDataFrame([("li",), ("rois",)], "form string")
+    labelled = spark.createDataFrame([("li rois", "body")], "clean string, label string")
+    names = spark.createDataFrame([(f, "given") for f in ("Anne", "Paul", "Marie")], "form string, role string")
+    assert noise.vocabulary_of(lexicon, labelled, names.limit(2)).names == {"anne", "paul"}
+    with pytest.raises(ValueError, match="name_forms"):
+        noise.vocabulary_of(lexicon, labelled, names)
