@@ -5,25 +5,27 @@ Almost: both texts have `MIN_CHARS` characters and their edit distance is at mos
 Method: an exact prefix-filter join on rare shingles between the two sides.
 
 1. Distinct texts: copies are joined once. A shingle is a run of Q characters, hashed to one of 2^18 numbers
-   (equal runs have equal numbers, so a collision only adds candidates). Shingle counts over all texts,
-   a table of at most 2^18 numbers, give one order from rare to common.
+   (equal runs have equal numbers, so a collision only adds candidates). Shingle counts of either side,
+   tables of at most 2^18 numbers, give the order from rare to common. Shingles that one side lacks are dropped.
 2. Prefix: of every text as many shingles as its edit limit and one more, which do not overlap, the rarest
-   such set. Each edit destroys one of them at most, so if the longer of two similar texts
+   such set on the other side. Each edit destroys one of them at most, so if the longer of two similar texts
    loses no more than its limit, one of its prefix shingles stands in the other. (A text of `MIN_CHARS` or more
    always has room for them.)
-3. Join: shingles are spread over buckets, evaluation texts also over blocks of bounded size. A task takes one
-   bucket of one block: it indexes the evaluation side, then streams train texts past it. Length and position
-   filters come first: the k-th prefix shingle counts only if it is shifted by less than k places as seen from
+3. Length and position filters: the k-th prefix shingle counts only if it is shifted by less than k places as seen from
    the beginning, and by no more than the limit and one less k as seen from the end; some shingle of a similar pair is so.
+   Postings are sorted by shingle, place and length, so that both filters are one range of the sorted postings for each place.
    Then bounds from bit signatures of shorter shingles, at last the edit distance itself.
 4. Pairs of texts are joined back to line ids.
 
-A shingle that a third of the texts share is common, so it is in few prefixes; its postings on the
-evaluation side are bounded by the block size. Texts cross the network at most once a bucket and block.
+Layout: shingles are spread over buckets, one task each, by the work that their counts foretell; the number of buckets
+follows from the number of postings, not from the size of the cluster. A shingle with over `PART_POSTINGS` postings on a side is
+split there by a hash of the text, and the other side goes to all its parts. A text goes once to each bucket with a
+shingle of it, packed with others of its batch, so to no more buckets than it has shingles.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,12 +33,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.session import cut, parallelism
+from folioscope.session import cut
 
-Q, SHINGLE_BITS, SIGNATURE_WORDS = 4, 18, 16
+Q, SHINGLE_BITS, SIGNATURE_WORDS = 4, 18, 8
 MIN_CHARS, SHARE = 20, 5  # a text counts from MIN_CHARS characters on; the distance is at most 1/SHARE of the longer
-LEAST_BUCKETS, BLOCK_TEXTS, EXACT_LENGTH = 12, 200_000, 400
+LEAST_BUCKETS, BUCKET_POSTINGS, PART_POSTINGS, EXACT_LENGTH = 12, 1_500_000, 100_000, 400
 _CHUNK = 1_000_000  # candidate postings handled at once in a task
+_REACH = 24  # shifts looked up one by one; shingles that may be shifted farther are scanned
 
 
 def code_points(texts: list[str]) -> np.ndarray:
@@ -55,28 +58,24 @@ def shingles(points: np.ndarray, q: int = Q) -> np.ndarray:
         return (h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SHINGLE_BITS)
 
 
-def signatures(points: np.ndarray) -> np.ndarray:
-    """Rows of 512 bits for the runs of two characters, then 512 for those of three; the n-th occurrence of a run has a bit of its own."""
-    rows, size = len(points), 32 * SIGNATURE_WORDS
-    bits = np.zeros((rows, 2, size), np.uint8)
-    row = np.arange(rows)[:, None]
-    for half, q in enumerate((2, 3)):
-        g = np.sort(shingles(points, q), axis=1)
-        place = np.broadcast_to(np.arange(g.shape[1]), g.shape)
-        fresh = np.ones(g.shape, bool)
-        fresh[:, 1:] = g[:, 1:] != g[:, :-1]
-        nth = place - np.maximum.accumulate(np.where(fresh, place, 0), axis=1)
-        with np.errstate(over="ignore"):
-            bit = ((g + nth.astype(np.uint64) * np.uint64(0x9E3779B1)) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(55)
-        bits[row, half, bit.astype(np.int64)] = 1
-    return np.packbits(bits.reshape(rows, -1), axis=1)
+def signatures(points: np.ndarray, q: int) -> np.ndarray:
+    """Rows of 512 bits for the runs of q characters; the n-th occurrence of a run has a bit of its own."""
+    rows = len(points)
+    bits = np.zeros((rows, 64 * SIGNATURE_WORDS), np.uint8)
+    g = np.sort((shingles(points, q) >> np.uint64(SHINGLE_BITS - 16)).astype(np.uint16), axis=1)
+    place = np.broadcast_to(np.arange(g.shape[1], dtype=np.int32), g.shape)
+    fresh = np.ones(g.shape, bool)
+    fresh[:, 1:] = g[:, 1:] != g[:, :-1]
+    nth = place - np.maximum.accumulate(np.where(fresh, place, 0), axis=1)
+    with np.errstate(over="ignore"):
+        bit = ((g.astype(np.uint32) + nth.astype(np.uint32) * np.uint32(0x9E3779B1)) * np.uint32(0xD6E8FEB9)) >> np.uint32(23)
+    bits[np.arange(rows)[:, None], bit] = 1
+    return np.packbits(bits, axis=1).view(np.uint64)
 
 
-def within_bound(a: np.ndarray, b: np.ndarray, limit: np.ndarray) -> np.ndarray:
-    """Where two signatures allow a distance up to `limit`: an edit destroys q runs of q characters at most."""
-    half = SIGNATURE_WORDS // 2
-    gone = np.bitwise_count(a & ~b)
-    return (gone[:, :half].sum(1, dtype=np.int64) <= 2 * limit) & (gone[:, half:].sum(1, dtype=np.int64) <= 3 * limit)
+def lost_runs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Lower bound, from signatures, of the runs of `a` that `b` lacks; an edit destroys q runs of q characters at most."""
+    return np.bitwise_count(a & ~b).sum(1, dtype=np.int64)
 
 
 def prefixes(counts: np.ndarray, k: int, q: int = Q) -> np.ndarray:
@@ -143,6 +142,55 @@ def edit_distance(a: str, b: str, limit: int) -> int:
     return score
 
 
+def edit_distances(pairs: list[tuple[str, str]], limits: list[int]) -> list[int]:
+    """`edit_distance` of many pairs at once: the same bit-parallel columns, in words of 64 bits over arrays of pairs."""
+    out = [0] * len(pairs)
+    sized = sorted((-(-min(map(len, p)) // 64), max(map(len, p)), i) for i, p in enumerate(pairs))
+    a = 0
+    while a < len(sized):
+        words, z, letters = sized[a][0], a, set()
+        while z < len(sized) and sized[z][0] == words and z - a < 2048 and (z - a + 1) * (len(letters) + 1) * words < 1 << 21:
+            letters.update(*pairs[sized[z][2]])
+            z += 1
+        some = [i for _, _, i in sized[a:z]]
+        a = z
+        found = _columns([sorted(pairs[i], key=len) for i in some], words, {c: k for k, c in enumerate(letters)}) if words and len(some) > 8 else [edit_distance(*pairs[i], limits[i]) for i in some]
+        for i, d in zip(some, found):
+            out[i] = min(int(d), limits[i] + 1)
+    return out
+
+
+def _columns(pairs: list[list[str]], words: int, code: dict[str, int]) -> np.ndarray:
+    """Edit distances of (shorter, longer) pairs whose shorter text takes `words` words of 64 bits."""
+    row, u = np.arange(len(pairs)), np.uint64
+    m, n = (np.array([len(p[k]) for p in pairs]) for k in (0, 1))
+    short, long = (np.zeros((len(pairs), int(x.max())), np.int64) for x in (m, n))
+    for k, (x, y) in enumerate(pairs):
+        short[k, : len(x)], long[k, : len(y)] = [code[c] for c in x], [code[c] for c in y]
+    peq = np.zeros((len(pairs), len(code), words), u)
+    for i in range(short.shape[1]):
+        has = row[i < m]
+        peq[has, short[has, i], i // 64] |= u(1) << u(i % 64)
+    last, at = u(1) << ((m - 1) % 64).astype(u), (m - 1) // 64
+    pv, mv = np.full((words, len(pairs)), ~u(0)), np.zeros((words, len(pairs)), u)
+    score = m.copy()
+    for j in range(long.shape[1]):
+        up, down = np.ones(len(pairs), u), np.zeros(len(pairs), u)
+        for w in range(words):
+            eq = peq[row, long[:, j], w]
+            xv = eq | mv[w]
+            eq |= down
+            xh = (((eq & pv[w]) + pv[w]) ^ pv[w]) | eq
+            ph, mh = mv[w] | ~(xh | pv[w]), pv[w] & xh
+            here = (at == w) & (j < n)
+            score += here * ((ph & last > 0).astype(np.int64) - (mh & last > 0))
+            rise, fall = ph >> u(63), mh >> u(63)
+            ph, mh = ph << u(1) | up, mh << u(1) | down
+            pv[w], mv[w] = mh | ~(xv | ph), ph & xv
+            up, down = rise, fall
+    return score
+
+
 def _by_length(texts: list[str], most: int = 2_000_000) -> Iterator[list[int]]:
     """Places of texts of one length, in groups of bounded total length."""
     groups: dict[int, list[int]] = {}
@@ -155,171 +203,266 @@ def _by_length(texts: list[str], most: int = 2_000_000) -> Iterator[list[int]]:
 
 
 def _count_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros(1 << SHINGLE_BITS, np.int64)
+    """(shingle, number in train texts, number in evaluation texts) of a task's texts."""
+    counts = np.zeros((2, 1 << SHINGLE_BITS), np.int64)
     for batch in batches:
-        texts = batch.column(0).to_pylist()
+        texts, sides = batch.column(0).to_pylist(), [batch.column(i).to_numpy(zero_copy_only=False).astype(bool) for i in (1, 2)]
         for some in _by_length(texts):
-            counts += np.bincount(shingles(code_points([texts[i] for i in some])).ravel().astype(np.int64), minlength=len(counts))
-    at = np.nonzero(counts)[0]
-    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at])], ["g", "n"])
+            g = shingles(code_points([texts[i] for i in some])).astype(np.int64)
+            for n, member in zip(counts, sides):
+                n += np.bincount(g[member[some]].ravel(), minlength=len(n))
+    at = np.nonzero(counts.any(axis=0))[0]
+    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[0][at]), pa.array(counts[1][at])], ["g", "t", "e"])
+
 
+class Layout:
+    """Where the postings of each shingle go.
+
+    A shingle is cut into parts[0] parts of its train texts by parts[1] parts of its evaluation texts; each such unit has
+    a bucket. Units are given to the bucket with the least work so far, the largest first. `counts` are those of
+    train and evaluation, at most 2^SHINGLE_BITS each.
+    """
+
+    def __init__(self, counts: np.ndarray, buckets: int | None = None, part_postings: int = PART_POSTINGS) -> None:
+        self.counts = counts
+        self.live = (counts > 0).all(axis=0)
+        n = np.where(self.live, counts, 0)
+        self.buckets = buckets or max(LEAST_BUCKETS, -(-int(n.sum()) // BUCKET_POSTINGS))
+        self.parts = np.maximum(-(-n // part_postings), 1).astype(np.int64)
+        units = self.parts[0] * self.parts[1] * self.live
+        self.first = np.concatenate([[0], np.cumsum(units)])
+        # The pairs that the length and position filters leave are few of all pairs.
+        each = n / self.parts
+        work = np.repeat(each.sum(axis=0) + each[0] * each[1] / 200, units)
+        self.bucket = np.zeros(len(work), np.int32)
+        heap = [(0.0, b) for b in range(self.buckets)]
+        for u in np.argsort(-work, kind="stable").tolist():
+            load, b = heap[0]
+            self.bucket[u] = b
+            heapq.heapreplace(heap, (load + float(work[u]), b))
+
+    def units(self, g: np.ndarray, texts: np.ndarray, side: int) -> tuple[np.ndarray, np.ndarray]:
+        """(posting, unit) of live postings with shingles `g` of texts with the hashes `texts`, on a side (0 train, 1 evaluation)."""
+        own, other = self.parts[side][g], self.parts[1 - side][g]
+        at = np.repeat(np.arange(len(g)), other)
+        k = np.arange(len(at)) - np.repeat(np.cumsum(other) - other, other)
+        mine = (texts % own.astype(np.uint64)).astype(np.int64)[at]
+        t, e = (mine, k) if side == 0 else (k, mine)
+        return at, self.first[g[at]] + t * self.parts[1][g[at]] + e
+
+
+_PACK = pa.schema([("bucket", pa.int32()), ("side", pa.int32()), ("texts", pa.binary()), ("ends", pa.binary()), ("numbers", pa.binary()), ("units", pa.binary()), ("places", pa.binary()), ("ranks", pa.binary())])
+_PACK_DDL = "bucket int, side int, texts binary, ends binary, numbers binary, units binary, places binary, ranks binary"
+
+
+def _small(x: np.ndarray) -> bytes:
+    """Whole numbers as bytes: two each if they fit, else four; the first byte says which."""
+    short = not len(x) or int(x.max()) < 1 << 16
+    return (b"2" if short else b"4") + x.astype(np.uint16 if short else np.uint32).tobytes()
+
+
+def _numbers(x: bytes) -> np.ndarray:
+    return np.frombuffer(x, np.uint16 if x[:1] == b"2" else np.uint32, offset=1).astype(np.int64)
+
+
+def _gathered(batches: Iterator[pa.RecordBatch], texts: int = 30_000, letters: int = 4_000_000) -> Iterator[tuple]:
+    """(texts, is_train, is_eval) of several batches together, up to a number of texts and of letters."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= texts or sum(b.column(0).nbytes for b in held) >= letters:
+            yield _columns_of(held)
+            held = []
+    if held:
+        yield _columns_of(held)
 
-def _post(frequency, buckets: int, blocks: int):
-    """Texts to (bucket, block, side, text, signature, shingles, positions, rank in the prefix or 0) rows."""
+
+def _columns_of(batches: list[pa.RecordBatch]) -> tuple:
+    whole = pa.Table.from_batches(batches)
+    return whole.column(0).to_pylist(), *(whole.column(i).to_numpy().astype(bool) for i in (1, 2))
+
+
+def _post(shared):
+    """Texts to packed rows, one for each bucket and side that a batch has postings for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        counts = frequency.value
-        for batch in batches:
-            texts, train, held = batch.column(0).to_pylist(), *(batch.column(i).to_numpy(zero_copy_only=False).astype(bool) for i in (1, 2))
-            for some in _by_length(texts):
+        layout: Layout = shared.value
+        for texts, *sides in _gathered(batches):
+            coded = [t.encode("utf-8", "surrogatepass") for t in texts]
+            hashes = np.array([xxhash.xxh64_intdigest(t) for t in coded], np.uint64)
+            posts: list[list] = [[], []]
+            for some in map(np.array, _by_length(texts)):
                 points = code_points([texts[i] for i in some])
-                g = shingles(points).astype(np.int32)
-                chosen = prefixes(counts[g].astype(np.float32), points.shape[1] // SHARE + 1)
+                g = shingles(points).astype(np.int64)
+                members = [np.nonzero(member[some])[0] for member in sides]
+                counts = np.concatenate([layout.counts[1 - side][g[own]] for side, own in enumerate(members)]).astype(np.float32)
+                chosen = prefixes(counts, points.shape[1] // SHARE + 1)
                 rank = chosen * np.cumsum(chosen, axis=1, dtype=np.int32)
-                order = np.argsort(g % buckets, axis=1, kind="stable").astype(np.int32)
-                g, rank = np.take_along_axis(g, order, 1), np.take_along_axis(rank, order, 1)
-                bucket = g % buckets
-                first = np.ones(g.shape, bool)
-                first[:, 1:] = bucket[:, 1:] != bucket[:, :-1]
-                begin = np.nonzero(first.ravel())[0]
-                owner = begin // g.shape[1]
-                ends = pa.array(np.append(begin, g.size).astype(np.int32))
-                lists = [pa.ListArray.from_arrays(ends, pa.array(x.ravel())) for x in (g, order, rank)]
-                own = pa.array([texts[i] for i in some], pa.string()).take(pa.array(owner))
-                sig = pa.array([r.tobytes() for r in signatures(points)], pa.binary()).take(pa.array(owner))
-                block = np.array([xxhash.xxh64_intdigest(texts[i].encode("utf-8", "surrogatepass")) % blocks for i in some], np.int32)[owner]
-                at = pa.array(bucket.ravel()[begin])
-                for side, member in ((0, held), (1, train)):
-                    keep = pa.array(member[np.array(some)][owner])
-                    for k in range(blocks if side else 1):
-                        place = pa.array(np.full(len(begin), k, np.int32)) if side else pa.array(block)
-                        whole = pa.RecordBatch.from_arrays([at, place, pa.array(np.full(len(begin), side, np.int32)), own, sig, *lists], schema=_POST)
-                        yield whole.filter(keep)
+                for side, own in enumerate(members):
+                    mine, ranked = g[own], rank[len(members[0]) * side :]
+                    row, place = np.nonzero(layout.live[mine])
+                    posts[side].append((some[own[row]], place, ranked[row, place], mine[row, place]))
+            for side, post in enumerate(posts):
+                if not post:
+                    continue
+                owner, place, rank, shingle = (np.concatenate(x) for x in zip(*post))
+                at, unit = layout.units(shingle, hashes[owner], side)
+                bucket = layout.bucket[unit]
+                order = np.argsort(bucket.astype(np.int64) * len(texts) + owner[at], kind="stable")
+                at, unit, bucket = at[order], unit[order], bucket[order]
+                edges = [0, *(np.nonzero(np.diff(bucket))[0] + 1).tolist(), len(bucket)] if len(bucket) else [0]
+                for a, z in zip(edges, edges[1:]):
+                    who, times = np.unique(owner[at[a:z]], return_counts=True)
+                    own = [coded[i] for i in who.tolist()]
+                    packed = b"".join(own), _small(np.fromiter(map(len, own), np.int64, len(own))), _small(times), _small(unit[a:z]), _small(place[at[a:z]]), _small(rank[at[a:z]])
+                    yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((bucket[a], side, *packed), _PACK.types)], schema=_PACK)
 
     return run
 
 
-_POST = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("side", pa.int32()), ("text", pa.string()), ("sig", pa.binary()), ("g", pa.list_(pa.int32())), ("p", pa.list_(pa.int32())), ("l", pa.list_(pa.int32()))])
-_POST_DDL = "bucket int, block int, side int, text string, sig binary, g array<int>, p array<int>, l array<int>"
-
-
 class _Side:
-    """Postings of some texts: text number, shingle, position, rank in the prefix (0 outside it)."""
-
-    def __init__(self, batch: pa.Table | pa.RecordBatch) -> None:
-        self.texts = batch.column("text").to_pylist()
-        self.length = np.array([len(t) for t in self.texts], np.int64)
-        self.sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint64).reshape(-1, SIGNATURE_WORDS)
-        g = batch.column("g")
-        g = g.combine_chunks() if isinstance(g, pa.ChunkedArray) else g
-        self.owner = np.repeat(np.arange(len(self.texts), dtype=np.int64), np.diff(g.offsets.to_numpy()))
-        self.g = g.flatten().to_numpy().astype(np.int64)
-        p, l = (batch.column(c) for c in ("p", "l"))
-        p, l = (c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in (p, l))
-        self.p, self.l = p.flatten().to_numpy().astype(np.int64), l.flatten().to_numpy().astype(np.int64)
-
-
-class _Index:
-    """All postings of some texts, sorted by shingle and distance from the beginning, and by shingle and distance from the end."""
-
-    def __init__(self, side: _Side) -> None:
-        self.side = side
-        self.sorted = []
-        for place in (side.p, side.length[side.owner] - side.p):
-            key = side.g << 32 | place
-            order = np.argsort(key, kind="stable")
-            self.sorted.append((key[order], side.owner[order], side.p[order]))
-
-    def candidates(self, probe: _Side, strict: bool) -> list[tuple[int, int]]:
-        """(text of the index, text of the probe) where the probe's is the longer (or as long, unless strict).
-
-        Prefix shingles of the probe's texts look for themselves: those of the first half at nearly the
-        same distance from the beginning, the others from the end.
-        """
-        out: list[tuple[int, int]] = []
-        limit = probe.length[probe.owner] // SHARE
-        front = probe.l - 1 <= limit + 1 - probe.l
-        for (keys, owners, places), half, place, reach in (
-            (self.sorted[0], front & (probe.l > 0), probe.p, probe.l - 1),
-            (self.sorted[1], ~front & (probe.l > 0), probe.length[probe.owner] - probe.p, limit + 1 - probe.l),
-        ):
-            g, at, width = probe.g[half] << 32, place[half], reach[half]
-            first = np.searchsorted(keys, g | np.maximum(at - width, 0), "left")
-            count = np.maximum(np.searchsorted(keys, g | (at + width), "right") - first, 0)
-            total = np.concatenate([[0], np.cumsum(count)])
-            own, p, k, tau = probe.owner[half], probe.p[half], probe.l[half], limit[half]
-            start = 0
-            while start < len(count):
-                stop = max(start + 1, int(np.searchsorted(total, total[start] + _CHUNK, "right")) - 1)
-                n = count[start:stop]
-                t = np.repeat(np.arange(start, stop), n)
-                e = np.arange(total[stop] - total[start]) + np.repeat(first[start:stop] - (total[start:stop] - total[start]), n)
-                start = stop
-                other, mine = owners[e], own[t]
-                gap = self.side.length[other] - probe.length[mine]
-                near = (gap < 0 if strict else gap <= 0) & (-gap <= tau[t])
-                e, t, other, mine, gap = e[near], t[near], other[near], mine[near], gap[near]
-                shift = places[e] - p[t]
-                ok = (np.abs(shift) < k[t]) & (np.abs(shift - gap) <= tau[t] + 1 - k[t])
-                other, mine, bound = other[ok], mine[ok], tau[t[ok]]
-                ok = within_bound(probe.sig[mine], self.side.sig[other], bound)
-                other, mine, bound = other[ok], mine[ok], bound[ok]
-                ok = within_bound(self.side.sig[other], probe.sig[mine], bound)
-                out += zip(other[ok].tolist(), mine[ok].tolist())
-        return out
+    """Texts of a bucket on one side and their postings: text number, unit, place, rank in the prefix (0 outside it)."""
+
+    def __init__(self, rows: list[dict]) -> None:
+        self.raw: list[str] = []
+        for r in rows:
+            ends = np.cumsum(_numbers(r["ends"])).tolist()
+            self.raw += [r["texts"][a:z].decode("utf-8", "surrogatepass") for a, z in zip([0, *ends], ends)]
+        columns = [np.concatenate([_numbers(r[c]) for r in rows]) for c in ("numbers", "units", "places", "ranks")]
+        self.owner = np.repeat(np.arange(len(self.raw)), columns[0])
+        self.unit, self.place, self.rank = columns[1:]
+        self.length = np.array([len(t) for t in self.raw], np.int64)
+        self.bits: dict[int, np.ndarray] = {}
+
+    def signatures(self, q: int) -> np.ndarray:
+        if not self.bits:
+            self.bits = {k: np.zeros((len(self.raw), SIGNATURE_WORDS), np.uint64) for k in (2, 3)}
+            for some in _by_length(self.raw):
+                points = code_points([self.raw[i] for i in some])
+                for k, out in self.bits.items():
+                    out[some] = signatures(points, k)
+        return self.bits[q]
+
+
+def _ranges(keys: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    first = np.searchsorted(keys, low, "left")
+    return first, np.maximum(np.searchsorted(keys, high, "right") - first, 0)
+
+
+def _spread(first: np.ndarray, count: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(range, place) of all places of ranges, in chunks; a range is never split."""
+    total = np.concatenate([[0], np.cumsum(count)])
+    a = 0
+    while a < len(count):
+        z = max(a + 1, int(np.searchsorted(total, total[a] + _CHUNK, "right")) - 1)
+        which = np.repeat(np.arange(a, z), count[a:z])
+        yield which, np.arange(total[z] - total[a]) + np.repeat(first[a:z] - (total[a:z] - total[a]), count[a:z])
+        a = z
+
+
+def candidates(index: _Side, probe: _Side, strict: bool) -> set[tuple[int, int]]:
+    """(text of the index, text of the probe) where the probe's is the longer (or as long, unless strict).
+
+    Prefix shingles of the probe's texts look for themselves: those of the first half at nearly the same
+    distance from the beginning, the others from the end.
+    """
+    found: set[tuple[int, int]] = set()
+    # Places and lengths that a sort key of 64 bits tells apart; beyond, they share the last number and are told apart by `check`.
+    span = 1 << (64 - int(max(index.unit.max(initial=1), probe.unit.max(initial=1))).bit_length()) // 2
+    own = np.nonzero(probe.rank > 0)[0]
+    own = own[np.lexsort((probe.place[own], probe.unit[own]))]
+    n, k = probe.length[probe.owner[own]], probe.rank[own]
+    left, right = k - 1, n // SHARE + 1 - k  # how far it may be shifted from either end
+    size = np.minimum(index.length[index.owner], span - 1)
+
+    def check(posting: np.ndarray, p: np.ndarray) -> None:
+        """Filters of length, position and signatures, of which the search has settled the first two for most."""
+        other, mine, w = index.owner[posting], probe.owner[own[p]], left[p] + right[p]
+        gap, shift = index.length[other] - n[p], index.place[posting] - probe.place[own[p]]
+        ok = (gap < 0 if strict else gap <= 0) & (-gap <= w) & (np.abs(shift) <= left[p]) & (np.abs(shift - gap) <= right[p])
+        other, mine, w = other[ok], mine[ok], w[ok]
+        for q in (2, 3):
+            a, b = probe.signatures(q), index.signatures(q)
+            ok = lost_runs(a[mine], b[other]) <= q * w
+            other, mine, w = other[ok], mine[ok], w[ok]
+            ok = lost_runs(b[other], a[mine]) <= q * w
+            other, mine, w = other[ok], mine[ok], w[ok]
+        found.update(zip(other.tolist(), mine.tolist()))
+
+    for front in (True, False):
+        half = np.nonzero((left <= right) == front)[0]
+        reach, slack = (left[half], right[half]) if front else (right[half], left[half])
+        at = probe.place[own[half]] if front else n[half] - probe.place[own[half]]
+        place = np.minimum(index.place if front else index.length[index.owner] - index.place, span - 1)
+        key = (index.unit.astype(np.uint64) * np.uint64(span) + place.astype(np.uint64)) * np.uint64(span) + size.astype(np.uint64)
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+
+        def at_key(unit: np.ndarray, place: np.ndarray, length: np.ndarray) -> np.ndarray:
+            place, length = (np.clip(x, 0, span - 1).astype(np.uint64) for x in (place, length))
+            return (unit.astype(np.uint64) * np.uint64(span) + place) * np.uint64(span) + length
+
+        near = reach <= _REACH
+        unit = probe.unit[own[half]]
+        for a in range(0, len(half), 100_000):
+            some = np.nonzero(near[a : a + 100_000])[0] + a
+            times = 2 * reach[some] + 1
+            row = np.repeat(some, times)
+            step = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times) - reach[row]
+            # From the beginning the texts differ by the step here and by step - gap behind; from the end by the step behind and by step + gap before.
+            low, high = (step - slack[row], step + slack[row]) if front else (-slack[row] - step, slack[row] - step)
+            low, high = np.maximum(low, -(left + right)[half[row]]), np.minimum(high, -1 if strict else 0)
+            spot = at[row] + (step if front else -step)
+            fits = (low <= high) & (spot >= 0)
+            row, low, high, spot = row[fits], low[fits], high[fits], spot[fits]
+            length = n[half[row]]
+            first, count = _ranges(key, at_key(unit[row], spot, length + low), at_key(unit[row], spot, length + high))
+            for which, e in _spread(first, count):
+                check(order[e], half[row[which]])
+        far = np.nonzero(~near)[0]
+        first, count = _ranges(key, at_key(unit[far], at[far] - reach[far], 0 * far), at_key(unit[far], at[far] + reach[far], 0 * far + span))
+        for which, e in _spread(first, count):
+            check(order[e], half[far[which]])
+    return found
 
 
 def _join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by bucket, block and side: index the evaluation side, stream the train side past it."""
+    """The packed rows of whole buckets: index either side, probe it with the prefixes of the other, verify."""
     names = ["eval_text", "train_text", "distance"]
-    current, held, index = None, [], None
-    for whole in batches:
-        key = np.stack([whole.column(i).to_numpy().astype(np.int64) for i in range(3)])
-        cuts = [0, *(np.nonzero(np.any(key[:, 1:] != key[:, :-1], axis=0))[0] + 1).tolist(), whole.num_rows] if whole.num_rows else []
-        for a, z in zip(cuts, cuts[1:]):
-            part = whole.slice(a, z - a)
-            place = tuple(key[:2, a].tolist())
-            if place != current:
-                current, held, index = place, [], None
-            if key[2, a] == 0:
-                held.append(part)
-                continue
-            if not held:
-                continue
-            if index is None:
-                index = _Index(_Side(pa.Table.from_batches(held)))
-            probe = _Side(part)
-            # Either text may be the longer, whose prefix then decides.
-            found = set(index.candidates(probe, strict=True)) | {(e, t) for t, e in _Index(probe).candidates(index.side, strict=False)}
-            rows = []
-            for e, t in found:
-                x, y = index.side.texts[e], probe.texts[t]
-                limit = max(len(x), len(y)) // SHARE
-                d = edit_distance(x, y, limit)
-                if d <= limit:
-                    rows.append((x, y, d))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.string(), pa.int32()))], names)
-
-
-def similar_texts(texts: DataFrame, buckets: int | None = None, block_texts: int = BLOCK_TEXTS) -> DataFrame:
-    """(eval_text, train_text, distance) for distinct `texts` (text, is_train, is_eval).
-
-    As many buckets as the session plans tasks for; a text goes to those of its shingles, so to no more than
-    it has shingles, however many buckets there are.
-    """
+    buckets: dict[int, tuple[list, list]] = {}
+    for batch in batches:
+        for r in batch.to_pylist():
+            buckets.setdefault(r["bucket"], ([], []))[r["side"]].append(r)
+    for bucket in sorted(buckets):
+        packed = buckets.pop(bucket)
+        if not all(packed):
+            continue
+        train, held = map(_Side, packed)
+        units = np.unique(np.concatenate([train.unit, held.unit]))
+        train.unit, held.unit = (np.searchsorted(units, x.unit) for x in (train, held))
+        # Either text may be the longer, whose prefix then decides.
+        found = {(e, t) for t, e in candidates(train, held, strict=True)} | candidates(held, train, strict=False)
+        pairs = [(held.raw[e], train.raw[t]) for e, t in found]
+        limits = [max(map(len, p)) // SHARE for p in pairs]
+        rows = [(*p, d) for p, k, d in zip(pairs, limits, edit_distances(pairs, limits)) if d <= k]
+        for a in range(0, len(rows), 10_000):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[a : a + 10_000]), (pa.string(), pa.string(), pa.int32()))], names)
+
+
+def similar_texts(texts: DataFrame, buckets: int | None = None, part_postings: int = PART_POSTINGS) -> DataFrame:
+    """(eval_text, train_text, distance) for distinct `texts` (text, is_train, is_eval)."""
     spark = texts.sparkSession
-    buckets = buckets or max(LEAST_BUCKETS, parallelism(spark))
-    pairs = texts.select("text").mapInArrow(_count_shingles, "g int, n bigint").groupBy("g").agg(F.sum("n").alias("n"))
-    counts = np.zeros(1 << SHINGLE_BITS, np.int64)
-    for r in pairs.toLocalIterator():  # at most 2^SHINGLE_BITS rows, however large the corpus
-        counts[r.g] = r.n
-    frequency = spark.sparkContext.broadcast(counts)
-    blocks = texts.where("is_eval").count() // block_texts + 1
-    posted = texts.select("text", "is_train", "is_eval").mapInArrow(_post(frequency, buckets, blocks), _POST_DDL)
-    placed = posted.repartition(buckets * blocks, "bucket", "block").sortWithinPartitions("bucket", "block", "side")
+    own = texts.select("text", "is_train", "is_eval")
+    counted = own.mapInArrow(_count_shingles, "g int, t bigint, e bigint").groupBy("g").agg(F.sum("t").alias("t"), F.sum("e").alias("e"))
+    counts = np.zeros((2, 1 << SHINGLE_BITS), np.int64)
+    rows = counted.toArrow()  # at most 2^SHINGLE_BITS rows, however large the corpus
+    for n, side in zip(counts, ("t", "e")):
+        n[rows.column("g").to_numpy()] = rows.column(side).to_numpy()
+    layout = Layout(counts, buckets, part_postings)
+    packed = own.mapInArrow(_post(spark.sparkContext.broadcast(layout)), _PACK_DDL)
+    placed = packed.repartitionById(layout.buckets, "bucket")
     return placed.mapInArrow(_join, "eval_text string, train_text string, distance int").distinct()
 
 
@@ -339,7 +482,7 @@ def split_lines(lines: DataFrame, manifest: DataFrame) -> DataFrame:
     return train.unionByName(held).select("line_id", F.col("s").alias("split"), "source", "is_train", "is_eval", "text").distinct()
 
 
-def find_overlaps(lines: DataFrame, manifest: DataFrame, buckets: int | None = None, block_texts: int = BLOCK_TEXTS) -> DataFrame:
+def find_overlaps(lines: DataFrame, manifest: DataFrame, buckets: int | None = None, part_postings: int = PART_POSTINGS) -> DataFrame:
     """Pairs of an evaluation line and a similar train line, with split and source of each and the distance.
 
     Columns: eval_id, train_id, eval_split, eval_source, train_source, distance. Repeated rows and manifests
@@ -348,7 +491,7 @@ def find_overlaps(lines: DataFrame, manifest: DataFrame, buckets: int | None = N
     """
     own = cut(split_lines(lines, manifest))
     texts = cut(own.groupBy("text").agg(F.max("is_train").alias("is_train"), F.max("is_eval").alias("is_eval")))
-    pairs = similar_texts(texts, buckets, block_texts)
+    pairs = similar_texts(texts, buckets, part_postings)
     held = own.where("is_eval").select(F.col("text").alias("eval_text"), F.col("line_id").alias("eval_id"), F.col("split").alias("eval_split"), F.col("source").alias("eval_source"))
     train = own.where("is_train").select(F.col("text").alias("train_text"), F.col("line_id").alias("train_id"), F.col("source").alias("train_source"))
     out = pairs.join(held, "eval_text").join(train, "train_text").where("eval_id <> train_id")
