@@ -1,11 +1,13 @@
 """Problem 1: texts that look the same but are coded differently, into one consistent form.
 
-Method: for every token the sets of scripts its letters resolve to are intersected. A letter that looks like
-a letter of another script stands for both, so a token of one visible script keeps a script in common
-with itself. A token whose letters, as coded, have no script in common is a mixed-script confusable; one of
-a single foreign script whose letters all look Latin is a whole-script confusable. For both the
-script that all letters can be spelled in is selected and the token is respelled. What remains is plain
-normalisation: wide forms, ligatures, composition, spaces, invisible signs.
+Method: every letter resolves to the scripts it can be spelled in, its own and those of the letters that look
+like it. For every token the sets of its letters are intersected. A token whose letters, as coded, have no script in common
+is a mixed-script confusable; one of a single foreign script whose letters all look Latin is a whole-script
+confusable. The script that all letters share is selected, of several the one most letters of the text have, and
+the token is spelled in it. What remains is plain normalisation: wide forms, ligatures, composition, spaces, invisible signs.
+
+Letters that resemble an ASCII letter only loosely count if the sure ones leave no script to all letters. In a token that no script can
+spell, such as two words run together, stretches of one script stay that have a letter of this script alone; the others beside ASCII letters become Latin.
 
 Signs that read or look differently stay: long s, Tironian et, barred p, the middle dot, dashes, q with
 tilde, and words wholly in Greek.
@@ -15,6 +17,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -37,7 +40,7 @@ KEPT_SCRIPTS = frozenset({"GREEK"})
 INVISIBLE_EXTRA = "͏ᅟᅠ឴឵ㅤﾠ"
 
 _LATIN = {c: a for a, cs in LOOKALIKES.items() for c in cs}
-_WORD = re.compile(r"[^\W\d_]+(?:[̀-ͯ҃-֑҇-ׇؐ-ًؚ-ٰٟ᪰-᫿᷀-᷿⃐-⃿︠-︯]+[^\W\d_]*)*")
+WORD = re.compile(r"[^\W\d_]+(?:[̀-ͯ҃-֑҇-ׇؐ-ًؚ-ٰٟ᪰-᫿᷀-᷿⃐-⃿︠-︯]+[^\W\d_]*)*")
 _PLAIN = re.compile(r"[\x20-\x7eÀ-ÿ\n]*")
 
 
@@ -47,20 +50,110 @@ def script(c: str) -> str:
     return unicodedata.name(c, "").split(" ")[0]
 
 
-def scripts(c: str) -> frozenset[str]:
-    """Scripts a letter can be read in: its own, and Latin if it looks like an ASCII letter."""
-    own = script(c)
-    return frozenset((own, "LATIN")) if c in _LATIN else frozenset((own,))
+def _spellings(loosely: bool) -> dict[str, dict[str, str]]:
+    """How a letter is spelled in each script that has a letter like it; `loosely`: with the foreign letters of LOOSE."""
+    out: dict[str, dict[str, str]] = {}
+    for letter, others in LOOKALIKES.items():
+        group = letter + "".join(c for c in others if loosely or c not in LOOSE or script(c) == "LATIN")
+        first = {script(c): c for c in reversed(group)}
+        for c in group:
+            out[c] = out.get(c, {}) | first | ({script(c): c} if script(c) != "LATIN" else {})
+    return out
+
+
+_SURE, _LOOSELY = _spellings(False), _spellings(True)
+
+
+@lru_cache(maxsize=65536)
+def spelled(c: str, loosely: bool = False) -> dict[str, str]:
+    """Script -> spelling of a letter, accents set aside; one that is a variant of an ASCII letter is spelled as that is."""
+    base = unicodedata.normalize("NFD", c)[0]
+    if base == "µ":
+        base = "μ"
+    elif unicodedata.decomposition(base).startswith(("<font>", "<compat>")) and base not in _LATIN and base != "ſ":
+        plain = unicodedata.normalize("NFKC", base)
+        if len(plain) == 1 and plain.isascii() and plain.isalpha():
+            return {"LATIN": plain}
+    return (_LOOSELY if loosely else _SURE).get(base) or {script(base): base}
+
+
+@lru_cache(maxsize=65536)
+def letter(c: str) -> bool:
+    """Letters, and letters that stand for numbers."""
+    return c.isalpha() or unicodedata.category(c) == "Nl"
+
+
+@lru_cache(maxsize=65536)
+def suspect(c: str) -> bool:
+    """Whether a letter is of another script than Latin or looks like an ASCII letter."""
+    return not c.isascii() and letter(c) and (script(c) != "LATIN" or unicodedata.normalize("NFD", c)[0] in _LATIN or script(c) not in spelled(c))
 
 
-def resolve(word: str) -> tuple[frozenset[str], frozenset[str]]:
-    """The scripts of a word as coded, and the intersection of what its letters can be read in."""
-    letters = [c for c in word if c.isalpha()]
+def resolve(word: str, loosely: bool = False) -> tuple[frozenset[str], frozenset[str]]:
+    """The scripts of a word as coded, and those that each of its letters can be spelled in."""
+    letters = [c for c in word if letter(c)]
     coded = frozenset(map(script, letters))
-    common = frozenset.intersection(*map(scripts, letters)) if letters else frozenset()
+    common = frozenset.intersection(*(frozenset(spelled(c, loosely)) for c in letters)) if letters else frozenset()
     return coded, common
 
 
+def _spell(word: str, wanted: str, loosely: bool = False) -> str:
+    """The word's letters in one script, as far as it has them; accents stay."""
+    parts = []
+    for c in word:
+        new = spelled(c, loosely).get(wanted)
+        marks = unicodedata.normalize("NFD", c)[1:]
+        parts.append(c if new is None or script(c) == wanted and c not in _LATIN and c != "µ" else unicodedata.normalize("NFC", new + marks))
+    return "".join(parts)
+
+
+def main_script(words: list[str]) -> str:
+    """The script that most letters of the words are coded in; words that may be Latin in disguise do not count. Latin on ties."""
+    counts: Counter[str] = Counter()
+    for w in words:
+        coded, common = (frozenset(("LATIN",)),) * 2 if w.isascii() else resolve(w)
+        if "LATIN" in coded or "LATIN" not in common:
+            counts.update(map(script, filter(letter, w)))
+    return max(counts, key=lambda k: (counts[k], k == "LATIN"), default="LATIN")
+
+
+def respell(word: str, words: list[str]) -> tuple[str, str]:
+    """(spelling, kind) of a composed word among the words of its text: kind is mixed_script, whole_script or empty."""
+    if word.isascii() or not any(map(suspect, word)):
+        return word, ""
+    coded, common = resolve(word)
+    has_ascii = any(c.isascii() and c.isalpha() for c in word)
+    if len(coded) == 1 and "LATIN" not in coded:
+        odd = any(script(c) not in spelled(c) for c in word if letter(c))
+        if not odd and (coded & KEPT_SCRIPTS or "LATIN" not in common or any(c in LOOSE for c in word) or main_script(words) in coded):
+            return word, ""
+        new = _spell(word, "LATIN" if "LATIN" in common else next(iter(common), ""))
+        return new, "whole_script" if new != word else ""
+    if not common and "LATIN" in resolve(word, True)[1]:
+        common, new = frozenset(("LATIN",)), _spell(word, "LATIN", True)
+    elif common:
+        main, letters = main_script(words), Counter(map(script, word))
+        new = _spell(word, max(common, key=lambda k: (k == main, letters[k], k == "LATIN", k)))
+    else:
+        # Words run together: stretches of one script with a letter that no other script has stay as they are.
+        new = "".join(_spell(part, "LATIN") if has_ascii and all("LATIN" in spelled(c) for c in part if letter(c)) else part for part in _stretches(word))
+    return new, "" if new == word and not (common and has_ascii and any(c in _LATIN and c not in LOOSE for c in word)) else "mixed_script" if has_ascii else "whole_script"
+
+
+def _stretches(word: str) -> list[str]:
+    """The word cut where the script of its letters changes."""
+    out: list[str] = []
+    last = ""
+    for c in word:
+        own = script(c) if letter(c) else last
+        if out and own == last:
+            out[-1] += c
+        else:
+            out.append(c)
+        last = own
+    return out
+
+
 def _invisible(c: str) -> bool:
     return unicodedata.category(c) in ("Cf", "Cc", "Cs", "Co") and c not in "\n\r\t" or c in INVISIBLE_EXTRA
 
@@ -71,7 +164,7 @@ def _space(c: str) -> bool:
 
 @lru_cache(maxsize=65536)
 def _single(c: str) -> tuple[str, str]:
-    """(kind, plain form) of a character on its own: wide, ligature, invisible, space, or ''."""
+    """(kind, plain form) of a character on its own: wide, ligature, invisible, space, or none."""
     if c.isascii() and c.isprintable() or c in "\n\r":
         return "", c
     if _invisible(c):
@@ -85,8 +178,8 @@ def _single(c: str) -> tuple[str, str]:
         return "wide", unicodedata.normalize("NFKC", c)
     if kind in ("<font>", "<compat>"):
         plain = unicodedata.normalize("NFKC", c)
-        if plain.isalpha() and c != "ſ":
-            return ("ligature" if len(plain) > 1 else "lookalike"), plain
+        if plain.isalpha() and len(plain) > 1:
+            return "ligature", plain
     return "", c
 
 
@@ -102,7 +195,7 @@ def inspect(text: str | None) -> tuple[str | None, list[str]]:
     for c in text:
         kind, plain = _single(c)
         if kind:
-            kinds.add("mixed_script" if kind == "lookalike" else kind)
+            kinds.add(kind)
         parts.append(plain)
     plain = "".join(parts)
     composed = unicodedata.normalize("NFC", plain)
@@ -111,25 +204,15 @@ def inspect(text: str | None) -> tuple[str | None, list[str]]:
     elif unicodedata.normalize("NFC", text) != text:
         kinds.add("decomposed")
 
-    def respell(m: re.Match) -> str:
-        word = m.group()
-        if word.isascii() or not any(c in _LATIN for c in word):
-            return word
-        coded, common = resolve(word)
-        has_ascii = any(c.isascii() and c.isalpha() for c in word)
-        if has_ascii:
-            # Letters as coded and the letters they look like: only Latin is left to all of them, or to all but true foreign ones.
-            sure = [c for c in word if c in _LATIN and c not in LOOSE]
-            if sure or "LATIN" in common:
-                kinds.add("mixed_script")
-                return "".join(_LATIN.get(c, c) for c in word)
-            return word
-        if "LATIN" in common and "LATIN" not in coded and not coded & KEPT_SCRIPTS and not any(c in LOOSE for c in word):
-            kinds.add("whole_script")
-            return "".join(_LATIN.get(c, c) for c in word)
-        return word
-
-    out = _WORD.sub(respell, composed)
+    words = WORD.findall(composed) if any(map(suspect, set(composed))) else []
+
+    def consistently(m: re.Match) -> str:
+        new, kind = respell(m.group(), words)
+        if kind:
+            kinds.add(kind)
+        return new
+
+    out = WORD.sub(consistently, composed) if words else composed
     out = unicodedata.normalize("NFC", out)
     if "space" in kinds or "invisible" in kinds:
         out = re.sub(" {2,}", " ", out) if "  " not in text else out

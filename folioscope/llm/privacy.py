@@ -1,8 +1,8 @@
 """Problem 8: personal information inside free text, found and replaced by typed placeholders.
 
 Method: offset-preserving deobfuscation. Transducers rewrite a text step by step into a plain form:
-signs that look like ASCII ones, wide forms, odd spaces and hyphens, invisible signs, digits that are spelled out, at and dot that are
-written out. Each step keeps, for every position of its output, the position of its source. Identifiers
+invisible signs, letters with separate marks, wide forms, odd spaces and hyphens, words spelled with look-alikes (by the table and the
+rules of problem 1), digits that are spelled out, at and dot that are written out. Each step keeps, for every position of its output, the position of its source. Identifiers
 are detected in the plain form and their spans are mapped back, so the stored text alone is cut.
 
 Names are recognised by a model trained from the name table: listed forms, and forms put together
@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioscope.llm.lookalikes import WORD, respell, suspect
+
 KINDS = ("email", "phone", "id_number", "address", "name")
 #: Forms of the name table that the tasks can hold; a larger table is refused, not shortened.
 MAX_FORMS = 1_000_000
@@ -35,11 +37,12 @@ _SAME_LENGTH = str.maketrans(
         **dict.fromkeys("‐‑‒–−﹣", "-"),
         **dict.fromkeys("’‘ʼ＇", "'"),
         "․": ".", "。": ".", "﹒": ".", "﹫": "@", "⁄": "/", "∕": "/",
-        **dict(zip("аеорсухіјѕһԁԛԝոսօցАВЕКМНОРСТХЅІЈΑΒΕΗΙΚΜΝΟΡΤΥΧΖ", "aeopcyxijshdqwnuogABEKMHOPCTXSIJABEHIKMNOPTYXZ")),
     }
 )
-_ODD = re.compile("[   -   　！-～‐‑‒–−﹣’‘ʼ․。﹒﹫⁄∕аеорсухіјѕһԁԛԝոսօցАВЕКМНОРСТХЅІЈΑΒΕΗΙΚΜΝΟΡΤΥΧΖ]")
+_ODD = re.compile("[   -   　！-～‐‑‒–−﹣’‘ʼ․。﹒﹫⁄∕]")
 _INVISIBLE = re.compile("[­​-‏‪-‮⁠-⁤﻿]+")
+#: Letters with separate marks.
+_MARKED = re.compile(r"[^\W\d_][\u0300-\u036f]+")
 #: at and dot written out (fixed values).
 _AT = r"\s*[\[({<]\s*(?:at|arobase|arobas|chez|@)\s*[\])}>]\s*|\s+(?:arobase|AT)\s+|\s+at\s+(?=[\w-]+\s+dot\s)"
 _DOT = r"\s*[\[({<]\s*(?:dot|point|\.)\s*[\])}>]\s*|(?<=\w)\s+(?:dot|DOT|point)\s+(?=[\w-]+)"
@@ -67,7 +70,7 @@ class Plain:
         return position + self.shift[k]
 
     def rewrite(self, spans: list[tuple[int, int, str]]) -> None:
-        """Put other strings in place of some spans; a replacement's positions map to the source of its span's start."""
+        """Put other strings in place of some spans; those of the same length keep their positions, others map to the source of their span's start."""
         if not spans:
             return
         parts, at, shift, last, length = [], [], [], 0, 0
@@ -87,12 +90,16 @@ class Plain:
 
         for a, z, new in spans:
             keep(last, a)
-            origin = self.source(a)
-            for c in new:
-                at.append(length)
-                shift.append(origin - length)
-                parts.append(c)
-                length += 1
+            if len(new) == z - a:
+                keep(a, z)
+                parts[-1] = new
+            else:
+                origin = self.source(a)
+                for c in new:
+                    at.append(length)
+                    shift.append(origin - length)
+                    parts.append(c)
+                    length += 1
             last = z
         keep(last, len(self.text))
         self.text, self.at, self.shift = "".join(parts), at or [0], shift or [0]
@@ -117,8 +124,13 @@ def plain_form(text: str) -> Plain:
     if not text.isascii():
         if _INVISIBLE.search(p.text):
             p.rewrite([(m.start(), m.end(), "") for m in _INVISIBLE.finditer(p.text)])
+        if _MARKED.search(p.text):
+            p.rewrite([(m.start(), m.end(), unicodedata.normalize("NFC", m.group())) for m in _MARKED.finditer(p.text)])
         if _ODD.search(p.text):
             p.text = p.text.translate(_SAME_LENGTH)
+        if any(map(suspect, set(p.text))):
+            words = WORD.findall(p.text)
+            p.rewrite([(m.start(), m.end(), new) for m in WORD.finditer(p.text) if (new := respell(m.group(), words)[0]) != m.group()])
     if _WRITTEN_OUT.search(p.text):
         p.rewrite([s for m in _DISGUISED.finditer(p.text) for s in _undisguise(m)])
     spelled = list(_SPELLED.finditer(p.text)) if _DIGIT_PAIR.search(p.text) else []

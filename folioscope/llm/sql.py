@@ -1,7 +1,6 @@
 """SQL twins of the queries that SQL can express on whole tables."""
 
 from folioscope.llm.leaks import BREAK_MARKS
-from folioscope.llm.lookalikes import LOOKALIKES
 
 _TERMS = r"""
 WITH l AS (SELECT line_id, min(text) AS text FROM corpus_lines WHERE text IS NOT NULL GROUP BY line_id),
@@ -11,15 +10,40 @@ c AS (SELECT term, count(*) AS n_occurrences, count(DISTINCT line_id) AS n_recor
 m AS (SELECT c.*, CASE WHEN n_records < 3 THEN 'rare' WHEN n_records > 0.05 * total THEN 'common' END AS mark FROM c, n)
 """
 
-_LOOK = "".join(sorted(set("".join(LOOKALIKES.values()))))
+#: A table of the twins' own: foreign letters, and the ASCII letters they look like (fixed values).
+_FOREIGN = ("аеорсухіјѕһԁԛԝАВЕКМНОРСТУХЅІЈ" + "ոսօցՕՏՍ" + "οϲνυιαρτκχγσΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹ" + "ɡɑᎪᏴᏟᎠᎬᎻᎫᏦᏞᎷᏢᎡᏚᎢᏙᎳᏃ", "aeopcyxijshdqwABEKMHOPCTYXSIJ" + "nuogOSU" + "ocvuiaptkxyoABEZHIKMNOPTYXC" + "gaABCDEHJKLMPRSTVWZ")
+#: Of these, letters that resemble their ASCII letter only loosely; Greek letters that no ASCII letter resembles; ligatures (fixed values).
+_LOOSELY, _GREEK_ONLY = "ցυτκχγσ", "βδεζηθλμξπςφψωΓΔΘΛΞΠΣΦΨΩ"
+_LIGATURES = dict(zip("ﬀ ﬁ ﬂ ﬃ ﬄ ﬅ ﬆ ĳ Ĳ ⅱ ⅲ ⅳ ⅵ ⅶ ⅷ ⅸ ⅺ ⅻ Ⅱ Ⅲ Ⅳ Ⅵ Ⅶ Ⅷ Ⅸ Ⅺ Ⅻ".split(), "ff fi fl ffi ffl st st ij IJ ii iii iv vi vii viii ix xi xii II III IV VI VII VIII IX XI XII".split()))
+_SPACES = r"\t\x{0b}\x{0c}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_HIDDEN = r"\p{Cf}\x{34f}\x{115f}\x{1160}\x{17b4}\x{17b5}\x{3164}\x{ffa0}"
+_WIDE = "".join(chr(0xFF01 + i) for i in range(94)), "".join(chr(0x21 + i) for i in range(94)).replace("'", "''")
+#: A stretch of Greek with a letter that is Greek alone; the letters that surely look like ASCII ones.
+_KEPT = rf"[\p{{Greek}}\p{{M}}]*[{_GREEK_ONLY}][\p{{Greek}}\p{{M}}]*"
+_ALIKE = "".join(c for c in _FOREIGN[0] if c not in _LOOSELY)
 
-#: Fields with signs of a class of differences. The word of a look-alike is a run of letters and marks, invisible signs taken out.
-_LOOKALIKES = rf"""
-WITH f AS (SELECT DISTINCT run_id, line_index, unnest([struct_pack(field := 'text_raw', t := text_raw), struct_pack(field := 'text_normalized', t := text_normalized), struct_pack(field := 'text_gt', t := text_gt)]) AS x FROM run_lines),
-p AS (SELECT run_id, line_index, x.field AS field, x.t AS t, regexp_replace(translate(x.t, '{"".join(chr(0xFF01 + i) for i in range(94) if chr(0x21 + i).isalpha())}', '{"".join(chr(0x21 + i) for i in range(94) if chr(0x21 + i).isalpha())}'), '[\p{{Cf}}]', '', 'g') AS plain FROM f)
-SELECT DISTINCT run_id, line_index, field FROM p WHERE regexp_matches(t, '[\p{{Cf}}\t\x{{0b}}\x{{0c}}\x{{85}}\x{{a0}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}\x{{ff01}}-\x{{ff5e}}\x{{fb00}}-\x{{fb06}}\x{{132}}\x{{133}}\x{{2171}}-\x{{2173}}\x{{2175}}-\x{{2178}}\x{{217a}}\x{{217b}}\x{{2161}}-\x{{2163}}\x{{2165}}-\x{{2168}}\x{{216a}}\x{{216b}}]')
-  OR nfc_normalize(t) <> t OR regexp_matches(plain, '[A-Za-z][\p{{L}}\p{{M}}]*[{_LOOK}]|[{_LOOK}][\p{{L}}\p{{M}}]*[A-Za-z]')
-"""
+
+def _fields(name: str) -> str:
+    """Form and kinds of one field, step by step."""
+    ligatures = "w.c"
+    for sign, letters in _LIGATURES.items():
+        ligatures = f"replace({ligatures}, '{sign}', '{letters}')"
+    mixed = rf"regexp_matches(x, '[A-Za-z]') AND regexp_matches(regexp_replace(x, '{_KEPT}', '', 'g'), '[{_ALIKE}]')"
+    whole = rf"regexp_full_match(x, '[{_ALIKE}]+') AND NOT regexp_full_match(x, '[\p{{Greek}}]+')"
+    spelled = rf"array_to_string(list_transform(regexp_extract_all(x, '{_KEPT}|[^\p{{Greek}}]+|[\p{{Greek}}\p{{M}}]+'), lambda y: CASE WHEN regexp_full_match(y, '{_KEPT}') THEN y ELSE translate(y, '{_FOREIGN[0]}', '{_FOREIGN[1]}') END), '')"
+    word = r"regexp_extract_all(n, '[\p{L}\p{M}\p{Nl}]+|[^\p{L}\p{M}\p{Nl}]+')"
+    return rf"""SELECT t, CASE WHEN (regexp_matches(t, '[{_SPACES}]') OR regexp_matches(t, '[{_HIDDEN}]')) AND NOT contains(t, '  ') THEN regexp_replace(o, ' +', ' ', 'g') ELSE o END AS {name},
+  list_filter([CASE WHEN nfc_normalize(t) <> t OR nfc_normalize(l) <> l THEN 'decomposed' END, CASE WHEN regexp_matches(t, '[{_HIDDEN}]') THEN 'invisible' END, CASE WHEN regexp_matches(t, '[{"".join(_LIGATURES)}]') THEN 'ligature' END,
+    CASE WHEN len(list_filter(ws, lambda x: {mixed})) > 0 THEN 'mixed_script' END, CASE WHEN regexp_matches(t, '[{_SPACES}]') THEN 'space' END, CASE WHEN len(list_filter(ws, lambda x: {whole})) > 0 THEN 'whole_script' END,
+    CASE WHEN regexp_matches(t, '[\x{{ff01}}-\x{{ff5e}}]') THEN 'wide' END], lambda x: x IS NOT NULL) AS {name}_kinds
+FROM (SELECT t, l, ws, nfc_normalize(array_to_string(list_transform(ws, lambda x: CASE WHEN {mixed} OR {whole} THEN {spelled} ELSE x END), '')) AS o
+  FROM (SELECT t, l, {word} AS ws FROM (SELECT t, l, nfc_normalize(l) AS n FROM (SELECT t, {ligatures} AS l FROM (SELECT t, regexp_replace(regexp_replace(translate(t, '{_WIDE[0]}', '{_WIDE[1]}'), '[{_HIDDEN}]', '', 'g'), '[{_SPACES}]', ' ', 'g') AS c FROM (SELECT DISTINCT {name} AS t FROM run_lines WHERE {name} IS NOT NULL)) w))))"""
+
+
+_NAMES = ("text_raw", "text_normalized", "text_gt")
+_FIELDS = "WITH " + ", ".join(f"f_{n} AS ({_fields(n)})" for n in _NAMES)
+_FORMS = f"{_FIELDS} SELECT run_id, line_index, " + ", ".join([f"f_{n}.{n}" for n in _NAMES] + [f"coalesce({n}_kinds, []::VARCHAR[]) AS {n}_kinds" for n in _NAMES]) + " FROM (SELECT DISTINCT run_id, line_index, text_raw, text_normalized, text_gt FROM run_lines) r " + " ".join(f"LEFT JOIN f_{n} ON r.{n} = f_{n}.t" for n in _NAMES)
+_LOOKALIKES = f"{_FIELDS} " + " UNION ".join(f"SELECT DISTINCT run_id, line_index, '{n}' AS field FROM run_lines JOIN f_{n} ON run_lines.{n} = f_{n}.t WHERE len(list_filter({n}_kinds, lambda x: x <> 'whole_script')) > 0" for n in _NAMES)
 
 #: Signs of the corpus beyond ASCII, each with a one-byte sign, as distances here count bytes.
 _CODES = ("éëãẽõſ⁊ꝑ·èàâêûîôçùïœæĩũꝐÉ̃", "\x01\x02\x03\x04\x05\x06\x07\x08\x0e\x0f\x10\x11\x12\x13\x14\x15\x16\x17\x18\x19\x1a\x1b\x1c\x1d\x1e\x1f")
@@ -51,6 +75,7 @@ _LEAKS = f"SELECT DISTINCT d.k AS doc_id, i.k AS item_id FROM ({_grams('document
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": _LOOKALIKES,
+        "p1_fields": _FORMS,
         "p2_found": _TERMS + "SELECT term, mark FROM m WHERE mark IS NOT NULL",
         "p2_frequencies": _TERMS + "SELECT term, n_occurrences, n_records, mark FROM m",
         "p4_found": _OVERLAPS,
