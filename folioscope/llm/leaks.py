@@ -1,7 +1,8 @@
 """Problem 7: held-out passages that occur, whole or in part, in a corpus.
 
 Method: a broadcast hash set of the normalised n-grams of the held-out items; one scan of the corpus
-slides a window of n words over every text, looks its hash up, and verifies each hit word by word.
+slides a window of n words over every text, looks its hash up, and verifies each hit word by word. Spans with a
+verified hit are cut out of the texts, or the documents are dropped.
 
 Words are runs of letters, compared without case, accents, v/u, j/i and long s; whatever stands between them is
 ignored; a word broken by a mark at the end of a line is whole.
@@ -23,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioscope.session import cut
 
 #: Marks that break a word at the end of a line (fixed values).
 BREAK_MARKS = "-‐‑‒–¬⸗=~­"
@@ -62,17 +64,41 @@ def fold(word: str) -> str:
     return word.lower().replace("v", "u").replace("j", "i").replace("ſ", "s")
 
 
-def raw_words(text: str) -> list[str]:
-    """Words as they stand, those broken at a line end joined."""
-    broken, marks, word = _patterns()
+def _joined(text: str) -> tuple[str, list[tuple[int, int]]]:
+    """The text with words broken at a line end joined, and the stretches taken out for it."""
+    gone: list[tuple[int, int]] = []
     if "\n" in text or "\r" in text:
+        broken, marks, _ = _patterns()
 
         def join(m: re.Match) -> str:
             before, after = text[: m.start()][-8:], text[m.end() : m.end() + 1]
-            return "" if after.isalpha() and marks.sub("", before)[-1:].isalpha() else m.group()
+            if not (after.isalpha() and marks.sub("", before)[-1:].isalpha()):
+                return m.group()
+            gone.append(m.span())
+            return ""
+
+        return broken.sub(join, text), gone
+    return text, gone
 
-        text = broken.sub(join, text)
-    return word.findall(text)
+
+def raw_words(text: str) -> list[str]:
+    """Words as they stand, those broken at a line end joined."""
+    return _patterns()[2].findall(_joined(text)[0])
+
+
+def located_words(text: str) -> tuple[list[str], list[int], list[int]]:
+    """`raw_words`, and where each begins and ends in the text."""
+    plain, gone = _joined(text)
+    found = list(_patterns()[2].finditer(plain))
+    starts, ends = [m.start() for m in found], [m.end() for m in found]
+    if gone:
+        # What was taken out before a place of the joined text: the breaks whose place in it is not behind.
+        size = np.cumsum([z - a for a, z in gone])
+        place = np.array([a for a, _ in gone]) - np.append(0, size[:-1])
+        shift = np.append(0, size)
+        starts = [x + int(shift[np.searchsorted(place, x, "right")]) for x in starts]
+        ends = [x + int(shift[np.searchsorted(place, x, "left")]) for x in ends]
+    return [m.group() for m in found], starts, ends
 
 
 def words(text: str) -> list[str]:
@@ -118,9 +144,23 @@ class GramSet:
 
     def hits(self, text: str) -> list[tuple[int, set]]:
         """(index of the first word, items) of every window that is an n-gram of an item."""
+        return self._hits(raw_words(text))
+
+    def spans(self, text: str) -> list[tuple[int, int]]:
+        """Stretches of the text that windows with an n-gram of an item cover, in order and apart."""
+        found, starts, ends = located_words(text)
+        out: list[list[int]] = []
+        for i, _ in self._hits(found):
+            a, z = starts[i], ends[i + self.n - 1]
+            if out and a <= out[-1][1]:
+                out[-1][1] = max(z, out[-1][1])
+            else:
+                out.append([a, z])
+        return [(a, z) for a, z in out]
+
+    def _hits(self, found: list[str]) -> list[tuple[int, set]]:
         if self.ids is None:
             self.ids = _Ids(self.vocabulary)
-        found = raw_words(text)
         if len(found) < self.n or not len(self.hashes):
             return []
         ids = np.fromiter(map(self.ids.__getitem__, found), np.int64, len(found))
@@ -182,3 +222,46 @@ _ARROW = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "small
 def drop_leaking_documents(corpus: DataFrame, leaks: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     """`corpus` without the documents of `leaks`; rows with a null id stay."""
     return corpus.join(leaks.select(doc_id).distinct(), doc_id, "left_anti")
+
+
+def remove_leaks(corpus: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = 8, max_set_bytes: int = 64 << 20) -> DataFrame:
+    """(doc_id, text, n_spans): every row of `corpus`, its text without the stretches that have `n` consecutive words of an item.
+
+    A stretch runs from the first letter of its first window to the last letter of its last; overlapping ones are
+    one. Null and empty texts, and texts without such words, stay as they are with 0 spans; a null id is an id; repeated rows stay.
+    """
+    spark = corpus.sparkSession
+    rows = corpus.select(F.col(doc_id).alias("d"), F.col(text).alias("t"))
+    schema = f"d {rows.schema['d'].dataType.simpleString()}, t string, a array<int>, z array<int>"
+    none = F.array().cast("array<int>")
+    rows = rows.select("d", "t", none.alias("a"), none.alias("z"))
+    blocks = _blocks(items, item_id, item_text, max_set_bytes)
+    for k, block in enumerate(blocks):
+        grams = spark.sparkContext.broadcast(GramSet([(r.i, r.t) for r in block.collect()], n))
+
+        def scan(batches: Iterator[pa.RecordBatch], grams=grams) -> Iterator[pa.RecordBatch]:
+            index = grams.value
+            for batch in batches:
+                firsts, lasts = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+                for a, z, body in zip(firsts, lasts, batch.column(1)):
+                    for x, y in index.spans(body.as_py()) if body.is_valid else []:
+                        a.append(x)
+                        z.append(y)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(firsts, pa.list_(pa.int32())), pa.array(lasts, pa.list_(pa.int32()))], ["d", "t", "a", "z"])
+
+        rows = rows.mapInArrow(scan, schema)
+        # One set at a time is in a worker's memory.
+        rows = cut(rows) if k + 1 < len(blocks) else rows
+    spans = F.aggregate(
+        F.array_sort(F.arrays_zip("a", "z")),
+        F.array().cast("array<struct<a:int,z:int>>"),
+        lambda acc, s: F.when(
+            (F.size(acc) > 0) & (s["a"] <= F.element_at(acc, -1)["z"]),
+            F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["a"].alias("a"), F.greatest(F.element_at(acc, -1)["z"], s["z"]).alias("z")))),
+        ).otherwise(F.concat(acc, F.array(F.struct(s["a"].alias("a"), s["z"].alias("z"))))),
+    )
+    s = rows.withColumn("s", F.when(F.size("a") > 0, spans).otherwise(F.array().cast("array<struct<a:int,z:int>>")))
+    # What is left stands between the end of each stretch and the beginning of the next.
+    ends, begins = F.concat(F.array(F.lit(0)), F.transform("s", lambda x: x["z"])), F.concat(F.transform("s", lambda x: x["a"]), F.array(F.length("t")))
+    kept = F.array_join(F.zip_with(ends, begins, lambda a, z: F.substring(F.col("t"), a + 1, z - a)), "")
+    return s.select(F.col("d").alias(doc_id), F.when(F.size("s") > 0, kept).otherwise(F.col("t")).alias(text), F.size("s").alias("n_spans"))

@@ -56,6 +56,10 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
+def p7_clean(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.remove_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return privacy.find_personal(table(spark, d, "documents"), table(spark, d, "name_forms")).select("doc_id", "pii_kind", "start_pos")
 
@@ -65,4 +69,4 @@ def p8_text(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_fields, p2_found, p2_frequencies, p4_found, p4_report, p5_found, p5_text, p6_ids, p7_found, p8_found, p8_text)}
+    return {f.__name__: f for f in (p1_found, p1_fields, p2_found, p2_frequencies, p4_found, p4_report, p5_found, p5_text, p6_ids, p7_found, p7_clean, p8_found, p8_text)}

@@ -56,6 +56,10 @@ r AS (SELECT DISTINCT line_id, t, length(t) AS k FROM s WHERE split = 'train')
 SELECT DISTINCT least(e.line_id, r.line_id) AS line_id_a, greatest(e.line_id, r.line_id) AS line_id_b FROM e JOIN r ON abs(e.k - r.k) <= greatest(e.k, r.k) // 5 WHERE levenshtein(e.t, r.t) <= greatest(e.k, r.k) // 5
 """
 
+_REPORT = _OVERLAPS[: _OVERLAPS.index("SELECT DISTINCT least")].replace("'g')) AS split,", "'g')) AS split, source, text,", 1).replace("DISTINCT s.line_id, t,", "DISTINCT s.line_id, s.split, source, text, t,").replace("DISTINCT line_id, t,", "DISTINCT line_id, source, text, t,") + """,
+p AS (SELECT DISTINCT e.line_id AS eval_id, r.line_id AS train_id, e.split AS eval_split, e.source AS eval_source, r.source AS train_source, e.text = r.text AS same FROM e JOIN r ON abs(e.k - r.k) <= greatest(e.k, r.k) // 5 WHERE e.line_id <> r.line_id AND levenshtein(e.t, r.t) <= greatest(e.k, r.k) // 5)
+SELECT eval_split, eval_source, count(*) AS n_pairs, count(DISTINCT eval_id) AS n_eval_lines, count(DISTINCT train_id) AS n_train_lines, CAST(sum(CAST(same AS INTEGER)) AS BIGINT) AS n_exact_pairs FROM p GROUP BY eval_split, eval_source"""
+
 _MARKS = "".join("\\" + c if c in "-~=" else c for c in BREAK_MARKS)
 
 
@@ -79,5 +83,6 @@ def oracle_sql() -> dict[str, str]:
         "p2_found": _TERMS + "SELECT term, mark FROM m WHERE mark IS NOT NULL",
         "p2_frequencies": _TERMS + "SELECT term, n_occurrences, n_records, mark FROM m",
         "p4_found": _OVERLAPS,
+        "p4_report": _REPORT,
         "p7_found": _LEAKS,
     }
