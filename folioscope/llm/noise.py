@@ -5,9 +5,9 @@ number, the break between pages) or body from layout features: the shape of a nu
 title, letter style. Viterbi finds the best labels; the body lines are joined, words broken at a line end made
 whole, misread words found against the lexicon and put right where one form is nearest.
 
-The model is trained here, without labels, by Viterbi re-estimation from a plausible start on a bounded
-sample of lines (`SAMPLE_LINES`, chosen by a hash of the run). All else covers all rows: titles repeated in a run,
-and proper names, are counted over the whole table.
+The model is trained here, without labels, by Viterbi re-estimation from a plausible start over all lines: every
+round each task adds up the moves and symbols of its chunks' best paths, a few dozen numbers. Titles repeated in a run,
+and proper names, are counted over the whole table too.
 
 Runs are cut into chunks of CHUNK lines with MARGIN lines of context on both sides, so a run that
 holds a third of all rows is many tasks.
@@ -23,8 +23,9 @@ from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,8 +34,10 @@ from folioscope.llm.overlap import edit_distance
 from folioscope.operators.lexicon import candidates
 from folioscope.session import cut, parallelism
 
-SAMPLE_LINES, ROUNDS = 20_000, 4
+ROUNDS = 4
 CHUNK, MARGIN = 2_000, 60
+#: Letters of a title at least; different titles that share an opening at least.
+TITLE_LETTERS, OPENING_TITLES = 6, 3
 #: A capitalised word unknown to the lexicon is a name if it stands in so many lines.
 NAME_LINES = 2
 #: Forms that the tasks can hold.
@@ -46,6 +49,7 @@ ABBREVIATIONS = {"ꝑ": ("per", "par", "por"), "ꝓ": ("pro",), "ꝙ": ("qui", "
 
 STATES = ("header", "page", "body")
 _ROMAN = re.compile(r"(?=[ivxlcdmj])m{0,3}(?:cm|cd|d?c{0,4})(?:xc|xl|l?x{0,4})(?:ix|iv|v?i{0,4}|v?i{0,3}j)", re.I)
+_NO_SIGN = re.compile(r"[\W_]+")
 _DIGITS = re.compile(r"(?=.*\d)[\dOoIlSB]{1,4}")
 
 
@@ -62,7 +66,7 @@ def key(text: str) -> str:
     while words and number_shape(words[-1]):
         words = words[:-1]
     letters = unicodedata.normalize("NFKD", "".join(words).lower())
-    return "".join(c for c in letters if c.isalnum()).replace("v", "u").replace("j", "i")
+    return _NO_SIGN.sub("", letters).replace("v", "u").replace("j", "i")
 
 
 def number_shape(text: str) -> int:
@@ -85,19 +89,19 @@ def number_shape(text: str) -> int:
 
 def style(text: str) -> int:
     """1 for all capitals, letter-spaced or dotted at both ends: how titles are set."""
-    letters = [c for c in text if c.isalpha()]
-    if len(letters) < 5:
+    letters = sum(map(str.isalpha, text))
+    if letters < 5:
         return 0
-    words = text.split()
-    single = sum(len(w) == 1 for w in words) >= 0.8 * len(words) and len(words) >= 6
+    sizes = list(map(len, text.split()))
+    single = sizes.count(1) >= 0.8 * len(sizes) and len(sizes) >= 6
     dotted = text[0] in "·•*" and text[-1] in "·•*"
-    return int(single or dotted or sum(c.isupper() for c in letters) >= 0.8 * len(letters))
+    return int(single or dotted or sum(map(str.isupper, filter(str.isalpha, text))) >= 0.8 * letters)
 
 
 def likeness(k: str, titles: list[str]) -> float:
     """How well a line's key agrees with a title or the beginning of one (titles are cut short), 0 to 1."""
-    best = 0.0
-    if len(k) >= 5:
+    best = 1.0 if len(k) >= 5 and k in titles else 0.0
+    if len(k) >= 5 and not best:
         for t in titles:
             if len(k) <= len(t) + 3 and len(k) >= 0.45 * len(t):
                 d = min(edit_distance(k, t[:n], 8) for n in {min(len(t), len(k) + e) for e in (-1, 0, 1)})
@@ -105,12 +109,20 @@ def likeness(k: str, titles: list[str]) -> float:
     return best
 
 
+@lru_cache(maxsize=100_000)
+def _pieces(text: str, n: int = 5) -> tuple[str, ...]:
+    return tuple(text[len(text) * i // n : len(text) * (i + 1) // n] for i in range(n))
+
+
 def opening(k: str, openings: list[str]) -> float:
     """How well a line begins as titles of other runs do, before their last word."""
     best = 0.0
     for o in openings:
         if len(o) + 2 <= len(k) <= len(o) + 14:
-            best = max(best, 1 - edit_distance(k[: len(o)], o, 4) / len(o))
+            head = k[: len(o)]
+            # Four edits leave one of five pieces whole.
+            d = edit_distance(head, o, 4) if any(p in head for p in _pieces(o)) else 5
+            best = max(best, 1 - d / len(o))
     return best
 
 
@@ -133,50 +145,71 @@ class LineModel:
         self.emit = [[[0.96, 0.03, 0.01], [0.05, 0.10, 0.85], [0.5, 0.5]], [[0.02, 0.18, 0.80], [0.98, 0.01, 0.01], [0.97, 0.03]], [[0.988, 0.010, 0.002], [0.985, 0.014, 0.001], [0.995, 0.005]]]
 
     def label(self, symbols: list[tuple[int, ...]]) -> list[int]:
-        """Viterbi path."""
-        if not symbols:
+        """Viterbi path of lines with these symbols, one of each feature."""
+        return self.path([code(x) for x in symbols])
+
+    def path(self, codes: list[int]) -> list[int]:
+        """Viterbi path of lines with these codes."""
+        if not len(codes):
             return []
-        score = [math.log(p) for p in self.first]
-        back: list[list[int]] = []
-        logs = [[[math.log(p) for p in f] for f in e] for e in self.emit]
-        moves = [[math.log(p) for p in m] for m in self.move]
-        local = [[sum(logs[s][f][v] for f, v in enumerate(x)) for s in range(3)] for x in symbols]
-        score = [a + b for a, b in zip(score, local[0])]
-        for x in local[1:]:
-            came = [max(range(3), key=lambda r: score[r] + moves[r][s]) for s in range(3)]
-            score = [score[came[s]] + moves[came[s]][s] + x[s] for s in range(3)]
-            back.append(came)
-        path = [max(range(3), key=score.__getitem__)]
+        local = [tuple(sum(math.log(self.emit[s][f][v]) for f, v in enumerate(symbol)) for s in range(3)) for symbol in SYMBOLS]
+        (aa, ab, ac), (ba, bb, bc), (ca, cb, cc) = [[math.log(p) for p in m] for m in self.move]
+        a, b, c = (math.log(p) + x for p, x in zip(self.first, local[codes[0]]))
+        back: list[tuple[int, int, int]] = []
+        for k in codes[1:]:
+            x, y, z = local[k]
+            # From which state each is reached best; the first on ties.
+            to_a, to_b, to_c = (a + aa, b + ba, c + ca), (a + ab, b + bb, c + cb), (a + ac, b + bc, c + cc)
+            i, j, l = to_a.index(max(to_a)), to_b.index(max(to_b)), to_c.index(max(to_c))
+            back.append((i, j, l))
+            a, b, c = to_a[i] + x, to_b[j] + y, to_c[l] + z
+        path = [max(range(3), key=(a, b, c).__getitem__)]
         for came in reversed(back):
             path.append(came[path[-1]])
         return path[::-1]
 
+    def counts(self, sequences: list[list[int]]) -> np.ndarray:
+        """How often the best paths begin with a state, move, and have a code in a state: 3 + 9 + 3 * 18 numbers."""
+        first, move, emit = np.zeros(3), np.zeros((3, 3)), np.zeros((3, len(SYMBOLS)))
+        for codes in sequences:
+            path = np.array(self.path(codes))
+            if len(path):
+                first[path[0]] += 1
+                np.add.at(move, (path[:-1], path[1:]), 1)
+                np.add.at(emit, (path, np.array(codes)), 1)
+        return np.concatenate([first, move.ravel(), emit.ravel()])
+
+    def refit(self, counts: np.ndarray) -> LineModel:
+        """The model that counts give; the start counts as `weight` lines a state."""
+        weight, start, out = 50.0, LineModel(), LineModel()
+        first, move, emit = counts[:3], counts[3:12].reshape(3, 3), counts[12:].reshape(3, len(SYMBOLS))
+        share = lambda p, n: [(weight * q + float(k)) / (weight * sum(p) + float(sum(n))) for q, k in zip(p, n)]
+        out.first = share(start.first, first)
+        out.move = [share(p, n) for p, n in zip(start.move, move)]
+        out.emit = [[share(p, [sum(emit[s][k] for k, x in enumerate(SYMBOLS) if x[f] == v) for v in range(self.SIZES[f])]) for f, p in enumerate(start.emit[s])] for s in range(3)]
+        return out
+
     def fit(self, sequences: list[list[tuple[int, ...]]], rounds: int = ROUNDS) -> LineModel:
-        """Re-estimate from the best paths; the start counts as `weight` lines a state."""
-        weight = 50.0
-        start = LineModel()
+        """Re-estimated from the best paths of these sequences."""
+        model, coded = self, [[code(x) for x in symbols] for symbols in sequences]
         for _ in range(rounds):
-            first, move = [weight * p for p in start.first], [[weight * p for p in m] for m in start.move]
-            emit = [[[weight * p for p in f] for f in e] for e in start.emit]
-            for symbols in sequences:
-                path = self.label(symbols)
-                for i, (s, x) in enumerate(zip(path, symbols)):
-                    for f, v in enumerate(x):
-                        emit[s][f][v] += 1
-                    if i:
-                        move[path[i - 1]][s] += 1
-                    else:
-                        first[s] += 1
-            self.first = [p / sum(first) for p in first]
-            self.move = [[p / sum(m) for p in m] for m in move]
-            self.emit = [[[p / sum(f) for p in f] for f in e] for e in emit]
-        return self
+            model = model.refit(model.counts(coded))
+        return model
+
+
+#: All symbols a line can have, by code.
+SYMBOLS = [(i, j, k) for i in range(3) for j in range(3) for k in range(2)]
+
+
+def code(symbol: tuple[int, ...]) -> int:
+    return symbol[0] * 6 + symbol[1] * 2 + symbol[2]
 
 
 class Vocabulary:
     """Known forms: those of the lexicon and proper names."""
 
-    def __init__(self, forms: list[str], names: list[str]) -> None:
+    def __init__(self, forms: list[str], names: list[str], others: list[str] | None = None) -> None:
+        """`names` lend their beginnings and endings to words that look like names; `others`, such as family names, are only known."""
         self.forms = {unicodedata.normalize("NFC", f.strip().lower()) for f in forms if f and sum(c.isalpha() for c in f) == len(f.strip())}
         self.names = {unicodedata.normalize("NFC", n.strip().lower()) for n in names if n and n.strip()}
         self.heads: dict[str, set[str]] = defaultdict(set)
@@ -185,13 +218,19 @@ class Vocabulary:
             for i in range(2, len(n) - 2):
                 self.heads[n[:i]].add(n[i:])
                 self.tails[n[i:]].add(n[:i])
-        self.known = self.forms | self.names
+        self.known = self.forms | self.names | {unicodedata.normalize("NFC", n.strip().lower()) for n in others or [] if n and n.strip()}
         self.sorted = sorted(self.known)
         self.ends = sorted(f[::-1] for f in self.known)
-        self.by_length: dict[int, list[str]] = defaultdict(list)
-        for f in self.sorted:
-            self.by_length[len(f)].append(f)
+        # Forms of up to 63 letters, the short ones first, as rows of letter codes; longer ones apart.
+        self.short = sorted((f for f in self.known if len(f) < 64), key=lambda f: (len(f), f))
+        self.long = [f for f in self.sorted if len(f) >= 64]
+        self.size = np.array([len(f) for f in self.short], np.int64)
+        self.letter = {c: k for k, c in enumerate(sorted(set("".join(self.short))), 1)}
+        self.rows = np.zeros((int(self.size.max(initial=0)), len(self.short)), np.uint16)
+        for k, f in enumerate(self.short):
+            self.rows[: len(f), k] = [self.letter[c] for c in f]
         self.cache: dict[tuple[str, bool], bool] = {}
+        self.near: dict[tuple[str, int], tuple[int, list[str]]] = {}
 
     def name_like(self, word: str) -> bool:
         """Composed of a beginning and an ending that several names share."""
@@ -220,15 +259,40 @@ class Vocabulary:
     def nearest(self, word: str, limit: int = 2) -> tuple[int, list[str]]:
         """Least distance up to `limit`, and the forms at it."""
         w = word.lower().replace("ſ", "s")
-        best, out = limit + 1, []
-        for n in range(len(w) - limit, len(w) + limit + 1):
-            for f in self.by_length.get(n, ()):
-                d = edit_distance(w, f, best)
-                if d < best:
-                    best, out = d, [f]
-                elif d == best <= limit:
-                    out.append(f)
-        return best, out
+        found = self.near.get((w, limit))
+        if found is None:
+            if len(self.near) > 100_000:
+                self.near.clear()
+            distances = self._distances(w, limit) + [(f, edit_distance(w, f, limit)) for f in self.long if abs(len(f) - len(w)) <= limit]
+            best = min((d for _, d in distances), default=limit + 1)
+            found = self.near[w, limit] = (best, [f for f, d in distances if d == best]) if best <= limit else (limit + 1, [])
+        return found
+
+    def _distances(self, w: str, limit: int) -> list[tuple[str, int]]:
+        """Forms within `limit` of a word and their distances: bit-parallel columns over all forms of near length at once."""
+        a, z = np.searchsorted(self.size, [len(w) - limit, len(w) + limit + 1])
+        if a == z:
+            return []
+        if not w or len(w) > 63:
+            return [(f, d) for f in self.short[a:z] if (d := edit_distance(w, f, limit)) <= limit]
+        one, last = np.uint64(1), np.uint64(len(w) - 1)
+        bits = np.zeros(len(self.letter) + 1, np.uint64)
+        for i, c in enumerate(w):
+            if c in self.letter:
+                bits[self.letter[c]] |= np.uint64(1 << i)
+        size = self.size[a:z]
+        pv, mv, score, out = np.full(z - a, ~np.uint64(0)), np.zeros(z - a, np.uint64), np.full(z - a, len(w), np.int64), np.zeros(z - a, np.int64)
+        for j in range(int(size[-1])):
+            eq = bits[self.rows[j, a:z]]
+            xv = eq | mv
+            xh = (((eq & pv) + pv) ^ pv) | eq
+            ph, mh = mv | ~(xh | pv), pv & xh
+            score += ((ph >> last) & one).astype(np.int64) - ((mh >> last) & one).astype(np.int64)
+            ph, mh = ph << one | one, mh << one
+            pv, mv = mh | ~(xv | ph), ph & xv
+            first, end = np.searchsorted(size, [j + 1, j + 2])
+            out[first:end] = score[first:end]
+        return [(self.short[a + k], int(out[k])) for k in np.nonzero(out <= limit)[0].tolist()]
 
 
 def foreign(word: str) -> bool:
@@ -389,7 +453,8 @@ def _chunks(lines: DataFrame) -> DataFrame:
     """Each line once for every chunk that sees it: its own, and the next or last one if it is in the margin."""
     at = F.pmod("line_index", F.lit(CHUNK))
     own = F.floor(F.col("line_index") / CHUNK).cast("int")
-    near = F.array_compact(F.array(own, F.when(at < MARGIN, own - 1), F.when(at >= CHUNK - MARGIN, own + 1)))
+    # Lines count from 0, so nothing stands before the first chunk.
+    near = F.array_compact(F.array(own, F.when((at < MARGIN) & (own != 0), own - 1), F.when(at >= CHUNK - MARGIN, own + 1)))
     # A fixed number of partitions: the work of a chunk is far more than its bytes tell adaptive execution.
     return lines.withColumn("own", own).withColumn("chunk", F.explode(near)).repartition(parallelism(lines.sparkSession), "run_id", "chunk")
 
@@ -402,69 +467,88 @@ def prepared_lines(lines: DataFrame, text: str = "text_raw") -> DataFrame:
 
 
 def run_titles(prepared: DataFrame, runs: DataFrame | None) -> DataFrame:
-    """(run_id, titles): keys that repeat in a run, the five most frequent, and the run's title where known."""
-    seen = prepared.where("length(key) between 6 and 60").groupBy("run_id", "key").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
-    best = _top(seen)
+    """(run_id, key): keys of TITLE_LETTERS letters or more that repeat in a run, and the run's title where known."""
+    best = prepared.where(F.length("key") >= TITLE_LETTERS).groupBy("run_id", "key").agg(F.count(F.lit(1)).alias("n")).where("n >= 2").select("run_id", "key")
     if runs is not None:
-        known = runs.where("run_id is not null and title is not null").select("run_id", _prepare("title").alias("p")).select("run_id", F.col("p.key").alias("key")).where("length(key) >= 6").distinct()
+        known = runs.where("run_id is not null and title is not null").select("run_id", _prepare("title").alias("p")).select("run_id", F.col("p.key").alias("key")).where(F.length("key") >= TITLE_LETTERS)
         best = best.unionByName(known)
-    return best.groupBy("run_id").agg(F.array_sort(F.collect_set("key")).alias("titles"))
-
-
-def _top(seen: DataFrame, k: int = 5) -> DataFrame:
-    order = Window.partitionBy("run_id").orderBy(F.desc("n"), "key")
-    return seen.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).select("run_id", "key")
+    return best.distinct()
 
 
 def title_openings(runs: DataFrame | None) -> list[str]:
-    """Beginnings of titles before their last word that a two-hundredth of the runs share, and two at least: no more than 200."""
+    """Beginnings of titles before their last word that OPENING_TITLES different titles share; over MAX_FORMS are refused."""
     if runs is None:
         return []
-    known = runs.where("title is not null").select("run_id", F.regexp_extract("title", r"^\s*(\S+(?:\s+\S+)+)\s+\S+\s*$", 1).alias("o")).where("o <> ''").distinct()
-    least = max(2, known.select("run_id").distinct().count() / 200)
-    found = known.groupBy("o").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).collect()
-    return sorted({k for r in found if len(k := key(clean(r.o))) >= 6})
+    known = runs.where("title is not null").select("title", F.regexp_extract("title", r"^\s*(\S+(?:\s+\S+)+)\s+\S+\s*$", 1).alias("o")).where("o <> ''").distinct()
+    found = _collected(known.groupBy("o").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= OPENING_TITLES).select("o"), "openings of titles")
+    return sorted({k for o in found if len(k := key(clean(o))) >= TITLE_LETTERS})
 
 
-def fit_model(prepared: DataFrame, titles: DataFrame, openings: list[str], sample_lines: int = SAMPLE_LINES) -> LineModel:
-    """The line model, trained on whole chunks in hash order up to `sample_lines` lines."""
-    chunk = F.floor(F.col("line_index") / CHUNK).cast("int")
-    order = F.xxhash64("run_id", "c")
-    sample = prepared.withColumn("c", chunk).orderBy(order, "run_id", "c", "line_index").limit(sample_lines).select("run_id", "c", "line_index", "clean")
-    rows = sample.join(titles, "run_id", "left").collect()
-    by: dict[tuple, list] = defaultdict(list)
-    for r in rows:
-        by[r.run_id, r.c].append((r.line_index, r.clean, r.titles or []))
-    return LineModel().fit([[features(t, known, openings) for _, t, known in sorted(v)] for _, v in sorted(by.items())])
+def _own_chunk() -> Column:
+    return F.floor(F.col("line_index") / CHUNK).cast("int")
+
+
+def _of_chunks(values: DataFrame, lines: DataFrame) -> DataFrame:
+    """(r, c, values) of runs (run_id, values) for every chunk of the run: as many rows as a run has chunks, not lines."""
+    chunks = lines.select("run_id", _own_chunk().alias("chunk")).distinct().join(values, "run_id")
+    return chunks.select(F.col("run_id").alias("r"), F.col("chunk").alias("c"), *[F.col(v).alias(v) for v in values.columns if v != "run_id"])
+
+
+def line_symbols(prepared: DataFrame, titles: DataFrame, openings: list[str]) -> DataFrame:
+    """(run_id, chunk, at, clean, codes): the lines of each chunk in order, with the codes of their symbols."""
+
+    def look(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left):
+            return pd.DataFrame({"run_id": [], "chunk": [], "at": [], "clean": [], "codes": []})
+        left, known = left.sort_values("line_index"), sorted(right["key"])
+        codes = [code(features(t, known, openings)) for t in left["clean"]]
+        return pd.DataFrame({"run_id": left["run_id"].iloc[:1], "chunk": left["chunk"].iloc[:1], "at": [left["line_index"].tolist()], "clean": [left["clean"].tolist()], "codes": [codes]})
+
+    kind = prepared.schema["run_id"].dataType.simpleString()
+    # A fixed number of partitions: the work of a chunk is far more than its bytes tell adaptive execution.
+    own = prepared.select("run_id", "line_index", "clean", _own_chunk().alias("chunk")).repartition(parallelism(prepared.sparkSession), "run_id", "chunk")
+    there = _of_chunks(titles, prepared)
+    return own.groupBy("run_id", "chunk").cogroup(there.groupBy("r", "c")).applyInPandas(look, f"run_id {kind}, chunk int, at array<int>, clean array<string>, codes array<int>")
+
+
+def fit_model(symbols: DataFrame, rounds: int = ROUNDS) -> LineModel:
+    """The line model, trained on all chunks; each round sums a few dozen numbers a task."""
+    model = LineModel()
+    for _ in range(rounds):
+
+        def count(batches: Iterator[pd.DataFrame], model: LineModel = model) -> Iterator[pd.DataFrame]:
+            total = sum((model.counts([list(c) for c in pdf["codes"]]) for pdf in batches), model.counts([]))
+            yield pd.DataFrame({"k": range(len(total)), "n": total})
+
+        sums = symbols.select("codes").mapInPandas(count, "k int, n double").groupBy("k").agg(F.sum("n").alias("n")).collect()  # 66 rows
+        model = model.refit(np.array([r.n for r in sorted(sums)]) if sums else model.counts([]))
+    return model
 
 
 def labelled_lines(lines: DataFrame, runs: DataFrame | None = None, text: str = "text_raw") -> DataFrame:
     """(run_id, line_index, clean, label) of every line with text."""
     prepared = cut(prepared_lines(lines, text))
-    titles = cut(run_titles(prepared, runs))
-    openings = title_openings(runs)
-    model = fit_model(prepared, titles, openings)
+    symbols = cut(line_symbols(prepared, run_titles(prepared, runs), title_openings(runs)))
+    model = fit_model(symbols)
 
     def label(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("line_index")
-        known = pdf["titles"].iloc[0]
-        labels = label_lines(list(zip(pdf["line_index"], pdf["clean"])), list(known) if known is not None else [], openings, model)
-        pdf = pdf.assign(label=[labels[i] for i in pdf["line_index"]])
+        pdf = pdf.assign(label=[STATES[s] for s in model.path(pdf["code"].tolist())])
         return pdf.loc[pdf["own"] == pdf["chunk"], ["run_id", "line_index", "clean", "label"]]
 
     kind = lines.schema["run_id"].dataType.simpleString()
-    wide = _chunks(prepared.join(titles, "run_id", "left"))
-    return cut(wide.groupBy("run_id", "chunk").applyInPandas(label, f"run_id {kind}, line_index int, clean string, label string"))
+    each = symbols.select("run_id", F.explode(F.arrays_zip("at", "clean", "codes")).alias("x")).select("run_id", F.col("x.at").alias("line_index"), "x.clean", F.col("x.codes").alias("code"))
+    return cut(_chunks(each).groupBy("run_id", "chunk").applyInPandas(label, f"run_id {kind}, line_index int, clean string, label string"))
 
 
-def proper_names(labelled: DataFrame, forms: list[str], given: list[str]) -> list[str]:
+def proper_names(labelled: DataFrame, forms: list[str], given: list[str], family: list[str] | None = None) -> list[str]:
     """Capitalised words of the body that the lexicon lacks and that are names by their number or their parts.
 
     By number: they stand in NAME_LINES lines. By parts: of a beginning and an ending that two other such words
     have. Those that look like a misread form or name are left out. The rules are the same for any number of
     lines. Words are counted and judged in distributed tables; only the names are collected, and over MAX_FORMS refused.
     """
-    plain = labelled.sparkSession.sparkContext.broadcast(Vocabulary(forms, given))
+    plain = labelled.sparkSession.sparkContext.broadcast(Vocabulary(forms, given, family))
 
     @F.pandas_udf(T.BooleanType())
     def unknown(s: pd.Series) -> pd.Series:
@@ -509,22 +593,29 @@ def _collected(words: DataFrame, what: str) -> list[str]:
 def vocabulary_of(lexicon: DataFrame, labelled: DataFrame, name_forms: DataFrame | None) -> Vocabulary:
     """Forms and names for the tasks. Both are fixed tables; one of over MAX_FORMS forms is refused, not shortened."""
     forms = _collected(lexicon.select("form").where("form is not null").distinct(), "forms in the lexicon")
-    given = _collected(name_forms.where("form is not null and role = 'given'").select("form").distinct(), "given names in name_forms") if name_forms is not None else []
-    return Vocabulary(forms, given + proper_names(labelled, forms, given))
+    given, family = ([], []) if name_forms is None else [_collected(name_forms.where(f"form is not null and role = '{role}'").select("form").distinct(), f"{role} names in name_forms") for role in ("given", "family")]
+    return Vocabulary(forms, given + proper_names(labelled, forms, given, family), family)
 
 
-def _by_chunk(labelled: DataFrame, vocabulary: Vocabulary, work, schema: str) -> DataFrame:
+def _by_chunk(labelled: DataFrame, vocabulary: Vocabulary, work, schema: str, usual: DataFrame | None = None) -> DataFrame:
+    """`work` on the lines of every chunk and its margins; `usual` (run_id, usual) goes to each chunk of its run."""
     shared = labelled.sparkSession.sparkContext.broadcast(vocabulary)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(pdf: pd.DataFrame, *more) -> pd.DataFrame:
+        columns = [c.split()[0] for c in schema.split(", ")]
+        if not len(pdf):
+            return pd.DataFrame({c: [] for c in columns})
         pdf = pdf.sort_values("line_index")
         run_id = pdf["run_id"].iloc[0]
         own = set(pdf.loc[pdf["own"] == pdf["chunk"], "line_index"])
-        more = [pdf["usual"].iloc[0]] if "usual" in pdf else []
         rows = work(list(zip(pdf["line_index"].tolist(), pdf["clean"])), dict(zip(pdf["line_index"].tolist(), pdf["label"])), shared.value, *more)
-        return pd.DataFrame([(run_id, *r) for r in rows if r[0] in own], columns=[c.split()[0] for c in schema.split(", ")])
+        return pd.DataFrame([(run_id, *r) for r in rows if r[0] in own], columns=columns)
 
-    return _chunks(labelled).groupBy("run_id", "chunk").applyInPandas(run, schema)
+    groups = _chunks(labelled).groupBy("run_id", "chunk")
+    if usual is None:
+        return groups.applyInPandas(lambda pdf: run(pdf), schema)
+    there = _of_chunks(usual, labelled).groupBy("r", "c")
+    return groups.cogroup(there).applyInPandas(lambda pdf, more: run(pdf, int(more["usual"].max()) if len(more) else 0), schema)
 
 
 def line_noise(lines: DataFrame, lexicon: DataFrame, runs: DataFrame | None = None, name_forms: DataFrame | None = None, text: str = "text_raw") -> DataFrame:
@@ -543,8 +634,7 @@ def repaired_lines(lines: DataFrame, lexicon: DataFrame, runs: DataFrame | None
     """(run_id, line_index, text): what each body line gives to the continuous text of its run; see `paragraphs`."""
     labelled = labelled_lines(lines, runs, text)
     kind = lines.schema["run_id"].dataType.simpleString()
-    wide = labelled.join(usual_lengths(labelled), "run_id", "left").fillna(0, ["usual"])
-    return _by_chunk(wide, vocabulary_of(lexicon, labelled, name_forms), paragraphs, f"run_id {kind}, line_index int, text string")
+    return _by_chunk(labelled, vocabulary_of(lexicon, labelled, name_forms), paragraphs, f"run_id {kind}, line_index int, text string", usual_lengths(labelled))
 
 
 def usual_lengths(labelled: DataFrame) -> DataFrame:
