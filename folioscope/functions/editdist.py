@@ -9,13 +9,14 @@ from folioscope.functions.text import tokens
 
 #: First code point of the private signs that stand for tokens, and how many there are.
 _FIRST, _ROOM = 0xE000, 6400
+#: Distinct tokens of a pair for which there are signs.
+TOKENS = _ROOM + 2 * 65_536
 
 
 def token_distance(a: Column, b: Column) -> Column:
     """Unit-cost edit distance of two token arrays: each distinct token becomes one sign, the signs are compared.
 
-    Pairs with more than 6,400 distinct tokens take signs from the planes above; there is no upper limit
-    short of Unicode's own.
+    Pairs with more than 6,400 distinct tokens take signs from the two private planes above; over `TOKENS` of them raise an error.
     """
     known = F.array_distinct(F.concat(a, b))
 
@@ -24,7 +25,7 @@ def token_distance(a: Column, b: Column) -> Column:
         # The private use area, then the supplementary private planes, as UTF-16 pairs.
         low = F.decode(F.unhex(F.lpad(F.hex(k + _FIRST), 4, "0")), "UTF-16BE")
         high = F.decode(F.unhex(F.concat(F.hex(F.lit(0xDB80) + F.floor((k - _ROOM) / 1024)), F.hex(F.lit(0xDC00) + (k - _ROOM) % 1024))), "UTF-16BE")
-        return F.when(k < _ROOM, low).otherwise(high)
+        return F.when(k < _ROOM, low).when(k < TOKENS, high).otherwise(F.raise_error(F.lit(f"over {TOKENS} distinct tokens in a pair")))
 
     return F.levenshtein(F.array_join(F.transform(a, sign), ""), F.array_join(F.transform(b, sign), ""))
 

@@ -14,9 +14,6 @@ from pyspark.sql import types as T
 SPACE = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\p{Z}]"
 #: Abbreviation signs and what they stand for (fixed values).
 ABBREVIATIONS = {"⁊": "et", "ꝑ": "per", "ꝓ": "pro", "ꝙ": "qui"}
-#: Letters whose edit distances must also hold where distances count bytes, and a one-byte sign for each (fixed values).
-CODED = ("éëãẽõſ⁊ꝑ·èàâêûîôçùïœæ", "\x01\x02\x03\x04\x05\x06\x07\x08\x0e\x0f\x10\x11\x12\x13\x14\x15\x16\x17\x18\x19\x1a")
-
 
 def _normal(form: str) -> Callable[[Column], Column]:
     @F.pandas_udf(T.StringType())
@@ -107,11 +104,6 @@ def split_affixes(c: Column) -> Column:
     return F.struct(*[F.regexp_extract(c, pattern, i).alias(n) for i, n in ((1, "before"), (2, "core"), (3, "after"))])
 
 
-def ascii_coded(c: Column) -> Column:
-    """One ASCII sign for each character: frequent accented letters each their own, all others a question mark."""
-    return F.regexp_replace(F.translate(c, *CODED), r"[^\x00-\x7f]", "?")
-
-
 def strip_ansi(c: Column) -> Column:
     """Without terminal colour sequences."""
     return F.regexp_replace(c, r"\x1b\[[0-9;]*[A-Za-z]", "")

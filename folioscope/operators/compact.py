@@ -103,9 +103,17 @@ def compact_line_files(df: DataFrame, out_path: str, target_bytes: int = 128 <<
     if source != written:
         fs.delete(hadoop.Path(staging), True)
         raise RuntimeError(f"compaction not committed: source has (rows, checksums) {source}, the written files {written}")
-    fs.delete(hadoop.Path(out_path), True)
-    if not fs.rename(hadoop.Path(staging), hadoop.Path(out_path)):
+    # What lies there already is put aside first and goes only when the new files are in its place.
+    out, aside = hadoop.Path(out_path), hadoop.Path(f"{out_path.rstrip('/')}.before")
+    fs.delete(aside, True)
+    replaced = fs.exists(out)
+    if replaced and not fs.rename(out, aside):
+        raise RuntimeError(f"compaction not committed: cannot rename {out_path}")
+    if not fs.rename(hadoop.Path(staging), out):
+        if replaced:
+            fs.rename(aside, out)
         raise RuntimeError(f"compaction not committed: cannot rename {staging}")
+    fs.delete(aside, True)
     return spark.read.parquet(out_path)
 
 

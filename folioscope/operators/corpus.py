@@ -22,9 +22,27 @@ def filter_corpus(lines: DataFrame, language: str | None = None, century: int |
     return kept.withColumn("text", strip(F.col("text"))).where((F.col("text") != "") & (F.length("im.bytes") > 0))
 
 
-def usable_png(image: Column) -> Column:
-    """Whether bytes begin as a PNG does."""
-    return F.startswith(image, F.unhex(F.lit("89504E470D0A1A0A")))
+#: How the images that can be read begin: PNG, JPEG, TIFF of either order, GIF, BMP (fixed values).
+IMAGE_STARTS = ("89504E470D0A1A0A", "FFD8FF", "49492A00", "4D4D002A", "474946383961", "474946383761", "424D")
+
+
+def usable_image(image: Column) -> Column:
+    """Whether bytes begin as an image of a known form does; null for null."""
+    found = F.lit(False)
+    for start in IMAGE_STARTS:
+        found = found | F.startswith(image, F.unhex(F.lit(start)))
+    return found
+
+
+def extract_lines(lines: DataFrame, splits: list[str], order: list[str], language: str | None = None, century: int | None = None, max_per_split: int | None = None) -> DataFrame:
+    """The usable lines of a corpus, numbered through the splits: columns of `lines`, line_idx, stem.
+
+    As `filter_corpus`, but lines whose image is of no known form are left out too, before the cap and the numbers. Only keys are
+    sorted and numbered; the lines, images with them, are joined back by the columns `order`, which must be a key.
+    """
+    kept = filter_corpus(lines, language, century).where(usable_image(F.col("im.bytes")))
+    numbered = number_lines(kept.select("split", *order).distinct(), splits, order, max_per_split)
+    return kept.drop("line_idx", "stem").join(numbered, ["split", *order])
 
 
 def number_rows(df: DataFrame, order: list[str], name: str = "idx") -> DataFrame:

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from folioscope.functions.text import split_affixes, strip, tokens
 
+#: From candidates (word, form, distance, rank) to (word, best).
 Scorer = Callable[[DataFrame], DataFrame]
+#: From batches of token lists, places in them and candidate lists, nearest first, to the best candidates or nulls.
+Context = Callable[[pd.Series, pd.Series, pd.Series], pd.Series]
 
 
 def load_lexicon(forms: DataFrame, min_len: int = 2) -> DataFrame:
@@ -78,17 +83,44 @@ def by_frequency(counts: DataFrame) -> Scorer:
     return choose
 
 
-def correct_lines(lines: DataFrame, keys: list[str], text: str, lexicon: DataFrame, scorer: Scorer = nearest_first, max_distance: int = 2, compare: Callable[[Column], Column] = lambda c: c) -> DataFrame:
-    """keys, corrected, n_changes, changes (pos, original, corrected): unknown words replaced by their best candidate.
+def correct_lines(lines: DataFrame, keys: list[str], text: str, lexicon: DataFrame, scorer: Scorer = nearest_first, max_distance: int = 2, compare: Callable[[Column], Column] = lambda c: c, context: Context | None = None) -> DataFrame:
+    """keys, corrected, n_changes, changes (pos, original, corrected, core, best, candidates): unknown words replaced by their best candidate.
 
-    Signs around a word stay; words of no candidate stay; corrected words are lower case as the forms
-    are; words are joined by single spaces. Every distinct word is searched once, however often it occurs.
+    `scorer` chooses for each distinct word; `context`, if given, chooses for each occurrence and sees the line's tokens, the place and
+    the candidates, nearest first; where it gives null the nearest candidate is taken. A choice that is the word itself is no change.
+    `original` and `corrected` are the tokens with the signs around the word, which stay, `core` and `best` those without; words of no
+    candidate stay; words are joined by single spaces. Rows without words give none; a row of each other, repeated ones too; null keys are keys.
+
+    Only words that the lexicon lacks are joined with candidates, each distinct one searched once; a line takes its own changes back.
     """
-    words = words_of(lines, keys, text)
-    unknown = unknown_words(words, lexicon)
-    best = scorer(candidates(unknown, lexicon, max_distance, compare=compare))
-    fixed = words.join(best, "word", "left").select(*keys, "pos", F.when(F.col("best").isNotNull(), F.concat("before", "best", "after")).otherwise(F.col("token")).alias("new"), "token", F.col("best").isNotNull().alias("changed"))
-    order = F.array_sort(F.collect_list(F.struct("pos", "new", "token", "changed")))
-    rows = fixed.groupBy(*keys).agg(order.alias("w"))
-    changes = F.transform(F.filter("w", lambda x: x["changed"]), lambda x: F.struct(x["pos"].alias("pos"), x["token"].alias("original"), x["new"].alias("corrected")))
-    return rows.select(*keys, F.array_join(F.transform("w", lambda x: x["new"]), " ").alias("corrected"), F.size(changes).cast("bigint").alias("n_changes"), changes.alias("changes"))
+    words = lines.select(*keys, tokens(F.col(text)).alias("__tokens")).where("size(__tokens) > 0")
+    each = words.distinct().select("*", F.posexplode("__tokens").alias("pos", "__token")).withColumn("__a", split_affixes(F.col("__token")))
+    each = each.select(*keys, "__tokens", "pos", "__a.before", "__a.core", "__a.after", F.lower("__a.core").alias("word"))
+    unknown = each.where("word <> ''").join(lexicon.select(F.col("form").alias("word")), "word", "left_anti")
+    found = candidates(unknown, lexicon, max_distance, compare=compare)
+    if context is None:
+        chosen = found.groupBy("word").agg(F.array_sort(F.collect_list(F.struct("rank", "form"))).alias("c")).join(scorer(found), "word")  # ten a word at most
+        fixed = unknown.join(chosen, "word").withColumn("c", F.transform("c", lambda x: x["form"]))
+    else:
+        listed = found.groupBy("word").agg(F.array_sort(F.collect_list(F.struct("rank", "form"))).alias("c"))
+        asked = unknown.join(listed, "word").withColumn("c", F.transform("c", lambda x: x["form"]))
+        fixed = asked.withColumn("best", F.coalesce(_asked(context)("__tokens", "pos", "c"), F.get("c", F.lit(0))))
+    change = F.struct("pos", F.concat("before", "core", "after").alias("original"), F.concat("before", "best", "after").alias("corrected"), "core", "best", F.col("c").alias("candidates"))
+    changed = fixed.where(F.lower("best") != F.lower("core")).groupBy(*keys, "__tokens").agg(F.array_sort(F.collect_list(change)).alias("__changes"))
+    own = (*keys, "__tokens")
+    other = changed.select(*[F.col(k).alias(f"__{n}") for n, k in enumerate(own)], "__changes")
+    same = [F.col(k).eqNullSafe(F.col(f"__{n}")) for n, k in enumerate(own)]
+    joined = words.join(other, same, "left").select(*own, "__changes")
+    places = F.map_from_arrays(F.transform("__changes", lambda x: x["pos"]), F.transform("__changes", lambda x: x["corrected"]))
+    corrected = F.when(F.col("__changes").isNull(), F.col("__tokens")).otherwise(F.transform("__tokens", lambda t, i: F.coalesce(F.try_element_at(places, i), t)))
+    shown = F.coalesce("__changes", F.array().cast("array<struct<pos:int,original:string,corrected:string,core:string,best:string,candidates:array<string>>>"))
+    return joined.select(*keys, F.array_join(corrected, " ").alias("corrected"), F.size(shown).cast("bigint").alias("n_changes"), shown.alias("changes"))
+
+
+def _asked(context: Context):
+    @F.pandas_udf(T.StringType())
+    def run(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for words, index, found in batches:
+            yield pd.Series(context(words, index, found), dtype=object)
+
+    return run

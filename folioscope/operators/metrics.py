@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import random
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,18 +62,40 @@ def draws(key: Column, rep: Column) -> Column:
     return sum((F.when(u >= p, 1).otherwise(0) for p in POISSON), F.lit(0))
 
 
+def draw_table(key: np.ndarray, reps: np.ndarray) -> np.ndarray:
+    """`draws` of each key in each replicate."""
+    a, b, c = FACTORS
+    h = (np.mod(key, MODULUS)[:, None] * a + reps[None, :] * b + 11) % MODULUS
+    h = h * c % MODULUS
+    h = (h ^ (h >> 15)) * a % MODULUS
+    return np.searchsorted(np.array(POISSON), h.astype(np.float64) / MODULUS, "right")
+
+
 def bootstrap_ci(distances: DataFrame, key: Column, n_bootstrap: int = 1000, alpha: float = 0.05) -> DataFrame:
     """Percentile intervals of micro-averaged cer and wer: n_bootstrap, alpha, cer_lo, cer_hi, wer_lo, wer_hi.
 
     `distances` has the columns of `pair_distances`: each distance is computed once, resamples add integers.
     A resample draws every pair a Poisson number of times, as resampling with replacement does for
-    many pairs; so no pair has to know the others, and all that leaves a task is one row of sums for each
-    replicate. The draws are a function of `key`, the same in any engine. No pairs give no rows.
+    many pairs; so no pair has to know the others. A task adds up an array of sums for all replicates and passes on one
+    row for each. The draws are a function of `key`, the same in any engine; a null key is 0. No pairs give no rows.
     """
-    reps = distances.select(key.cast("bigint").alias("k"), "d_chars", "n_chars", "d_words", "n_words", F.explode(F.sequence(F.lit(0), F.lit(n_bootstrap - 1))).alias("rep"))
-    m = draws(F.col("k"), F.col("rep").cast("bigint"))
-    sums = reps.groupBy("rep").agg(*[F.sum(F.col(x) * m).alias(x) for x in ("d_chars", "n_chars", "d_words", "n_words")])
-    return _interval(sums, n_bootstrap, alpha)
+    sizes = ("d_chars", "n_chars", "d_words", "n_words")
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reps, sums = np.arange(n_bootstrap, dtype=np.int64), np.zeros((n_bootstrap, len(sizes)), np.int64)
+        seen = False
+        for batch in batches:
+            columns = [batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(len(sizes) + 1)]
+            for at in range(0, batch.num_rows, 1024):
+                k, *values = (c[at : at + 1024] for c in columns)
+                sums += draw_table(k, reps).T @ np.stack(values, 1)
+            seen = seen or batch.num_rows > 0
+        if seen:
+            yield pa.RecordBatch.from_arrays([pa.array(reps), *map(pa.array, sums.T.copy())], ["rep", *sizes])
+
+    pairs = distances.select(F.coalesce(key.cast("bigint"), F.lit(0)).alias("k"), *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in sizes])
+    parts = pairs.mapInArrow(add, "rep bigint, " + ", ".join(f"{c} bigint" for c in sizes))
+    return _interval(parts.groupBy("rep").agg(*[F.sum(c).alias(c) for c in sizes]), n_bootstrap, alpha)
 
 
 def _interval(sums: DataFrame, n_bootstrap: int, alpha: float) -> DataFrame:

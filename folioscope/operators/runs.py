@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.functions.editdist import char_error_rate
 from folioscope.functions.text import normalize_for_cer, residual_abbreviations
 
 REVIEW_THRESHOLD = 0.70
@@ -54,6 +53,19 @@ def evaluate_pages(pages: DataFrame, normalize=normalize_for_cer) -> DataFrame:
     return out.drop("lines", "truth", "raw_text", "sure_text", "true_text")
 
 
+def evaluate_contracts(pages: DataFrame, digits: int = 4, normalize=normalize_for_cer) -> DataFrame:
+    """Scores of pages with `contract` (of which the lines count) and `truth` (array of texts), rounded to `digits` places.
+
+    As `evaluate_pages`, with n_lines_kept, the lines that need no review, and n_lines_gt. A null contract, that of a page
+    that is no XML, has no lines; a null truth has none.
+    """
+    lines = F.coalesce(F.col("contract.lines"), F.array().cast(pages.schema["contract"].dataType["lines"].dataType))
+    truth = F.coalesce(F.col("truth"), F.array().cast("array<string>"))
+    placed = pages.withColumns({"lines": lines, "truth": truth, "n_lines_gt": F.size(truth).cast("bigint")}).drop("contract")
+    scored = evaluate_pages(placed, normalize).withColumn("n_lines_kept", F.col("n_lines") - F.col("n_review"))
+    return scored.withColumns({c: F.round(c, digits) for c in ("mean_confidence", "cer_raw", "cer_reviewed", "cer_normalized")})
+
+
 def aggregate_pages(pages: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Unweighted means of page values, sums of counts, review rate of all lines; 0 lines give a null rate."""
     means = [F.avg(c).alias(c) for c in ("mean_confidence", "cer_raw", "cer_reviewed", "cer_normalized")]
@@ -98,23 +110,19 @@ def target_progress(runs: DataFrame, target: float = 0.08) -> DataFrame:
 
 
 def append_run(runs_path: str, lines_path: str, run: DataFrame, lines: DataFrame) -> int:
-    """Append one run and its lines to parquet tables and return the new id, one more than the largest.
+    """Append one run and its lines to parquet tables and return the new id, one more than the largest of either table.
 
-    The lines go first: a run is visible only when all its lines are. One writer at a time.
+    The lines go first: a run is visible only when all its lines are, and lines of a run that failed keep their
+    id to themselves. One writer at a time.
     """
-    spark = run.sparkSession
-    try:
-        last = spark.read.parquet(runs_path).agg(F.max("run_id")).first()[0] or 0
-    except Exception as e:  # the table does not exist yet
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-            raise
-        last = 0
+    spark, last = run.sparkSession, 0
+    for path in (runs_path, lines_path):
+        try:
+            last = max(last, spark.read.parquet(path).agg(F.max("run_id")).first()[0] or 0)
+        except Exception as e:  # the table does not exist yet
+            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
+                raise
     new = F.lit(last + 1).cast("bigint")
     lines.withColumn("run_id", new).write.mode("append").parquet(lines_path)
     run.withColumn("run_id", new).withColumn("created_at", F.current_timestamp().cast("timestamp_ntz")).write.mode("append").parquet(runs_path)
     return last + 1
-
-
-def line_error_rates(lines: DataFrame) -> DataFrame:
-    """Lines with a ground truth and their character error rate."""
-    return lines.where("text_gt is not null").withColumn("cer", char_error_rate(F.col("text_gt"), F.col("text_raw")))

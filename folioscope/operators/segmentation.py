@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.functions.geometry import greedy_ious, positional_ious
+from folioscope.functions.geometry import baseline_to_box, bbox, greedy_ious, positional_ious
 
 THRESHOLD = 0.75
 
@@ -33,8 +33,19 @@ def overall_iou(manuscripts: DataFrame) -> DataFrame:
     return manuscripts.agg(F.avg("iou_mean").alias("iou_mean"), F.avg("iou_share").alias("iou_share"), F.sum("n_lines").alias("n_lines"))
 
 
-def flag_threshold(manuscripts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    return manuscripts.withColumn("reached", F.col("iou_mean") >= threshold)
+def evaluate_manuscripts(pages: DataFrame, images: DataFrame, segments: DataFrame, threshold: float = THRESHOLD, digits: int = 4) -> DataFrame:
+    """(manuscript, iou_mean, iou_share, n_lines, pages, reached) from true pages, images and a segmenter's output.
+
+    `pages` has manuscript, page and `true` (struct of `baselines`); `images` (manuscript, image) those that exist; `segments` (manuscript,
+    page, found) the found baselines, none where the segmenter failed. A page whose image or segments are missing is skipped but counted
+    in `pages`; a manuscript of such pages alone has null means and 0 lines. Page values and means are rounded to `digits` places.
+    """
+    present = pages.withColumn("image", F.col("true.image")).join(images.select("manuscript", "image").distinct(), ["manuscript", "image"], "left_semi")
+    boxes = lambda c: F.transform(c, lambda b: bbox(baseline_to_box(b)))
+    scored = page_iou(present.join(segments, ["manuscript", "page"]).select("manuscript", "page", boxes(F.col("true.baselines")).alias("truth"), boxes(F.col("found")).alias("found")), threshold=threshold)
+    rounded = scored.select("manuscript", "page", F.round("iou_mean", digits).alias("iou_mean"), F.round("iou_share", digits).alias("iou_share"), "n_lines")
+    every = manuscript_iou(pages.select("manuscript", "page").join(rounded, ["manuscript", "page"], "left"))
+    return every.withColumns({"iou_mean": F.round("iou_mean", digits), "iou_share": F.round("iou_share", digits)}).withColumn("reached", F.col("iou_mean") >= threshold)
 
 
 def positional_stats(pages: DataFrame, truth: str = "truth", found: str = "found", threshold: float = THRESHOLD) -> DataFrame:

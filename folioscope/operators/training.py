@@ -11,20 +11,29 @@ from folioscope.functions.text import strip_ansi
 REPORT = r"Accuracy report \((\d+)\)\s+([\d.]+)(?:\s+(\d+)\s+(\d+))?"
 
 
-def parse_log(logs: DataFrame, text: str = "value") -> DataFrame:
-    """(epoch, accuracy, cer, chars, errors) of every report line in texts that may hold many."""
+#: Form of a progress line of the trainer, terminal sequences taken out (fixed value).
+PROGRESS = r"stage\s+(\d+)/(?:\d+|∞).*?val_accuracy:\s*([\d.]+).*?val_word_accuracy:\s*([\d.]+).*?early_stopping:\s*\d+/\d+\s*([\d.]+)"
+
+
+def parse_log(logs: DataFrame, text: str = "value", by: list[str] | None = None) -> DataFrame:
+    """(by, epoch, accuracy, cer, chars, errors) of every report line in texts that may hold many; `by` are columns to keep."""
     parts = [F.regexp_extract_all(F.col(text), F.lit(REPORT), F.lit(i)) for i in range(1, 5)]
-    rows = logs.select(F.explode(F.arrays_zip(*[p.alias(n) for p, n in zip(parts, "eacr")])).alias("x"))
-    return rows.select(F.col("x.e").cast("int").alias("epoch"), F.col("x.a").cast("double").alias("accuracy"), F.round(1 - F.col("x.a").cast("double"), 4).alias("cer"), F.expr("try_cast(nullif(x.c, '') as bigint)").alias("chars"), F.expr("try_cast(nullif(x.r, '') as bigint)").alias("errors"))
+    rows = logs.select(*(by or []), F.explode(F.arrays_zip(*[p.alias(n) for p, n in zip(parts, "eacr")])).alias("x"))
+    return rows.select(*(by or []), F.col("x.e").cast("int").alias("epoch"), F.col("x.a").cast("double").alias("accuracy"), F.round(1 - F.col("x.a").cast("double"), 4).alias("cer"), F.expr("try_cast(nullif(x.c, '') as bigint)").alias("chars"), F.expr("try_cast(nullif(x.r, '') as bigint)").alias("errors"))
 
 
-def parse_stage_log(lines: DataFrame, text: str = "value", order: str = "line_no") -> DataFrame:
-    """(epoch, val_accuracy, val_word_accuracy, best) of progress lines; of several lines of an epoch the last counts."""
+def parse_stage_log(lines: DataFrame, text: str = "value", order: str = "line_no", by: list[str] | None = None) -> DataFrame:
+    """(by, epoch, accuracy, cer, word_accuracy, wer, best_val_metric) of progress lines; of several lines of an epoch the last counts.
+
+    The rates are one less the accuracies, rounded to six places. Lines of another form, and nulls, give no row.
+    """
     plain = strip_ansi(F.col(text))
-    num = lambda name: F.regexp_extract(plain, rf"{name}[:=]\s*([\d.]+)", 1).try_cast("double")
-    rows = lines.where(F.col(text).contains("val_accuracy")).select(order, F.regexp_extract(plain, r"stage (\d+)", 1).alias("e"), num(r"(?<!best_)val_accuracy").alias("val_accuracy"), num("val_word_accuracy").alias("val_word_accuracy"), num("best").alias("best")).where("e <> ''")
-    last = rows.groupBy(F.col("e").cast("int").alias("epoch")).agg(F.max_by(F.struct("val_accuracy", "val_word_accuracy", "best"), order).alias("x"))
-    return last.select("epoch", "x.*")
+    part = lambda i: F.regexp_extract(plain, PROGRESS, i)
+    kept = lines.where(F.col(text).contains("stage ") & F.col(text).contains("val_accuracy:"))
+    rows = kept.select(*(by or []), order, part(1).alias("e"), *[part(i).try_cast("double").alias(n) for i, n in ((2, "accuracy"), (3, "word_accuracy"), (4, "best_val_metric"))]).where("e <> ''")
+    last = rows.groupBy(*(by or []), F.col("e").cast("int").alias("epoch")).agg(F.max_by(F.struct("accuracy", "word_accuracy", "best_val_metric"), order).alias("x"))
+    rate = lambda c: F.round(1 - F.col(c), 6)
+    return last.select(*(by or []), "epoch", "x.accuracy", rate("x.accuracy").alias("cer"), "x.word_accuracy", rate("x.word_accuracy").alias("wer"), "x.best_val_metric")
 
 
 def best_epoch(metrics: DataFrame, metric: str, lowest: bool = False, by: list[str] | None = None) -> DataFrame:
@@ -60,9 +69,20 @@ def early_stopping(metrics: DataFrame, patience: int, by: list[str] | None = Non
     )
 
 
-def anchor_curve(metrics: DataFrame, true_best: float | Column, columns: dict[str, str] | None = None) -> DataFrame:
-    """Curve (epoch, accuracy, word_accuracy) shifted so that its best accuracy is `true_best`; error rates follow."""
-    t = F.lit(true_best) if isinstance(true_best, float) else true_best
-    best = metrics.agg(F.max("accuracy").alias("__a"))
-    shifted = metrics.join(F.broadcast(best)).withColumn("accuracy", F.col("accuracy") + (t - F.col("__a"))).drop("__a")  # one row
-    return shifted.withColumn("cer", 1 - F.col("accuracy"))
+def anchor_curve(metrics: DataFrame, true_best: float, true_best_words: float | None = None, digits: int | None = None) -> DataFrame:
+    """Curve (accuracy, and word_accuracy if given `true_best_words`) shifted so that its best values are the true ones.
+
+    The rates cer and wer are one less the shifted accuracies; all four are rounded to `digits` places if given. An empty curve stays empty.
+    """
+    wanted = {"accuracy": ("cer", true_best)} | ({} if true_best_words is None else {"word_accuracy": ("wer", true_best_words)})
+    best = metrics.agg(*[F.max(c).alias(f"__{c}") for c in wanted])
+    out = metrics.join(F.broadcast(best))  # one row
+    placed = lambda c: c if digits is None else F.round(c, digits)
+    for c, (rate, true) in wanted.items():
+        out = out.withColumn(c, placed(F.col(c) + (F.lit(true) - F.col(f"__{c}")))).withColumn(rate, placed(1 - F.col(c))).drop(f"__{c}")
+    return out
+
+
+def half_width(low: Column, high: Column) -> Column:
+    """Half the width of an interval."""
+    return (high - low) / 2

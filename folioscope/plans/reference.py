@@ -1,14 +1,15 @@
 """Queries for the operators outside the llm subpackage, each beside its SQL twin.
 
-The queries read the stored texts. Twins that compare edit distances do so on texts of one ASCII sign a character, as
-SQL engines differ in whether distances count bytes or characters; so they agree with their queries only where no
-two characters or spaces fall together in that code. The tests hold the queries against plain Python on stored texts.
+The queries read the stored texts. As SQL engines differ in whether distances count bytes or characters, twins that
+compare edit distances number the distinct characters of each pair and compare texts of one byte a number. So they agree with their
+queries on all texts of up to 126 distinct characters a pair.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -32,7 +33,17 @@ def query(sql: str | None):
 SP = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\p{Z}]"
 SPLIT_SQL = f"lower(regexp_replace(split, '^{SP}+|{SP}+$', '', 'g'))"
 WORDS_SQL = lambda c: f"list_filter(regexp_split_to_array({c}, '{SP}+'), lambda x: x <> '')"
-CODED_SQL = lambda c: f"regexp_replace(translate({c}, '{tx.CODED[0]}', '{tx.CODED[1]}'), '[^\\x00-\\x7f]', '?', 'g')"
+CHARS_SQL = lambda c: f"regexp_extract_all({c}, '(?s).')"
+
+
+#: The signs of one byte each that characters become.
+_BYTES = "".join(map(chr, range(1, 127))).replace("'", "''")
+
+
+def distance_sql(a: str, b: str) -> str:
+    """Edit distance of two texts in characters: each distinct one of the pair becomes one byte."""
+    signs = f"array_to_string(list_distinct({CHARS_SQL(f'{a} || {b}')}), '')"
+    return f"levenshtein(translate({a}, {signs}, '{_BYTES}'), translate({b}, {signs}, '{_BYTES}'))"
 
 
 def _lines(spark: SparkSession, d: str) -> DataFrame:
@@ -198,10 +209,10 @@ def residual_abbreviations(spark: SparkSession, d: str) -> DataFrame:
 
 # --- error rates -----------------------------------------------------------------------------------
 
-_PAIRS = f"SELECT DISTINCT run_id, line_index, {CODED_SQL('text_gt')} AS ref, {CODED_SQL('coalesce(text_raw, $$$$)')} AS hyp FROM run_lines WHERE text_gt IS NOT NULL"
+_PAIRS = "SELECT DISTINCT run_id, line_index, text_gt AS ref, coalesce(text_raw, '') AS hyp FROM run_lines WHERE text_gt IS NOT NULL"
 _WORDS = f"SELECT *, {WORDS_SQL('ref')} AS a, {WORDS_SQL('hyp')} AS b FROM ({_PAIRS})"
 _SIGNS = "SELECT *, list_distinct(list_concat(a, b)) AS v FROM (" + _WORDS + ")"
-_DIST = f"""SELECT run_id, line_index, ref, hyp, levenshtein(ref, hyp) AS d_chars, length(ref) AS n_chars, len(a) AS n_words,
+_DIST = f"""SELECT run_id, line_index, ref, hyp, {distance_sql('ref', 'hyp')} AS d_chars, length(ref) AS n_chars, len(a) AS n_words,
 levenshtein(coalesce(array_to_string(list_transform(a, lambda x: chr(32 + CAST(list_position(v, x) AS INTEGER))), ''), ''), coalesce(array_to_string(list_transform(b, lambda x: chr(32 + CAST(list_position(v, x) AS INTEGER))), ''), '')) AS d_words, len(b) AS m_words FROM ({_SIGNS})"""
 
 
@@ -234,11 +245,8 @@ def corpus_metrics_by_manuscript(spark: SparkSession, d: str) -> DataFrame:
     return metrics.corpus_metrics(_pairs(spark, d).join(owners, "run_id"), by=["manuscript"])
 
 
-_FOLD_SQL = lambda c: _COLLAPSE(_IJ(_UV(c)))
-
-
-@query(f"""WITH p AS ({_PAIRS}) SELECT 'raw' AS stage, sum(levenshtein(ref, hyp)) / sum(length(ref)) AS cer FROM p
-UNION ALL SELECT 'normalized', sum(levenshtein({_FOLD_SQL("ref")}, {_FOLD_SQL("hyp")})) / sum(length({_FOLD_SQL("ref")})) FROM p""")
+@query(f"""WITH p AS ({_PAIRS}), n AS (SELECT {_NORMAL("ref")} AS ref, {_NORMAL("hyp")} AS hyp FROM p) SELECT 'raw' AS stage, sum({distance_sql("ref", "hyp")}) / sum(length(ref)) AS cer FROM p
+UNION ALL SELECT 'normalized', sum({distance_sql("ref", "hyp")}) / sum(length(ref)) FROM n""")
 def cer_before_after(spark: SparkSession, d: str) -> DataFrame:
     p = _pairs(spark, d).withColumns({"r": tx.normalize_for_cer(F.col("ref")), "h": tx.normalize_for_cer(F.col("hyp"))})
     both = p.select(F.explode(F.array(F.struct(F.lit("raw").alias("stage"), F.col("ref"), F.col("hyp")), F.struct(F.lit("normalized").alias("stage"), F.col("r").alias("ref"), F.col("h").alias("hyp")))).alias("x"))
@@ -266,7 +274,9 @@ _AFFIX = r"(?s)^([^\p{L}\p{N}_]*)(.*?)([^\p{L}\p{N}_]*)$"
 _TOKENS = f"SELECT run_id, line_index, generate_subscripts(w, 1) - 1 AS pos, unnest(w) AS token FROM (SELECT run_id, line_index, {WORDS_SQL('t')} AS w FROM ({_RAW}) WHERE t IS NOT NULL)"
 _SPLITTED = f"SELECT *, regexp_extract(token, '{_AFFIX}', 1) AS bef, regexp_extract(token, '{_AFFIX}', 3) AS aft, lower(regexp_extract(token, '{_AFFIX}', 2)) AS word FROM ({_TOKENS})"
 _LEXICON = f"WITH lex AS ({_LEX}), tok AS ({_SPLITTED}), unk AS (SELECT word, count(*) AS n FROM tok WHERE word <> '' AND word NOT IN (SELECT form FROM lex) GROUP BY word)"
-_CANDS = f""", cw AS (SELECT word, {CODED_SQL("word")} AS c, length(word) AS k FROM unk), cf AS (SELECT form, {CODED_SQL("form")} AS c, length(form) AS k FROM lex),
+#: Only letters of forms can be equal to a form's, so all others of a word are one sign.
+_SIGN = lambda c: f"translate(regexp_replace({c}, '[^' || v || ']', '#', 'g'), v || '#', '{_BYTES}')"
+_CANDS = f""", sg AS (SELECT array_to_string(list_distinct(flatten(list({CHARS_SQL("form")}))), '') AS v FROM lex), cw AS (SELECT word, {_SIGN("word")} AS c, length(word) AS k FROM unk, sg), cf AS (SELECT form, {_SIGN("form")} AS c, length(form) AS k FROM lex, sg),
 near AS (SELECT word, form, CAST(levenshtein(cw.c, cf.c) AS INTEGER) AS distance FROM cw JOIN cf ON cf.k BETWEEN cw.k - 2 AND cw.k + 2 WHERE levenshtein(cw.c, cf.c) <= 2),
 cand AS (SELECT *, CAST(row_number() OVER (PARTITION BY word ORDER BY distance, form) AS INTEGER) AS rank FROM near)"""
 
@@ -309,6 +319,22 @@ def correct_lines_scored(spark: SparkSession, d: str) -> DataFrame:
     return lexicon.correct_lines(_texts(spark, d), ["run_id", "line_index"], "text_raw", _lex(spark, d), lexicon.by_frequency(counts)).drop("changes")
 
 
+def _before(tokens: pd.Series, place: pd.Series, found: pd.Series) -> pd.Series:
+    """The candidate that begins as the token before it; null if none does."""
+    return pd.Series([next((c for c in cs if i > 0 and t[i - 1][:1] and c[:1] == t[i - 1][:1].lower()), None) for t, i, cs in zip(tokens, place, found)], dtype=object)
+
+
+@query(_LEXICON + _CANDS + f""", near_by AS (SELECT tok.*, lag(token) OVER (PARTITION BY run_id, line_index ORDER BY pos) AS last FROM tok),
+best AS (SELECT run_id, line_index, pos, coalesce(arg_min(form, rank) FILTER (form[1] = lower(last[1])), arg_min(form, rank)) AS best, string_agg(form, ' ' ORDER BY rank) AS cands FROM near_by n JOIN cand ON n.word = cand.word WHERE rank <= 10 GROUP BY run_id, line_index, pos),
+fix AS (SELECT tok.*, CASE WHEN best IS NOT NULL THEN bef || best || aft ELSE token END AS nw, best, cands FROM tok LEFT JOIN best ON tok.run_id = best.run_id AND tok.line_index = best.line_index AND tok.pos = best.pos)
+SELECT run_id, line_index, string_agg(nw, ' ' ORDER BY pos) AS corrected, CAST(count(*) FILTER (best IS NOT NULL) AS BIGINT) AS n_changes, coalesce(string_agg(pos || ':' || cands, '; ' ORDER BY pos) FILTER (best IS NOT NULL), '') AS candidates FROM fix GROUP BY run_id, line_index""")
+def correct_lines_context(spark: SparkSession, d: str) -> DataFrame:
+    """Corrections chosen with the token before the word."""
+    fixed = lexicon.correct_lines(_texts(spark, d), ["run_id", "line_index"], "text_raw", _lex(spark, d), context=_before)
+    shown = F.array_join(F.transform("changes", lambda x: F.concat(x["pos"].cast("string"), F.lit(":"), F.array_join(x["candidates"], " "))), "; ")
+    return fixed.select("run_id", "line_index", "corrected", "n_changes", shown.alias("candidates"))
+
+
 # --- training --------------------------------------------------------------------------------------
 
 _EPOCHS = "SELECT event_type AS curve, CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS INTEGER) AS epoch, (sum(CAST(floor(value * 100) AS BIGINT)) % 1000) / 1000 AS cer FROM events GROUP BY 1, 2"
@@ -328,35 +354,38 @@ def early_stopping(spark: SparkSession, d: str) -> DataFrame:
     return training.early_stopping(_epochs(spark, d), 3, by=["curve"]).withColumn("stalled", F.array_join("stalled", ","))
 
 
-@query(f"SELECT epoch, 1 - cer AS value FROM ({_EPOCHS}) WHERE curve = (SELECT min(event_type) FROM events) ORDER BY value DESC, epoch LIMIT 1")
+@query(f"SELECT curve, epoch, value FROM (SELECT curve, epoch, 1 - cer AS value, row_number() OVER (PARTITION BY curve ORDER BY 1 - cer DESC, epoch) AS k FROM ({_EPOCHS})) WHERE k = 1")
 def best_epoch(spark: SparkSession, d: str) -> DataFrame:
-    """Best epoch of every curve; the twin has the least curve alone."""
     return training.best_epoch(_epochs(spark, d).withColumn("accuracy", 1 - F.col("cer")), "accuracy", by=["curve"])
 
 
-@query(f"SELECT curve, epoch, (1 - cer) + (CAST(0.95 AS DOUBLE) - max(1 - cer) OVER ()) AS accuracy, 1 - ((1 - cer) + (CAST(0.95 AS DOUBLE) - max(1 - cer) OVER ())) AS cer FROM ({_EPOCHS})")
+_SHIFT = lambda c, true: f"(({c}) + (CAST({true} AS DOUBLE) - max({c}) OVER ()))"
+
+
+@query(f"SELECT curve, epoch, {_SHIFT('1 - cer', 0.95)} AS accuracy, 1 - {_SHIFT('1 - cer', 0.95)} AS cer FROM ({_EPOCHS})")
 def curve_anchor(spark: SparkSession, d: str) -> DataFrame:
     e = _epochs(spark, d).select("curve", "epoch", (1 - F.col("cer")).alias("accuracy"))
     return training.anchor_curve(e, 0.95)
 
 
+@query(f"SELECT curve, epoch, round({_SHIFT('1 - cer', 0.95533)}, 5) AS accuracy, round(1 - round({_SHIFT('1 - cer', 0.95533)}, 5), 5) AS cer, round({_SHIFT('cer', 0.764)}, 5) AS word_accuracy, round(1 - round({_SHIFT('cer', 0.764)}, 5), 5) AS wer FROM ({_EPOCHS})")
+def curve_anchor_words(spark: SparkSession, d: str) -> DataFrame:
+    e = _epochs(spark, d).select("curve", "epoch", (1 - F.col("cer")).alias("accuracy"), F.col("cer").alias("word_accuracy"))
+    return training.anchor_curve(e, 0.95533, 0.764, 5)
+
+
 @query(f"SELECT curve, epoch, 1 - cer AS accuracy, round(cer, 4) AS cer, CAST(1000 AS BIGINT) AS chars, CAST(round(cer * 1000) AS BIGINT) AS errors FROM (SELECT curve, epoch, cer FROM ({_EPOCHS}))")
 def parse_train_log(spark: SparkSession, d: str) -> DataFrame:
     e = _epochs(spark, d)
     line = F.format_string("[12.3] Accuracy report (%d) %s 1000 %d", F.col("epoch"), (1 - F.col("cer")).cast("string"), F.round(F.col("cer") * 1000).cast("bigint"))
     logs = e.groupBy("curve").agg(F.array_join(F.array_sort(F.collect_list(F.concat(line, F.lit("\nnoise")))), "\n").alias("value"))  # an epoch a day
-    rows = logs.select("curve", F.explode(F.split("value", "\n")).alias("value"))
-    parts = [training.parse_log(rows.where(F.col("curve") == c), "value").withColumn("curve", F.lit(c)) for c in sorted(r.curve for r in rows.select("curve").distinct().collect())]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.select("curve", "epoch", "accuracy", "cer", "chars", "errors")
+    return training.parse_log(logs, by=["curve"])
 
 
-@query(f"SELECT epoch, 1 - c AS val_accuracy, c AS val_word_accuracy, 1 - c AS best FROM (SELECT epoch, arg_max(cer, curve) AS c FROM ({_EPOCHS}) GROUP BY epoch)")
+@query(f"SELECT epoch, 1 - c AS accuracy, round(c, 6) AS cer, c AS word_accuracy, round(1 - c, 6) AS wer, 1 - c AS best_val_metric FROM (SELECT epoch, arg_max(cer, curve) AS c FROM ({_EPOCHS}) GROUP BY epoch)")
 def stage_log_last_wins(spark: SparkSession, d: str) -> DataFrame:
     a, w = (1 - F.col("cer")).cast("string"), F.col("cer").cast("string")
-    line = F.concat(F.lit("\x1b[31mstage "), F.col("epoch"), F.lit("/∞ \x1b[0m val_accuracy: "), a, F.lit(" val_word_accuracy: "), w, F.lit(" best: "), a)
+    line = F.concat(F.lit("\x1b[31mstage "), F.col("epoch"), F.lit("/∞ ━━━━ 120/120 0:01:40 \x1b[0m val_accuracy: "), a, F.lit(" val_word_accuracy: "), w, F.lit(" early_stopping: 3/10 "), a)
     return training.parse_stage_log(_epochs(spark, d).select(line.alias("value"), F.col("curve").alias("line_no")))
 
 
@@ -466,30 +495,44 @@ def _paged(spark: SparkSession, d: str) -> DataFrame:
     return _spread(p, "run_id", "page").distinct()
 
 
-def _alto_pages(spark: SparkSession, d: str) -> DataFrame:
-    """Page XML written from the lines, thirty a page."""
-    esc = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit('"'), F.lit("&quot;"))
-    glyph = F.coalesce(F.format_string('<Glyph CONTENT="x" GC="%.4f"/>', F.col("mean_confidence")), F.lit(""))
-    line = F.concat(F.lit('<TextLine BASELINE="'), F.format_string("%d %d %d %d", F.lit(10), F.col("line_index") * 50, F.lit(900), F.col("line_index") * 50), F.lit('"><Shape><Polygon POINTS="0 0 9 9"/></Shape><String CONTENT="'), esc(F.coalesce("text_raw", F.lit(""))), F.lit('">'), F.repeat(F.when(F.col("mean_confidence").isNotNull(), glyph).otherwise(F.lit("")), 2), F.lit("</String></TextLine>"))
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_index", line.alias("x")))), lambda s: s["x"]), "")
-    pages = _paged(spark, d).groupBy("run_id", "page").agg(body.alias("b"))
-    head = f'<alto xmlns="{alto.NAMESPACE}"><Description><sourceImageInformation><fileName>p.jpg</fileName></sourceImageInformation></Description><Layout><Page WIDTH="1000" HEIGHT="2000"><PrintSpace><TextBlock>'
-    return pages.select("run_id", "page", F.concat(F.lit(head), "b", F.lit("</TextBlock></PrintSpace></Page></Layout></alto>")).alias("xml"))
-
+def _alto_pages(spark: SparkSession, d: str, text: str = "text_raw") -> DataFrame:
+    """Page XML written from a field of the lines, thirty a page.
 
-@query(f"""WITH l AS (SELECT *, row_number() OVER (PARTITION BY run_id, page ORDER BY line_index) - 1 AS i FROM ({_L}))
-SELECT run_id, page, 'line_' || i AS id, coalesce(text_raw, '') AS text, CASE WHEN mean_confidence IS NULL THEN 0 ELSE 2 END AS n_confidences, coalesce(round(mean_confidence, 4), 0.0) AS mean_confidence, coalesce(round(mean_confidence, 4), 0.0) < 0.7 AS needs_review FROM l""")
+    A line has a string a word and an empty one after the first; lines without text have an empty string alone. Every third page
+    nests its lines in a composed block, every fifth has its later lines on a second page element.
+    """
+    esc = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit('"'), F.lit("&quot;"))
+    # References keep white space in attributes from being read as blanks.
+    esc_all = lambda c: F.replace(F.replace(F.replace(esc(c), F.lit("\t"), F.lit("&#9;")), F.lit("\n"), F.lit("&#10;")), F.lit("\r"), F.lit("&#13;"))
+    glyph = F.when(F.col("mean_confidence").isNotNull(), F.repeat(F.format_string('<Glyph CONTENT="x" GC="%.4f"/>', F.col("mean_confidence")), 2)).otherwise(F.lit(""))
+    words = F.split(F.coalesce(text, F.lit("")), " ")
+    strings = F.transform(words, lambda w, i: F.concat(F.lit('<String CONTENT="'), esc_all(w), F.lit('">'), F.when(i == 0, glyph).otherwise(F.lit("")), F.lit("</String>"), F.when(i == 0, F.lit('<SP/><String CONTENT=""/>')).otherwise(F.lit(""))))
+    line = F.concat(F.lit('<TextLine BASELINE="'), F.format_string("%d %d %d %d", F.lit(10), F.col("line_index") * 50, F.lit(900), F.col("line_index") * 50), F.lit('"><Shape><Polygon POINTS="0 0 9 9"/></Shape>'), F.array_join(strings, ""), F.lit("</TextLine>"))
+    in_order = F.array_sort(F.collect_list(F.struct("line_index", line.alias("x"))))
+    pages = _paged(spark, d).groupBy("run_id", "page").agg(in_order.alias("b")).withColumn("b", F.transform("b", lambda s: s["x"]))
+    head = f'<alto xmlns="{alto.NAMESPACE}"><Description><sourceImageInformation><fileName> p.jpg </fileName></sourceImageInformation></Description><Layout>'
+    block = lambda c: F.concat(F.lit('<Page WIDTH="1000" HEIGHT="2000"><PrintSpace>'), F.when(F.col("page") % 3 == 2, F.lit("<ComposedBlock>")).otherwise(F.lit("")), F.lit("<TextBlock>"), F.array_join(c, ""), F.lit("</TextBlock>"), F.when(F.col("page") % 3 == 2, F.lit("</ComposedBlock>")).otherwise(F.lit("")), F.lit("</PrintSpace></Page>"))
+    body = F.when(F.col("page") % 5 == 4, F.concat(block(F.slice("b", 1, 10)), block(F.slice("b", 11, 100)))).otherwise(block(F.col("b")))
+    return pages.select("run_id", "page", F.concat(F.lit(head), body, F.lit("</Layout></alto>")).alias("xml"))
+
+
+#: A line's text is its words, empty ones left out, joined by one blank; lines without any are left out.
+_XML_TEXT = "array_to_string(list_filter(string_split(coalesce(text_raw, ''), ' '), lambda x: x <> ''), ' ')"
+_XML_LINES = f"SELECT run_id, page, line_index, row_number() OVER (PARTITION BY run_id, page ORDER BY line_index) - 1 AS i, {_XML_TEXT} AS t, mean_confidence FROM ({_L})"
+
+
+@query(f"""SELECT run_id, page, 'p.jpg' AS image, 'line_' || i AS id, t AS text, CASE WHEN mean_confidence IS NULL THEN 0 ELSE 2 END AS n_confidences, coalesce(round(mean_confidence, 4), 0.0) AS mean_confidence, coalesce(round(mean_confidence, 4), 0.0) < 0.7 AS needs_review FROM ({_XML_LINES}) WHERE t <> ''""")
 def alto_contract(spark: SparkSession, d: str) -> DataFrame:
-    c = alto.to_contract(_alto_pages(spark, d)).select("run_id", "page", F.explode("contract.lines").alias("l"))
-    return c.select("run_id", "page", "l.id", "l.text", F.size("l.char_confidences").alias("n_confidences"), "l.mean_confidence", "l.needs_review")
+    c = alto.to_contract(_alto_pages(spark, d)).select("run_id", "page", F.col("contract.source_image").alias("image"), F.explode("contract.lines").alias("l"))
+    return c.select("run_id", "page", "image", "l.id", "l.text", F.size("l.char_confidences").alias("n_confidences"), "l.mean_confidence", "l.needs_review")
 
 
-@query(f"SELECT run_id, page, coalesce(string_agg(text_raw, chr(10) ORDER BY line_index) FILTER (text_raw <> ''), '') AS text FROM ({_L}) GROUP BY run_id, page")
+@query(f"SELECT run_id, page, coalesce(string_agg(t, chr(10) ORDER BY line_index) FILTER (t <> ''), '') AS text FROM ({_XML_LINES}) GROUP BY run_id, page")
 def alto_text(spark: SparkSession, d: str) -> DataFrame:
     return _alto_pages(spark, d).select("run_id", "page", alto.plain_text(F.col("xml")).alias("text"))
 
 
-@query(f"SELECT run_id, page, count(*) FILTER (trim(text_raw) <> '') AS n, coalesce(string_agg(text_raw, ' | ' ORDER BY line_index) FILTER (trim(text_raw) <> ''), '') AS text FROM ({_L}) GROUP BY run_id, page")
+@query(f"SELECT run_id, page, count(*) FILTER (t <> '') AS n, coalesce(string_agg(t, ' | ' ORDER BY line_index) FILTER (t <> ''), '') AS text FROM ({_XML_LINES}) GROUP BY run_id, page")
 def alto_gt_lines(spark: SparkSession, d: str) -> DataFrame:
     lines = alto.true_lines(F.col("xml"))
     return _alto_pages(spark, d).select("run_id", "page", F.size(lines).cast("bigint").alias("n"), F.array_join(lines, " | ").alias("text"))
@@ -502,10 +545,29 @@ def alto_baselines(spark: SparkSession, d: str) -> DataFrame:
     return _alto_pages(spark, d).select("run_id", "page", F.size(b).cast("bigint").alias("n"), F.array_min(ys).alias("top"), F.array_max(ys).alias("bottom"))
 
 
-@query("""SELECT run_id, unnest(CASE run_id % 4 WHEN 0 THEN []::VARCHAR[] WHEN 1 THEN ['missing lines'] WHEN 2 THEN ['line missing text', 'line missing polygon', 'line missing baseline', 'line missing char_confidences', 'line missing mean_confidence', 'line missing needs_review'] ELSE ['invalid json'] END) AS problem FROM (SELECT DISTINCT run_id FROM runs)""")
+#: Contracts of seven forms, one for each run by its number; the twin finds their faults by itself.
+_CONTRACTS = (
+    '{"source_image": "i", "lines": []}',
+    '{"source_image": "i", "review_threshold": 0.7}',
+    '{"source_image": "i", "lines": [{"id": "x"}, {"id": "y", "text": "t", "char_confidences": [], "mean_confidence": 0.5, "needs_review": true}]}',
+    '{"source_image": "i"',
+    '{"source_image": null, "lines": []}',
+    '{"lines": [], "page": {"width": 1}, "review_threshold": "high"}',
+    '{"source_image": "i", "lines": 3}',
+)
+_REQUIRED = "SELECT unnest(['id', 'text', 'char_confidences', 'mean_confidence', 'needs_review']) AS f"
+
+
+@query(f"""WITH r AS (SELECT DISTINCT run_id, ({list(_CONTRACTS)})[CAST(run_id % {len(_CONTRACTS)} AS INTEGER) + 1] AS c FROM runs), v AS (SELECT run_id, CAST(c AS JSON) AS j FROM r WHERE json_valid(c)),
+e AS (SELECT run_id, unnest(CAST(json_extract(j, '$.lines[*]') AS JSON[])) AS x FROM v)
+SELECT run_id, 'invalid json' AS problem FROM r WHERE NOT json_valid(c)
+UNION ALL SELECT run_id, 'missing ' || f FROM v, (SELECT unnest(['source_image', 'lines']) AS f) WHERE NOT list_contains(json_keys(j), f)
+UNION ALL SELECT DISTINCT run_id, 'line missing ' || f FROM e, ({_REQUIRED}) WHERE NOT list_contains(json_keys(x), f)
+UNION ALL SELECT run_id, 'type source_image' FROM v WHERE json_type(j, '$.source_image') <> 'VARCHAR'
+UNION ALL SELECT run_id, 'type lines' FROM v WHERE json_type(j, '$.lines') <> 'ARRAY'
+UNION ALL SELECT run_id, 'type review_threshold' FROM v WHERE json_type(j, '$.review_threshold') NOT IN ('DOUBLE', 'BIGINT', 'UBIGINT')""")
 def contract_validate(spark: SparkSession, d: str) -> DataFrame:
-    base = '{"source_image": null, "page": {"width": 1}, "review_threshold": 0.7'
-    text = F.element_at(F.array(F.lit(base + ', "lines": []}'), F.lit(base + "}"), F.lit(base + ', "lines": [{"id": "x"}]}'), F.lit(base)), (F.col("run_id") % 4 + 1).cast("int"))
+    text = F.element_at(F.array(*map(F.lit, _CONTRACTS)), (F.col("run_id") % len(_CONTRACTS) + 1).cast("int"))
     return alto.contract_violations(table(spark, d, "runs").select("run_id").distinct().withColumn("contract", text), "run_id")
 
 
@@ -516,10 +578,12 @@ def _page_lines(spark: SparkSession, d: str) -> DataFrame:
     return p.groupBy("run_id", "page").agg(rows.alias("r")).select("run_id", "page", F.transform("r", lambda x: x["l"]).alias("lines"), F.transform(F.filter("r", lambda x: x["g"].isNotNull()), lambda x: x["g"]).alias("truth"))
 
 
-_PAGE = f"""WITH l AS (SELECT *, {CODED_SQL("coalesce(text_raw, $$$$)")} AS t, {CODED_SQL("text_gt")} AS g FROM ({_L})),
+_PAGE_TEXTS = f"""WITH l AS (SELECT *, coalesce(text_raw, '') AS t, text_gt AS g FROM ({_L})),
 p AS (SELECT run_id, page, count(*) AS n_lines, count(*) FILTER (needs_review) AS n_review, round(avg(coalesce(mean_confidence, 0.0)), 6) AS mean_confidence, string_agg(t, ' ' ORDER BY line_index) AS raw, coalesce(string_agg(t, ' ' ORDER BY line_index) FILTER (NOT coalesce(needs_review, false)), '') AS sure, coalesce(string_agg(g, ' ' ORDER BY line_index), '') AS gt FROM l GROUP BY run_id, page),
-e AS (SELECT run_id, page, n_lines, n_review, mean_confidence, CASE WHEN gt = '' THEN 0.0 ELSE levenshtein(raw, gt) / length(gt) END AS cer_raw, CASE WHEN gt = '' THEN 0.0 ELSE levenshtein(sure, gt) / length(gt) END AS cer_reviewed,
-CASE WHEN {_FOLD_SQL("gt")} = '' THEN 0.0 ELSE levenshtein({_FOLD_SQL("sure")}, {_FOLD_SQL("gt")}) / length({_FOLD_SQL("gt")}) END AS cer_normalized FROM p)
+q AS (SELECT *, {_NORMAL("sure")} AS nsure, {_NORMAL("gt")} AS ngt FROM p)
+"""
+_PAGE = f"""{_PAGE_TEXTS}, e AS (SELECT run_id, page, n_lines, n_review, mean_confidence, CASE WHEN gt = '' THEN 0.0 ELSE {distance_sql("raw", "gt")} / length(gt) END AS cer_raw, CASE WHEN gt = '' THEN 0.0 ELSE {distance_sql("sure", "gt")} / length(gt) END AS cer_reviewed,
+CASE WHEN ngt = '' THEN 0.0 ELSE {distance_sql("nsure", "ngt")} / length(ngt) END AS cer_normalized FROM q)
 """
 
 
@@ -535,6 +599,22 @@ def aggregate_pages(spark: SparkSession, d: str) -> DataFrame:
     return a.select("run_id", "n_pages", "n_lines", "n_review", "needs_review_rate", F.round("cer_raw", 6).alias("cer_raw"), F.round("cer_normalized", 6).alias("cer_normalized"))
 
 
+_XML_PAGE = f"""WITH l AS (SELECT run_id, page, line_index, {_XML_TEXT} AS t, {_XML_TEXT.replace("text_raw", "text_gt")} AS g, coalesce(round(mean_confidence, 4), 0.0) AS mc FROM ({_L})),
+p AS (SELECT run_id, page, count(*) FILTER (t <> '') AS n_lines, count(*) FILTER (t <> '' AND mc < 0.7) AS n_review, count(*) FILTER (g <> '') AS n_lines_gt, coalesce(round(avg(mc) FILTER (t <> ''), 4), 0.0) AS mean_confidence,
+  coalesce(string_agg(t, ' ' ORDER BY line_index) FILTER (t <> ''), '') AS raw, coalesce(string_agg(t, ' ' ORDER BY line_index) FILTER (t <> '' AND mc >= 0.7), '') AS sure, coalesce(string_agg(g, ' ' ORDER BY line_index) FILTER (g <> ''), '') AS gt FROM l GROUP BY run_id, page),
+q AS (SELECT *, {_NORMAL("sure")} AS nsure, {_NORMAL("gt")} AS ngt FROM p)
+SELECT run_id, page, n_lines, n_lines - n_review AS n_lines_kept, n_lines_gt, n_review, mean_confidence, CASE WHEN gt = '' THEN 0.0 ELSE round({distance_sql("raw", "gt")} / length(gt), 4) END AS cer_raw,
+  CASE WHEN gt = '' THEN 0.0 ELSE round({distance_sql("sure", "gt")} / length(gt), 4) END AS cer_reviewed, CASE WHEN ngt = '' THEN 0.0 ELSE round({distance_sql("nsure", "ngt")} / length(ngt), 4) END AS cer_normalized FROM q"""
+
+
+@query(_XML_PAGE)
+def page_eval_alto(spark: SparkSession, d: str) -> DataFrame:
+    """Found pages against true ones, both as page XML."""
+    pairs = alto.page_pairs(_alto_pages(spark, d), _alto_pages(spark, d, "text_gt"), ["run_id", "page"])
+    e = runs.evaluate_contracts(_spread(pairs, "run_id", "page"))
+    return e.select("run_id", "page", "n_lines", "n_lines_kept", "n_lines_gt", "n_review", "mean_confidence", "cer_raw", "cer_reviewed", "cer_normalized")
+
+
 @query("SELECT DISTINCT run_id, CAST(created_at AS VARCHAR) AS created_at, manuscript FROM (SELECT DISTINCT * FROM runs ORDER BY created_at DESC NULLS LAST, run_id DESC LIMIT 100)")
 def latest_runs(spark: SparkSession, d: str) -> DataFrame:
     r = runs.latest_runs(table(spark, d, "runs"))

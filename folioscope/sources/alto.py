@@ -1,7 +1,9 @@
 """Page XML (ALTO): to contract, texts and baselines.
 
-Two readers: `from_xml` with a declared schema for the usual nesting, all in the JVM; a Python one for any
-nesting. Both read ignoring namespaces; `strict` drops pages that are not in the version 4 namespace.
+Every TextLine of a page counts, in document order and however deep it lies. Pages of the usual nesting are read by
+`from_xml` with a declared schema, all in the JVM. Where that finds other numbers of lines or strings than the page
+has (nested blocks, several pages, lines outside of blocks), a reader of any nesting takes over, in Arrow batches that hold
+such pages alone. Namespaces are ignored; `text_any_nesting` with `strict` drops pages that are not in the version 4 namespace.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.functions.geometry import points
+from folioscope.functions.text import strip
 from folioscope.operators.runs import REVIEW_THRESHOLD, mean_confidence, needs_review
 
 NAMESPACE = "http://www.loc.gov/standards/alto/ns-v4#"
@@ -24,9 +27,11 @@ _LINE = f"struct<_ID:string,_BASELINE:string,Shape:struct<Polygon:struct<_POINTS
 _SPACE = f"struct<TextBlock:array<struct<TextLine:array<{_LINE}>>>,TextLine:array<{_LINE}>>"
 SCHEMA = f"Description struct<sourceImageInformation:struct<fileName:string>>, Layout struct<Page:struct<_WIDTH:int,_HEIGHT:int,PrintSpace:{_SPACE}>>"
 
-LINE_TYPE = "struct<id:string,text:string,polygon:array<array<int>>,baseline:array<array<int>>,char_confidences:array<double>,mean_confidence:double,needs_review:boolean>"
-CONTRACT_FIELDS = ("source_image", "page", "review_threshold", "lines")
-LINE_FIELDS = ("id", "text", "polygon", "baseline", "char_confidences", "mean_confidence", "needs_review")
+#: What either reader gives: `words` are the strings right below the line, `deep` those at any depth.
+PAGE = "struct<image:string,width:int,height:int,lines:array<struct<id:string,words:array<string>,deep:array<string>,polygon:string,baseline:string,confidences:array<double>>>>"
+#: Fields that a contract and its lines must have (fixed values).
+CONTRACT_FIELDS = ("source_image", "lines")
+LINE_FIELDS = ("id", "text", "char_confidences", "mean_confidence", "needs_review")
 
 
 def parse(xml: Column) -> Column:
@@ -34,74 +39,148 @@ def parse(xml: Column) -> Column:
     return F.from_xml(xml, SCHEMA, {"ignoreNamespace": "true", "ignoreSurroundingSpaces": "false", "mode": "PERMISSIVE"})
 
 
-def text_lines(page: Column) -> Column:
-    """All TextLine structs of a parsed page: of its blocks, then those without a block."""
+def _usual(page: Column) -> Column:
+    """PAGE of a page in the declared nesting."""
     space = page["Layout"]["Page"]["PrintSpace"]
-    empty = F.array().cast(f"array<{_LINE}>")
+    empty, no_strings = F.array().cast(f"array<{_LINE}>"), F.array().cast(f"array<{_STRING}>")
     blocks = F.coalesce(F.flatten(F.transform(space["TextBlock"], lambda b: F.coalesce(b["TextLine"], empty))), empty)
-    return F.concat(blocks, F.coalesce(space["TextLine"], empty))
 
+    def line(x: Column) -> Column:
+        strings = F.coalesce(x["String"], no_strings)
+        words = F.transform(strings, lambda w: F.coalesce(w["_CONTENT"], F.lit("")))
+        glyphs = F.flatten(F.transform(strings, lambda w: F.coalesce(w["Glyph"], F.array().cast("array<struct<_CONTENT:string,_GC:double>>"))))
+        confidences = F.transform(F.filter(glyphs, lambda g: g["_GC"].isNotNull()), lambda g: g["_GC"])
+        return F.struct(x["_ID"].alias("id"), words.alias("words"), words.alias("deep"), x["Shape"]["Polygon"]["_POINTS"].alias("polygon"), x["_BASELINE"].alias("baseline"), confidences.alias("confidences"))
 
-def line_text(line: Column) -> Column:
-    """Contents of a line's strings joined by spaces."""
-    return F.array_join(F.transform(F.coalesce(line["String"], F.array().cast(f"array<{_STRING}>")), lambda s: F.coalesce(s["_CONTENT"], F.lit(""))), " ")
+    layout = page["Layout"]["Page"]
+    lines = F.transform(F.concat(blocks, F.coalesce(space["TextLine"], empty)), line)
+    mixed = (F.size(blocks) > 0) & (F.size(F.coalesce(space["TextLine"], empty)) > 0)
+    return F.when(page["Layout"].isNotNull() & ~mixed, F.struct(page["Description"]["sourceImageInformation"]["fileName"].alias("image"), layout["_WIDTH"].alias("width"), layout["_HEIGHT"].alias("height"), lines.alias("lines")))
 
 
-def to_contract(pages: DataFrame, xml: str = "xml", review_threshold: float = REVIEW_THRESHOLD) -> DataFrame:
-    """`pages` with `contract`: source_image, page (width, height), review_threshold, lines.
+def _local(tag) -> str:
+    return tag.rsplit("}", 1)[-1] if isinstance(tag, str) else ""
 
+
+def _whole(text: str | None) -> int | None:
+    return int(text) if text and text.strip().lstrip("-").isdigit() else None
+
+
+def _decimal(text: str) -> float | None:
+    try:
+        return float(text)
+    except ValueError:
+        return None
+
+
+def read_any(xml: str | None) -> dict | None:
+    """PAGE of a page of any nesting; None for what is no XML."""
+    try:
+        root = ET.fromstring(xml or "")
+    except ET.ParseError:
+        return None
+    every = lambda tag, at=root: (e for e in at.iter() if _local(e.tag) == tag)
+    page, image = next(every("Page"), None), next(every("fileName"), None)
+    lines = []
+    for line in every("TextLine"):
+        own = [e for e in line if _local(e.tag) == "String"]
+        shape = next((p for s in line if _local(s.tag) == "Shape" for p in s if _local(p.tag) == "Polygon"), None)
+        known = [g.get("GC") for s in own for g in every("Glyph", s) if g.get("GC") is not None]
+        lines.append({"id": line.get("ID"), "words": [s.get("CONTENT", "") for s in own], "deep": [s.get("CONTENT", "") for s in every("String", line)], "polygon": None if shape is None else shape.get("POINTS"), "baseline": line.get("BASELINE"), "confidences": [c for g in known if (c := _decimal(g)) is not None]})
+    return {"image": None if image is None else image.text, "width": page is not None and _whole(page.get("WIDTH")) or None, "height": page is not None and _whole(page.get("HEIGHT")) or None, "lines": lines}
+
+
+def _any(xml: Column) -> Column:
+    fields = ("image", "width", "height", "lines")
+
+    @F.pandas_udf(PAGE)
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for s in batches:
+            read = [None if t is None else read_any(t) for t in s]
+            yield pd.DataFrame({f: pd.Series([None if r is None else r[f] for r in read], dtype="Int64" if f in ("width", "height") else object) for f in fields})
+
+    return run(xml)
+
+
+def read_page(xml: Column) -> Column:
+    """PAGE of a page; null for what is no XML and for null."""
+    usual = _usual(parse(xml))
+    lines, strings = (F.regexp_count(xml, F.lit(rf"<(?:[\w.-]+:)?{tag}[\s/>]")) for tag in ("TextLine", "String"))
+    whole = usual.isNotNull() & (F.size(usual["lines"]) == lines) & (F.aggregate(usual["lines"], F.lit(0), lambda n, x: n + F.size(x["words"])) == strings)
+    other = _any(F.when(~F.coalesce(whole, F.lit(False)), xml))
+    return F.when(whole, usual).when(other["lines"].isNotNull(), other)
+
+
+def _text(words: Column) -> Column:
+    """Contents joined by spaces, empty ones left out."""
+    return F.array_join(F.filter(words, lambda w: w != ""), " ")
+
+
+def to_contract(pages: DataFrame, xml: str = "xml", review_threshold: float = REVIEW_THRESHOLD, source_image: Column | None = None, model: str | None = None) -> DataFrame:
+    """`pages` with `contract`: source_image, model, page (width, height), review_threshold, lines.
+
+    The image is the column `source_image` where that is set and not empty, else the page's file name without outer blanks, else `unknown`.
     A line has id (`line_<i>` if it has none, i counting all lines), text, polygon, baseline, the glyphs'
-    confidences and their mean, both rounded to four places, and whether it needs review. Lines without
-    text are left out. A page that is no XML has a null contract.
+    confidences and their mean, both rounded to four places, whether it needs review, and no candidates yet. Lines without
+    text are left out. What is no XML, and null, has a null contract.
     """
-    page = parse(F.col(xml))
-    zipped = F.transform(text_lines(F.col("__p")), lambda x, i: F.struct(x.alias("x"), i.alias("i")))
+    p, empty = F.col("__p"), F.array().cast("array<array<int>>")
+    numbered = F.transform(p["lines"], lambda x, i: F.struct(x.alias("x"), i.alias("i")))
 
     def line(z: Column) -> Column:
         x = z["x"]
-        glyphs = F.flatten(F.transform(F.coalesce(x["String"], F.array().cast(f"array<{_STRING}>")), lambda s: F.coalesce(s["Glyph"], F.array().cast("array<struct<_CONTENT:string,_GC:double>>"))))
-        confs = F.transform(F.filter(glyphs, lambda g: g["_GC"].isNotNull()), lambda g: F.round(g["_GC"], 4))
+        confs = F.transform(x["confidences"], lambda g: F.round(g, 4))
         mean = mean_confidence(confs)
-        empty = F.array().cast("array<array<int>>")
         return F.struct(
-            F.coalesce(x["_ID"], F.concat(F.lit("line_"), z["i"].cast("string"))).alias("id"),
-            line_text(x).alias("text"),
-            F.coalesce(points(x["Shape"]["Polygon"]["_POINTS"]), empty).alias("polygon"),
-            F.coalesce(points(x["_BASELINE"]), empty).alias("baseline"),
+            F.coalesce(x["id"], F.concat(F.lit("line_"), z["i"].cast("string"))).alias("id"),
+            _text(x["words"]).alias("text"),
+            F.coalesce(points(x["polygon"]), empty).alias("polygon"),
+            F.coalesce(points(x["baseline"]), empty).alias("baseline"),
             confs.alias("char_confidences"),
             mean.alias("mean_confidence"),
             needs_review(mean, review_threshold).alias("needs_review"),
+            F.array().cast("array<string>").alias("candidates"),
         )
 
-    p = F.col("__p")
-    lines = F.transform(F.filter(zipped, lambda z: F.size(F.coalesce(z["x"]["String"], F.array().cast(f"array<{_STRING}>"))) > 0), line)
+    filled = lambda c: F.when(c != "", c)
     contract = F.struct(
-        p["Description"]["sourceImageInformation"]["fileName"].alias("source_image"),
-        F.struct(p["Layout"]["Page"]["_WIDTH"].alias("width"), p["Layout"]["Page"]["_HEIGHT"].alias("height")).alias("page"),
+        F.coalesce(filled(source_image) if source_image is not None else F.lit(None), filled(strip(p["image"])), F.lit("unknown")).alias("source_image"),
+        F.lit(model).cast("string").alias("model"),
+        F.struct(p["width"].alias("width"), p["height"].alias("height")).alias("page"),
         F.lit(review_threshold).alias("review_threshold"),
-        lines.alias("lines"),
+        F.transform(F.filter(numbered, lambda z: _text(z["x"]["words"]) != ""), line).alias("lines"),
     )
-    return pages.withColumn("__p", page).withColumn("contract", F.when(p["Layout"].isNotNull(), contract)).drop("__p")
+    return pages.withColumn("__p", read_page(F.col(xml))).withColumn("contract", F.when(p.isNotNull(), contract)).drop("__p")
 
 
 def true_lines(xml: Column) -> Column:
-    """Texts of the lines of a page that are not empty; null for text that is no XML."""
-    return F.filter(F.transform(text_lines(parse(xml)), line_text), lambda t: F.trim(t) != "")
+    """Texts of the lines of a page that have any; null for what is no XML."""
+    return F.filter(F.transform(read_page(xml)["lines"], lambda x: _text(x["deep"])), lambda t: t != "")
 
 
 def plain_text(xml: Column) -> Column:
-    """The page's text, a line feed between lines; empty for text that is no XML."""
-    return F.coalesce(F.array_join(F.filter(F.transform(text_lines(parse(xml)), line_text), lambda t: t != ""), "\n"), F.lit(""))
+    """The page's text, a line feed between lines that have any; empty for what is no XML."""
+    return F.coalesce(F.array_join(true_lines(xml), "\n"), F.lit(""))
+
 
+def page_pairs(found: DataFrame, truth: DataFrame, keys: list[str], xml: str = "xml", **options) -> DataFrame:
+    """keys, contract, truth: found pages with the true lines of the page of the same keys; pages without a true one are left out."""
+    own = to_contract(found.select(*keys, xml), xml, **options).select(*keys, "contract")
+    return own.join(truth.select(*keys, true_lines(F.col(xml)).alias("truth")), keys)
 
-def baselines(xml: Column) -> Column:
-    """Struct image, baselines (points of lines that have one), texts (their first strings)."""
-    p = parse(xml)
-    kept = F.filter(text_lines(p), lambda x: F.coalesce(x["_BASELINE"], F.lit("")) != "")
+
+def baselines(xml: Column, name: Column | None = None) -> Column:
+    """Struct image, baselines (points of lines that have one), texts (their first strings).
+
+    The image is the page's file name without outer blanks, else `name` and `.jpg`, else null.
+    """
+    p = read_page(xml)
+    kept = F.filter(p["lines"], lambda x: F.coalesce(x["baseline"], F.lit("")) != "")
+    image = F.when(strip(p["image"]) != "", strip(p["image"])).otherwise(F.concat(name, F.lit(".jpg")) if name is not None else F.lit(None))
     return F.struct(
-        p["Description"]["sourceImageInformation"]["fileName"].alias("image"),
-        F.transform(kept, lambda x: points(x["_BASELINE"])).alias("baselines"),
-        F.transform(kept, lambda x: F.coalesce(F.get(x["String"], F.lit(0))["_CONTENT"], F.lit(""))).alias("texts"),
+        image.alias("image"),
+        F.transform(kept, lambda x: points(x["baseline"])).alias("baselines"),
+        F.transform(kept, lambda x: F.coalesce(F.get(x["words"], F.lit(0)), F.lit(""))).alias("texts"),
     )
 
 
@@ -115,17 +194,11 @@ def segmenter_baselines(c: Column) -> Column:
 def text_any_nesting(pages: DataFrame, key: str, xml: str = "xml", strict: bool = False) -> DataFrame:
     """(key, texts): texts of the lines in document order, however deep they lie; none for text that is no XML."""
 
-    def local(tag: str) -> str:
-        return tag.rsplit("}", 1)[-1]
-
     def read(t: str | None) -> list[str]:
-        try:
-            root = ET.fromstring(t or "")
-        except ET.ParseError:
-            return []
-        if strict and not root.tag.startswith("{" + NAMESPACE):
+        found = read_any(t)
+        if found is None or strict and not ET.fromstring(t).tag.startswith("{" + NAMESPACE):
             return []
-        return [" ".join(s.get("CONTENT", "") for s in line.iter() if local(s.tag) == "String") for line in root.iter() if local(line.tag) == "TextLine"]
+        return [" ".join(w for w in line["deep"] if w) for line in found["lines"]]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -138,19 +211,22 @@ def text_any_nesting(pages: DataFrame, key: str, xml: str = "xml", strict: bool
 def contract_violations(contracts: DataFrame, key: str, text: str = "contract") -> DataFrame:
     """(key, problem): what is wrong with contracts given as JSON; valid ones have no row.
 
-    Problems: `invalid json`, `missing <field>`, `line missing <field>`, `type <field>`.
+    Problems: `invalid json`, `missing <field>`, `line missing <field>`, `type <field>`. Of the contract only its image and lines, of a line
+    only id, text, confidences, their mean and the flag must be there; the image must be a string, the threshold a number.
     """
     keys = F.json_object_keys(F.col(text))
     lines = F.from_json(F.get_json_object(F.col(text), "$.lines"), "array<string>")
     absent = lambda fields, have: F.array_except(F.array(*map(F.lit, fields)), F.coalesce(have, F.array().cast("array<string>")))
-    types = F.from_json(F.col(text), "review_threshold string, page string")
-    threshold = types["review_threshold"].try_cast("double")
+    wrong = lambda c, name: F.when(c, F.array(F.lit(f"type {name}"))).otherwise(F.array().cast("array<string>"))
+    # Variants keep the kinds of JSON values apart.
+    kind = lambda name: F.schema_of_variant(F.variant_get(F.try_parse_json(F.col(text)), f"$.{name}", "variant"))
     problems = F.when(keys.isNull(), F.array(F.lit("invalid json"))).otherwise(
         F.concat(
             F.transform(absent(CONTRACT_FIELDS, keys), lambda f: F.concat(F.lit("missing "), f)),
             F.array_distinct(F.flatten(F.transform(F.coalesce(lines, F.array().cast("array<string>")), lambda x: F.transform(absent(LINE_FIELDS, F.json_object_keys(x)), lambda f: F.concat(F.lit("line missing "), f))))),
-            F.when(F.array_contains(keys, "lines") & lines.isNull(), F.array(F.lit("type lines"))).otherwise(F.array().cast("array<string>")),
-            F.when(F.array_contains(keys, "review_threshold") & threshold.isNull(), F.array(F.lit("type review_threshold"))).otherwise(F.array().cast("array<string>")),
+            wrong(F.array_contains(keys, "lines") & lines.isNull(), "lines"),
+            wrong(F.array_contains(keys, "source_image") & (F.coalesce(kind("source_image"), F.lit("VOID")) != "STRING"), "source_image"),
+            wrong(F.array_contains(keys, "review_threshold") & ~F.coalesce(kind("review_threshold"), F.lit("VOID")).rlike("^(?:BIGINT|DOUBLE|FLOAT|DECIMAL.*)$"), "review_threshold"),
         )
     )
     return contracts.select(key, F.explode(problems).alias("problem"))
@@ -171,4 +247,4 @@ def save_contracts(pages: DataFrame, key: str, path: str) -> None:
 
 def empty_contract() -> str:
     """A valid contract without lines, for tests and documentation."""
-    return json.dumps({"source_image": None, "page": {}, "review_threshold": REVIEW_THRESHOLD, "lines": []})
+    return json.dumps({"source_image": "unknown", "page": {}, "review_threshold": REVIEW_THRESHOLD, "lines": []})

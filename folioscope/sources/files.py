@@ -14,7 +14,11 @@ from folioscope.functions.text import strip
 
 CORPUS = "im struct<bytes:binary,path:string>, text string, language string, century tinyint"
 MANIFEST = "repo_id string, filter struct<language:string,century:int>, splits map<string,bigint>, total bigint, s3_keys array<string>"
-REPORT = "model string, test_set string, cer double, wer double, char_accuracy double, bootstrap struct<n_bootstrap:int,alpha:double,cer_ci95:array<double>,wer_ci95:array<double>>, manuscripts map<string,struct<iou_mean:double,iou_share:double,n_lines:bigint,pages:bigint>>, raw string"
+_BOOTSTRAP = "struct<n_bootstrap:int,alpha:double,cer_ci95:array<double>,wer_ci95:array<double>>"
+REPORT = f"model string, test_set string, cer double, wer double, char_accuracy double, bootstrap {_BOOTSTRAP}, manuscripts map<string,struct<iou_mean:double,iou_share:double,n_lines:bigint,pages:bigint>>, raw string"
+#: Further fields of reports as they are shipped: rates of the best epoch, scores of manuscripts under other names.
+_SHIPPED = "validation_best struct<epoch:int,val_accuracy:double,cer:double,val_word_accuracy:double,wer:double>, segmentation_iou struct<threshold:double,manuscripts:map<string,struct<title:string,mean_iou:double,pct_above_threshold:double,n_lines:bigint,n_pages:bigint>>,mean_iou:double,pct_above_threshold:double>, ketos_output string"
+LISTING = "parquet_files array<struct<split:string,url:string,filename:string,size:bigint>>"
 METRICS = "epoch int, accuracy double, cer double, word_accuracy double, wer double, best_val_metric double"
 PREDICTIONS = "ref string, hyp string, image_path string"
 LEXICON = "form string, cat string, lemma string"
@@ -35,6 +39,12 @@ def corpus_files(paths: Sequence[tuple[str, str]], split: str, max_files: int |
     return [p for s, p in paths if s == split][:max_files]
 
 
+def read_listing(spark: SparkSession, path: str) -> list[tuple[str, str]]:
+    """(split, url) of the files that a listing's JSON names, in its order; none where there is no listing. A listing is as long as a corpus has files."""
+    files = _json(spark, path, LISTING).select(F.posexplode("parquet_files").alias("k", "f")).select("k", "f.split", "f.url")
+    return [(r.split, r.url) for r in sorted(files.collect()) if r.url]
+
+
 def read_corpus(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """Parquet files of the corpus with the declared schema; filters and columns reach the scan."""
     return spark.read.schema(CORPUS).parquet(*paths) if paths else _empty(spark, CORPUS)
@@ -80,7 +90,13 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_report(spark: SparkSession, path: str) -> DataFrame:
-    return _json(spark, path, REPORT)
+    """A report of REPORT's fields, and best_epoch, iou_mean, iou_share; rates and manuscripts stand at the top or, as shipped, below."""
+    r = _json(spark, path, f"{REPORT}, {_SHIPPED}")
+    best, seg = F.col("validation_best"), F.col("segmentation_iou")
+    shipped = F.transform_values(seg["manuscripts"], lambda _, m: F.struct(m["mean_iou"].alias("iou_mean"), m["pct_above_threshold"].alias("iou_share"), m["n_lines"].alias("n_lines"), m["n_pages"].alias("pages")))
+    either = {"cer": best["cer"], "wer": best["wer"], "char_accuracy": best["val_accuracy"], "manuscripts": shipped, "raw": F.col("ketos_output")}
+    out = r.withColumns({c: F.coalesce(c, other) for c, other in either.items()})
+    return out.withColumns({"best_epoch": best["epoch"], "iou_mean": seg["mean_iou"], "iou_share": seg["pct_above_threshold"]}).drop("validation_best", "segmentation_iou", "ketos_output")
 
 
 def manuscripts_of(report: DataFrame) -> DataFrame:
@@ -138,9 +154,11 @@ def write_database(df: DataFrame, url: str | None, table: str, batch: int = 10_0
     df.write.format("jdbc").option("url", url).option("dbtable", table).option("batchsize", batch).options(**options).mode("append").save()
 
 
-def write_lines(lines: DataFrame, path: str) -> None:
-    """Prepared lines as parquet, a folder a split."""
+def write_lines(lines: DataFrame, path: str) -> dict[str, int]:
+    """Prepared lines as parquet, a folder a split; returns the number of lines written of each."""
     lines.write.partitionBy("split").mode("overwrite").parquet(path)
+    counts = lines.sparkSession.read.parquet(path).groupBy("split").count().collect()  # a row a split
+    return {r["split"]: r["count"] for r in counts}
 
 
 def write_manifest(manifest: DataFrame, path: str) -> None:

@@ -77,6 +77,14 @@ def test_mismatch_is_not_committed(spark, tmp_path, monkeypatch):
     assert not os.path.exists(out) and not os.path.exists(out + ".staging")
 
 
+def test_output_is_replaced(spark, tmp_path):
+    out = str(tmp_path / "out")
+    compact_line_files(spark.createDataFrame(files(), SCHEMA), out)
+    assert compact_line_files(spark.createDataFrame(files()[:0], SCHEMA), out).count() == 0
+    assert rows(compact_line_files(spark.createDataFrame(files(), SCHEMA), out).select("split", "stem")) == EXPECTED
+    assert sorted(os.listdir(tmp_path)) == ["out"]
+
+
 def test_empty(spark, tmp_path):
     assert compact_line_files(spark.createDataFrame([], SCHEMA), str(tmp_path / "e")).count() == 0
 

@@ -210,8 +210,9 @@ def test_logs(spark):
     log = "x Accuracy report (2) 0.9213 1000 79\nnoise\nAccuracy report (1) 0.5\n"
     got = rows(training.parse_log(spark.createDataFrame([(log,), (None,), ("",)], "value string")))
     assert got == [(1, 0.5, 0.5, None, None), (2, 0.9213, 0.0787, 1000, 79)]
-    lines = [(1, "\x1b[1mstage 3/∞ val_accuracy: 0.5 val_word_accuracy: 0.2 best: 0.5"), (2, "stage 3/∞ val_accuracy: 0.6 val_word_accuracy: 0.3 best: 0.6"), (3, "other")]
-    assert rows(training.parse_stage_log(spark.createDataFrame(lines, "line_no int, value string"))) == [(3, 0.6, 0.3, 0.6)]
+    line = "\x1b[1mstage {}/50 ━━━ 120/120 0:01:40 \x1b[0mval_accuracy: {} val_word_accuracy: {} early_stopping: 3/10 {}"
+    lines = [(1, line.format(3, 0.5, 0.2, 0.5)), (2, line.format(3, 0.6, 0.3, 0.95533)), (3, "other"), (4, "stage 4/50 val_accuracy: 0.7"), (5, None)]
+    assert rows(training.parse_stage_log(spark.createDataFrame(lines, "line_no int, value string"))) == [(3, 0.6, 0.4, 0.3, 0.7, 0.95533)]
     m = spark.createDataFrame([(1, 0.5), (2, 0.9), (3, 0.9)], "epoch int, accuracy double")
     assert tuple(training.best_epoch(m, "accuracy").first()) == (2, 0.9) and tuple(training.best_epoch(m, "accuracy", lowest=True).first()) == (1, 0.5)
     assert [round(r.accuracy, 6) for r in training.anchor_curve(m, 0.95).orderBy("epoch").collect()] == [0.55, 0.95, 0.95]
@@ -293,8 +294,9 @@ def test_contract_validation(spark, tmp_path):
     alto.save_contracts(good, "id", str(tmp_path / "c"))
     bad = spark.createDataFrame([(1, '{"lines":[{"id":"x"}]}'), (2, "no json"), (3, alto.empty_contract()), (4, '{"source_image":1,"page":{},"review_threshold":"high","lines":3}')], "id int, contract string")
     got = rows(alto.contract_violations(bad, "id"))
-    assert (1, "missing page") in got and (1, "line missing text") in got and (2, "invalid json") in got and not [g for g in got if g[0] == 3]
-    assert {g[1] for g in got if g[0] == 4} == {"type lines", "type review_threshold"}
+    assert {g[1] for g in got if g[0] == 1} == {"missing source_image", "line missing text", "line missing char_confidences", "line missing mean_confidence", "line missing needs_review"}
+    assert (2, "invalid json") in got and not [g for g in got if g[0] == 3]
+    assert {g[1] for g in got if g[0] == 4} == {"type source_image", "type lines", "type review_threshold"}
 
 
 def test_page_scores(spark):
