@@ -124,3 +124,49 @@ def _asked(context: Context):
             yield pd.Series(context(words, index, found), dtype=object)
 
     return run
+
+
+def most_probable(probabilities: Callable[[list[tuple[list[str], int, list[str]]]], list[list[float | None]]]) -> Context:
+    """Context of a model: from (tokens, place, candidates) of a batch to a probability of each candidate, None where it cannot say.
+
+    The first candidate of the highest probability is taken; null, hence the nearest, where there is none.
+    """
+
+    def choose(words: pd.Series, index: pd.Series, found: pd.Series) -> pd.Series:
+        asked = [(list(w), int(i), list(c)) for w, i, c in zip(words, index, found)]
+        out = []
+        for (_, _, names), ps in zip(asked, probabilities(asked) if asked else []):
+            known = [(p, -k) for k, p in enumerate(ps) if p is not None]
+            out.append(names[-max(known)[1]] if known else None)
+        return pd.Series(out, dtype=object)
+
+    return choose
+
+
+def masked_model(model: str) -> Context:
+    """Context of a masked language model, a name or folder that the transformers library loads, once a worker; that library is optional.
+
+    The word's place is masked; only candidates of one token of the model's have a probability.
+    """
+    loaded: dict = {}
+
+    def probabilities(asked: list[tuple[list[str], int, list[str]]]) -> list[list[float | None]]:
+        if not loaded:
+            import torch
+            from transformers import AutoModelForMaskedLM, AutoTokenizer
+
+            loaded.update(torch=torch, names=AutoTokenizer.from_pretrained(model), model=AutoModelForMaskedLM.from_pretrained(model).eval())
+        names, out = loaded["names"], []
+        for words, i, found in asked:
+            encoded = names(" ".join([*words[:i], names.mask_token, *words[i + 1 :]]), return_tensors="pt", truncation=True)
+            place = (encoded.input_ids[0] == names.mask_token_id).nonzero()
+            ids = [names.encode(" " + c, add_special_tokens=False) for c in found]
+            if not len(place):
+                out.append([None] * len(ids))
+                continue
+            with loaded["torch"].no_grad():
+                p = loaded["model"](**encoded).logits[0, place[0, 0]].softmax(-1)
+            out.append([p[x[0]].item() if len(x) == 1 else None for x in ids])
+        return out
+
+    return most_probable(probabilities)

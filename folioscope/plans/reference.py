@@ -445,19 +445,19 @@ m AS (SELECT t.page, t.k, list(struct_pack(j := f.j, v := {_iou_sql("t", "f")})
 g AS (SELECT page, 0::BIGINT AS k, []::BIGINT[] AS used, 0::DOUBLE AS v FROM (SELECT DISTINCT page FROM t)
 UNION ALL SELECT page, k, CASE WHEN best.v > 0 THEN list_append(used, best.j) ELSE used END, coalesce(best.v, 0.0) FROM (
   SELECT m.page, m.k, g.used, list_sort(list_transform(list_filter(coalesce(m.c, []), lambda x: NOT list_contains(g.used, x.j)), lambda x: struct_pack(v := x.v, nj := -x.j, j := x.j)), 'DESC')[1] AS best FROM g JOIN m ON m.page = g.page AND m.k = g.k + 1)),
-s AS (SELECT page, k, v FROM g WHERE k > 0)
+s AS (SELECT page, k, v FROM g WHERE k > 0), a AS (SELECT DISTINCT page FROM b)
 """
 
 
-@query(_GREEDY + "SELECT page, string_agg(CAST(round(v, 6) AS DECIMAL(9, 6)), ' ' ORDER BY k) AS ious FROM s GROUP BY page")
+@query(_GREEDY + "SELECT a.page, coalesce(string_agg(CAST(round(v, 6) AS DECIMAL(9, 6)), ' ' ORDER BY k), '') AS ious FROM a LEFT JOIN s ON a.page = s.page GROUP BY a.page")
 def greedy_match(spark: SparkSession, d: str) -> DataFrame:
-    p = _pages(spark, d).where("size(truth) > 0").select("page", geo.greedy_ious(F.col("truth"), F.col("found")).alias("v"))
+    p = _pages(spark, d).select("page", geo.greedy_ious(F.col("truth"), F.col("found")).alias("v"))
     return p.select("page", F.array_join(F.transform("v", lambda v: F.round(v, 6).cast("decimal(9,6)").cast("string")), " ").alias("ious"))
 
 
-@query(_GREEDY + ", p AS (SELECT page, avg(v) AS m, count(*) AS n FROM s GROUP BY page) SELECT page % 50 AS manuscript, round(avg(m), 6) AS iou_mean, CAST(sum(n) AS BIGINT) AS n_lines, count(*) AS pages FROM p GROUP BY 1")
+@query(_GREEDY + ", p AS (SELECT a.page, coalesce(avg(v), 0.0) AS m, count(v) AS n FROM a LEFT JOIN s ON a.page = s.page GROUP BY a.page) SELECT page % 50 AS manuscript, round(avg(m), 6) AS iou_mean, CAST(sum(n) AS BIGINT) AS n_lines, count(*) AS pages FROM p GROUP BY 1")
 def manuscript_iou(spark: SparkSession, d: str) -> DataFrame:
-    pages = segmentation.page_iou(_pages(spark, d).where("size(truth) > 0")).withColumn("manuscript", F.col("page") % 50)
+    pages = segmentation.page_iou(_pages(spark, d)).withColumn("manuscript", F.col("page") % 50)
     return segmentation.manuscript_iou(pages).select("manuscript", F.round("iou_mean", 6).alias("iou_mean"), "n_lines", "pages")
 
 

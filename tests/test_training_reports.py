@@ -68,6 +68,19 @@ def test_correction_with_context(spark):
     assert lexicon.correct_lines(lines.limit(0), ["id"], "t", lex, context=last).count() == 0
 
 
+def test_most_probable(spark):
+    lex = spark.createDataFrame([(w,) for w in ("come", "comme", "conne", "celle")], "form string")
+    lines = spark.createDataFrame([(1, "celle comne"), (2, "comne celle"), (3, "cele")], "id int, t string")
+
+    def probabilities(asked):
+        return [[{"come": None, "comme": 0.2, "conne": 0.2 + 0.1 * i}.get(c) for c in found] for _, i, found in asked]
+
+    got = {r.id: r.corrected for r in lexicon.correct_lines(lines, ["id"], "t", lex, context=lexicon.most_probable(probabilities)).collect()}
+    assert got == {1: "celle conne", 2: "comme celle", 3: "celle"}
+    with pytest.raises(ImportError):
+        lexicon.masked_model("none")(pd.Series([["a"]]), pd.Series([0]), pd.Series([["b"]]))
+
+
 def test_draws_are_the_same(spark):
     import numpy as np
 
