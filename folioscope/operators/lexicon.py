@@ -98,13 +98,14 @@ def correct_lines(lines: DataFrame, keys: list[str], text: str, lexicon: DataFra
     each = each.select(*keys, "__tokens", "pos", "__a.before", "__a.core", "__a.after", F.lower("__a.core").alias("word"))
     unknown = each.where("word <> ''").join(lexicon.select(F.col("form").alias("word")), "word", "left_anti")
     found = candidates(unknown, lexicon, max_distance, compare=compare)
-    if context is None:
-        chosen = found.groupBy("word").agg(F.array_sort(F.collect_list(F.struct("rank", "form"))).alias("c")).join(scorer(found), "word")  # ten a word at most
-        fixed = unknown.join(chosen, "word").withColumn("c", F.transform("c", lambda x: x["form"]))
-    else:
-        listed = found.groupBy("word").agg(F.array_sort(F.collect_list(F.struct("rank", "form"))).alias("c"))
-        asked = unknown.join(listed, "word").withColumn("c", F.transform("c", lambda x: x["form"]))
-        fixed = asked.withColumn("best", F.coalesce(_asked(context)("__tokens", "pos", "c"), F.get("c", F.lit(0))))
+    listed = found.groupBy("word").agg(F.array_sort(F.collect_list(F.struct("rank", "form"))).alias("c"))  # ten a word at most
+    if context is None and scorer is not nearest_first:
+        listed = listed.join(scorer(found), "word")
+    fixed = unknown.join(listed, "word").withColumn("c", F.transform("c", lambda x: x["form"]))
+    if context is not None:
+        fixed = fixed.withColumn("best", F.coalesce(_asked(context)("__tokens", "pos", "c"), F.get("c", F.lit(0))))
+    elif scorer is nearest_first:
+        fixed = fixed.withColumn("best", F.get("c", F.lit(0)))
     change = F.struct("pos", F.concat("before", "core", "after").alias("original"), F.concat("before", "best", "after").alias("corrected"), "core", "best", F.col("c").alias("candidates"))
     changed = fixed.where(F.lower("best") != F.lower("core")).groupBy(*keys, "__tokens").agg(F.array_sort(F.collect_list(change)).alias("__changes"))
     own = (*keys, "__tokens")

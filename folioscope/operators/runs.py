@@ -63,7 +63,8 @@ def evaluate_contracts(pages: DataFrame, digits: int = 4, normalize=normalize_fo
     truth = F.coalesce(F.col("truth"), F.array().cast("array<string>"))
     placed = pages.withColumns({"lines": lines, "truth": truth, "n_lines_gt": F.size(truth).cast("bigint")}).drop("contract")
     scored = evaluate_pages(placed, normalize).withColumn("n_lines_kept", F.col("n_lines") - F.col("n_review"))
-    return scored.withColumns({c: F.round(c, digits) for c in ("mean_confidence", "cer_raw", "cer_reviewed", "cer_normalized")})
+    # Sums of decimals come out a little beside ties; nine places set them right.
+    return scored.withColumns({c: F.round(F.round(c, 9), digits) for c in ("mean_confidence", "cer_raw", "cer_reviewed", "cer_normalized")})
 
 
 def aggregate_pages(pages: DataFrame, by: list[str] | None = None) -> DataFrame:

@@ -599,12 +599,14 @@ def aggregate_pages(spark: SparkSession, d: str) -> DataFrame:
     return a.select("run_id", "n_pages", "n_lines", "n_review", "needs_review_rate", F.round("cer_raw", 6).alias("cer_raw"), F.round("cer_normalized", 6).alias("cer_normalized"))
 
 
+#: Rounded to four places by decimals, ties upwards, as binary sums come out a little beside ties.
+_PLACES = lambda x: f"CAST(round(CAST(round({x}, 9) AS DECIMAL(18, 9)), 4) AS DOUBLE)"
 _XML_PAGE = f"""WITH l AS (SELECT run_id, page, line_index, {_XML_TEXT} AS t, {_XML_TEXT.replace("text_raw", "text_gt")} AS g, coalesce(round(mean_confidence, 4), 0.0) AS mc FROM ({_L})),
-p AS (SELECT run_id, page, count(*) FILTER (t <> '') AS n_lines, count(*) FILTER (t <> '' AND mc < 0.7) AS n_review, count(*) FILTER (g <> '') AS n_lines_gt, coalesce(round(avg(mc) FILTER (t <> ''), 4), 0.0) AS mean_confidence,
+p AS (SELECT run_id, page, count(*) FILTER (t <> '') AS n_lines, count(*) FILTER (t <> '' AND mc < 0.7) AS n_review, count(*) FILTER (g <> '') AS n_lines_gt, coalesce({_PLACES("avg(mc) FILTER (t <> '')")}, 0.0) AS mean_confidence,
   coalesce(string_agg(t, ' ' ORDER BY line_index) FILTER (t <> ''), '') AS raw, coalesce(string_agg(t, ' ' ORDER BY line_index) FILTER (t <> '' AND mc >= 0.7), '') AS sure, coalesce(string_agg(g, ' ' ORDER BY line_index) FILTER (g <> ''), '') AS gt FROM l GROUP BY run_id, page),
 q AS (SELECT *, {_NORMAL("sure")} AS nsure, {_NORMAL("gt")} AS ngt FROM p)
-SELECT run_id, page, n_lines, n_lines - n_review AS n_lines_kept, n_lines_gt, n_review, mean_confidence, CASE WHEN gt = '' THEN 0.0 ELSE round({distance_sql("raw", "gt")} / length(gt), 4) END AS cer_raw,
-  CASE WHEN gt = '' THEN 0.0 ELSE round({distance_sql("sure", "gt")} / length(gt), 4) END AS cer_reviewed, CASE WHEN ngt = '' THEN 0.0 ELSE round({distance_sql("nsure", "ngt")} / length(ngt), 4) END AS cer_normalized FROM q"""
+SELECT run_id, page, n_lines, n_lines - n_review AS n_lines_kept, n_lines_gt, n_review, mean_confidence, CASE WHEN gt = '' THEN 0.0 ELSE {_PLACES(distance_sql("raw", "gt") + " / length(gt)")} END AS cer_raw,
+  CASE WHEN gt = '' THEN 0.0 ELSE {_PLACES(distance_sql("sure", "gt") + " / length(gt)")} END AS cer_reviewed, CASE WHEN ngt = '' THEN 0.0 ELSE {_PLACES(distance_sql("nsure", "ngt") + " / length(ngt)")} END AS cer_normalized FROM q"""
 
 
 @query(_XML_PAGE)

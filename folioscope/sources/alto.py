@@ -2,7 +2,7 @@
 
 Every TextLine of a page counts, in document order and however deep it lies. Pages of the usual nesting are read by
 `from_xml` with a declared schema, all in the JVM. Where that finds other numbers of lines or strings than the page
-has (nested blocks, several pages, lines outside of blocks), a reader of any nesting takes over, in Arrow batches that hold
+has, or lines beside blocks (deeper nesting, strings within strings), a reader of any nesting takes over, in Arrow batches that hold
 such pages alone. Namespaces are ignored; `text_any_nesting` with `strict` drops pages that are not in the version 4 namespace.
 """
 
@@ -24,8 +24,9 @@ NAMESPACE = "http://www.loc.gov/standards/alto/ns-v4#"
 
 _STRING = "struct<_CONTENT:string,Glyph:array<struct<_CONTENT:string,_GC:double>>>"
 _LINE = f"struct<_ID:string,_BASELINE:string,Shape:struct<Polygon:struct<_POINTS:string>>,String:array<{_STRING}>>"
-_SPACE = f"struct<TextBlock:array<struct<TextLine:array<{_LINE}>>>,TextLine:array<{_LINE}>>"
-SCHEMA = f"Description struct<sourceImageInformation:struct<fileName:string>>, Layout struct<Page:struct<_WIDTH:int,_HEIGHT:int,PrintSpace:{_SPACE}>>"
+_BLOCKS = f"array<struct<TextLine:array<{_LINE}>>>"
+_SPACE = f"struct<TextBlock:{_BLOCKS},TextLine:array<{_LINE}>,ComposedBlock:array<struct<TextBlock:{_BLOCKS}>>>"
+SCHEMA = f"Description struct<sourceImageInformation:struct<fileName:string>>, Layout struct<Page:array<struct<_WIDTH:int,_HEIGHT:int,PrintSpace:{_SPACE}>>>"
 
 #: What either reader gives: `words` are the strings right below the line, `deep` those at any depth.
 PAGE = "struct<image:string,width:int,height:int,lines:array<struct<id:string,words:array<string>,deep:array<string>,polygon:string,baseline:string,confidences:array<double>>>>"
@@ -39,11 +40,20 @@ def parse(xml: Column) -> Column:
     return F.from_xml(xml, SCHEMA, {"ignoreNamespace": "true", "ignoreSurroundingSpaces": "false", "mode": "PERMISSIVE"})
 
 
+def _once(value: Column, use) -> Column:
+    """`use` of a value that is computed once, however often `use` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _usual(page: Column) -> Column:
-    """PAGE of a page in the declared nesting."""
-    space = page["Layout"]["Page"]["PrintSpace"]
-    empty, no_strings = F.array().cast(f"array<{_LINE}>"), F.array().cast(f"array<{_STRING}>")
-    blocks = F.coalesce(F.flatten(F.transform(space["TextBlock"], lambda b: F.coalesce(b["TextLine"], empty))), empty)
+    """PAGE of a page in the declared nesting; null where lines stand beside blocks, so that their order is not known."""
+    empty, no_blocks, no_strings = (F.array().cast(t) for t in (f"array<{_LINE}>", _BLOCKS, f"array<{_STRING}>"))
+    of_blocks = lambda blocks: F.flatten(F.transform(F.coalesce(blocks, no_blocks), lambda b: F.coalesce(b["TextLine"], empty)))
+
+    def kinds(p: Column) -> Column:
+        space = p["PrintSpace"]
+        nested = F.flatten(F.transform(F.coalesce(space["ComposedBlock"], F.array().cast(f"array<struct<TextBlock:{_BLOCKS}>>")), lambda c: of_blocks(c["TextBlock"])))
+        return F.array(of_blocks(space["TextBlock"]), nested, F.coalesce(space["TextLine"], empty))
 
     def line(x: Column) -> Column:
         strings = F.coalesce(x["String"], no_strings)
@@ -52,10 +62,18 @@ def _usual(page: Column) -> Column:
         confidences = F.transform(F.filter(glyphs, lambda g: g["_GC"].isNotNull()), lambda g: g["_GC"])
         return F.struct(x["_ID"].alias("id"), words.alias("words"), words.alias("deep"), x["Shape"]["Polygon"]["_POINTS"].alias("polygon"), x["_BASELINE"].alias("baseline"), confidences.alias("confidences"))
 
-    layout = page["Layout"]["Page"]
-    lines = F.transform(F.concat(blocks, F.coalesce(space["TextLine"], empty)), line)
-    mixed = (F.size(blocks) > 0) & (F.size(F.coalesce(space["TextLine"], empty)) > 0)
-    return F.when(page["Layout"].isNotNull() & ~mixed, F.struct(page["Description"]["sourceImageInformation"]["fileName"].alias("image"), layout["_WIDTH"].alias("width"), layout["_HEIGHT"].alias("height"), lines.alias("lines")))
+    # Inner functions name their own argument alone: copies of an expression are known as such only then.
+    def gathered(p: Column) -> Column:
+        pages = F.coalesce(p["Layout"]["Page"], F.array().cast(f"array<struct<_WIDTH:int,_HEIGHT:int,PrintSpace:{_SPACE}>>"))
+        head = p["Description"]["sourceImageInformation"]["fileName"]
+        return F.struct(p["Layout"].isNotNull().alias("there"), head.alias("image"), F.get(pages, F.lit(0)).alias("first"), F.transform(pages, kinds).alias("found"))
+
+    def made(x: Column) -> Column:
+        mixed = F.exists(x["found"], lambda k: F.size(F.filter(k, lambda lines: F.size(lines) > 0)) > 1)
+        page = F.struct(x["image"], x["first"]["_WIDTH"].alias("width"), x["first"]["_HEIGHT"].alias("height"), F.transform(F.flatten(F.flatten(x["found"])), line).alias("lines"))
+        return F.when(x["there"] & ~mixed, page)
+
+    return _once(_once(page, gathered), made)
 
 
 def _local(tag) -> str:
@@ -91,24 +109,32 @@ def read_any(xml: str | None) -> dict | None:
 
 
 def _any(xml: Column) -> Column:
-    fields = ("image", "width", "height", "lines")
+    """PAGE by `read_any`, in an array of one; null for null and for what is no XML."""
 
-    @F.pandas_udf(PAGE)
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf(f"array<{PAGE}>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
             read = [None if t is None else read_any(t) for t in s]
-            yield pd.DataFrame({f: pd.Series([None if r is None else r[f] for r in read], dtype="Int64" if f in ("width", "height") else object) for f in fields})
+            yield pd.Series([None if r is None else [r] for r in read], dtype=object)
 
     return run(xml)
 
 
+def _either(xml: Column, use) -> Column:
+    """`use` of a page's PAGE by whichever reader fits; null for what is no XML and for null."""
+    count = lambda tag: F.regexp_count(xml, F.lit(rf"<(?:[\w.-]+:)?{tag}[\s/>]"))
+
+    def checked(p: Column) -> Column:
+        return F.when((F.size(p["lines"]) == count("TextLine")) & (F.aggregate(p["lines"], F.lit(0), lambda n, x: n + F.size(x["words"])) == count("String")), p)
+
+    usual = _once(_usual(parse(xml)), checked)
+    other = F.get(_any(F.when(usual.isNull(), xml)), F.lit(0))
+    return F.coalesce(_once(usual, lambda p: F.when(p.isNotNull(), use(p))), F.when(other.isNotNull(), use(other)))
+
+
 def read_page(xml: Column) -> Column:
     """PAGE of a page; null for what is no XML and for null."""
-    usual = _usual(parse(xml))
-    lines, strings = (F.regexp_count(xml, F.lit(rf"<(?:[\w.-]+:)?{tag}[\s/>]")) for tag in ("TextLine", "String"))
-    whole = usual.isNotNull() & (F.size(usual["lines"]) == lines) & (F.aggregate(usual["lines"], F.lit(0), lambda n, x: n + F.size(x["words"])) == strings)
-    other = _any(F.when(~F.coalesce(whole, F.lit(False)), xml))
-    return F.when(whole, usual).when(other["lines"].isNotNull(), other)
+    return _either(xml, lambda p: p)
 
 
 def _text(words: Column) -> Column:
@@ -155,7 +181,7 @@ def to_contract(pages: DataFrame, xml: str = "xml", review_threshold: float = RE
 
 def true_lines(xml: Column) -> Column:
     """Texts of the lines of a page that have any; null for what is no XML."""
-    return F.filter(F.transform(read_page(xml)["lines"], lambda x: _text(x["deep"])), lambda t: t != "")
+    return _either(xml, lambda p: F.filter(F.transform(p["lines"], lambda x: _text(x["deep"])), lambda t: t != ""))
 
 
 def plain_text(xml: Column) -> Column:
@@ -174,14 +200,17 @@ def baselines(xml: Column, name: Column | None = None) -> Column:
 
     The image is the page's file name without outer blanks, else `name` and `.jpg`, else null.
     """
-    p = read_page(xml)
-    kept = F.filter(p["lines"], lambda x: F.coalesce(x["baseline"], F.lit("")) != "")
-    image = F.when(strip(p["image"]) != "", strip(p["image"])).otherwise(F.concat(name, F.lit(".jpg")) if name is not None else F.lit(None))
-    return F.struct(
-        image.alias("image"),
-        F.transform(kept, lambda x: points(x["baseline"])).alias("baselines"),
-        F.transform(kept, lambda x: F.coalesce(F.get(x["words"], F.lit(0)), F.lit(""))).alias("texts"),
-    )
+
+    def read(p: Column) -> Column:
+        kept = F.filter(p["lines"], lambda x: F.coalesce(x["baseline"], F.lit("")) != "")
+        image = F.when(strip(p["image"]) != "", strip(p["image"])).otherwise(F.concat(name, F.lit(".jpg")) if name is not None else F.lit(None))
+        return F.struct(
+            image.alias("image"),
+            F.transform(kept, lambda x: points(x["baseline"])).alias("baselines"),
+            F.transform(kept, lambda x: F.coalesce(F.get(x["words"], F.lit(0)), F.lit(""))).alias("texts"),
+        )
+
+    return _either(xml, read)
 
 
 def segmenter_baselines(c: Column) -> Column:
