@@ -94,7 +94,7 @@ def correct_lines(lines: DataFrame, keys: list[str], text: str, lexicon: DataFra
     Only words that the lexicon lacks are joined with candidates, each distinct one searched once; a line takes its own changes back.
     """
     words = lines.select(*keys, tokens(F.col(text)).alias("__tokens")).where("size(__tokens) > 0")
-    each = words.distinct().select("*", F.posexplode("__tokens").alias("pos", "__token")).withColumn("__a", split_affixes(F.col("__token")))
+    each = words.select("*", F.posexplode("__tokens").alias("pos", "__token")).withColumn("__a", split_affixes(F.col("__token")))
     each = each.select(*keys, "__tokens", "pos", "__a.before", "__a.core", "__a.after", F.lower("__a.core").alias("word"))
     unknown = each.where("word <> ''").join(lexicon.select(F.col("form").alias("word")), "word", "left_anti")
     found = candidates(unknown, lexicon, max_distance, compare=compare)
@@ -107,7 +107,7 @@ def correct_lines(lines: DataFrame, keys: list[str], text: str, lexicon: DataFra
     elif scorer is nearest_first:
         fixed = fixed.withColumn("best", F.get("c", F.lit(0)))
     change = F.struct("pos", F.concat("before", "core", "after").alias("original"), F.concat("before", "best", "after").alias("corrected"), "core", "best", F.col("c").alias("candidates"))
-    changed = fixed.where(F.lower("best") != F.lower("core")).groupBy(*keys, "__tokens").agg(F.array_sort(F.collect_list(change)).alias("__changes"))
+    changed = fixed.where(F.lower("best") != F.lower("core")).groupBy(*keys, "__tokens").agg(F.array_sort(F.collect_set(change)).alias("__changes"))
     own = (*keys, "__tokens")
     other = changed.select(*[F.col(k).alias(f"__{n}") for n, k in enumerate(own)], "__changes")
     same = [F.col(k).eqNullSafe(F.col(f"__{n}")) for n, k in enumerate(own)]
