@@ -17,7 +17,7 @@ MANIFEST = "repo_id string, filter struct<language:string,century:int>, splits m
 _BOOTSTRAP = "struct<n_bootstrap:int,alpha:double,cer_ci95:array<double>,wer_ci95:array<double>>"
 REPORT = f"model string, test_set string, cer double, wer double, char_accuracy double, bootstrap {_BOOTSTRAP}, manuscripts map<string,struct<iou_mean:double,iou_share:double,n_lines:bigint,pages:bigint>>, raw string"
 #: Further fields of reports as they are shipped: rates of the best epoch, scores of manuscripts under other names.
-_SHIPPED = "validation_best struct<epoch:int,val_accuracy:double,cer:double,val_word_accuracy:double,wer:double>, segmentation_iou struct<threshold:double,manuscripts:map<string,struct<title:string,mean_iou:double,pct_above_threshold:double,n_lines:bigint,n_pages:bigint>>,mean_iou:double,pct_above_threshold:double>, ketos_output string"
+_SHIPPED = "validation_best struct<epoch:int,val_accuracy:double,cer:double,val_word_accuracy:double,wer:double>, segmentation_iou struct<threshold:double,manuscripts:map<string,struct<title:string,mean_iou:double,pct_above_threshold:double,n_lines:bigint,n_pages:bigint>>,mean_iou:double,pct_above_threshold:double>"
 LISTING = "parquet_files array<struct<split:string,url:string,filename:string,size:bigint>>"
 METRICS = "epoch int, accuracy double, cer double, word_accuracy double, wer double, best_val_metric double"
 PREDICTIONS = "ref string, hyp string, image_path string"
@@ -90,13 +90,18 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_report(spark: SparkSession, path: str) -> DataFrame:
-    """A report of REPORT's fields, and best_epoch, iou_mean, iou_share; rates and manuscripts stand at the top or, as shipped, below."""
-    r = _json(spark, path, f"{REPORT}, {_SHIPPED}")
+    """A report of REPORT's fields, and best_epoch, iou_mean, iou_share; rates and manuscripts stand at the top or, as shipped, below.
+
+    The trainer's own words are the field `raw` or one whose name ends in `_output`.
+    """
+    further = f"{REPORT}, {_SHIPPED}"
+    text = spark.read.text(path, wholetext=True).where(F.col("value").rlike(r"\S")) if exists(spark, path) else _empty(spark, "value string")
+    r = text.select(F.from_json("value", further).alias("r"), F.map_filter(F.from_json("value", "map<string,string>"), lambda k, _: F.endswith(k, F.lit("_output"))).alias("said")).select("r.*", "said")
     best, seg = F.col("validation_best"), F.col("segmentation_iou")
     shipped = F.transform_values(seg["manuscripts"], lambda _, m: F.struct(m["mean_iou"].alias("iou_mean"), m["pct_above_threshold"].alias("iou_share"), m["n_lines"].alias("n_lines"), m["n_pages"].alias("pages")))
-    either = {"cer": best["cer"], "wer": best["wer"], "char_accuracy": best["val_accuracy"], "manuscripts": shipped, "raw": F.col("ketos_output")}
+    either = {"cer": best["cer"], "wer": best["wer"], "char_accuracy": best["val_accuracy"], "manuscripts": shipped, "raw": F.get(F.map_values("said"), F.lit(0))}
     out = r.withColumns({c: F.coalesce(c, other) for c, other in either.items()})
-    return out.withColumns({"best_epoch": best["epoch"], "iou_mean": seg["mean_iou"], "iou_share": seg["pct_above_threshold"]}).drop("validation_best", "segmentation_iou", "ketos_output")
+    return out.withColumns({"best_epoch": best["epoch"], "iou_mean": seg["mean_iou"], "iou_share": seg["pct_above_threshold"]}).drop("validation_best", "segmentation_iou", "said")
 
 
 def manuscripts_of(report: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ def test_shift_with_words(spark):
 
 
 def test_shipped_report(spark, tmp_path):
-    report = {"model": "m", "test_set": "t", "note": "n", "validation_best": {"epoch": 4, "val_accuracy": 0.95533, "cer": 0.04467, "val_word_accuracy": 0.764, "wer": 0.236}, "bootstrap": {"n_bootstrap": 1000, "alpha": 0.05, "cer_ci95": [0.0368, 0.053], "wer_ci95": [0.21, 0.262]}, "segmentation_iou": {"threshold": 0.75, "manuscripts": {"a": {"title": "A", "mean_iou": 0.7168, "pct_above_threshold": 0.381, "n_lines": 711, "n_pages": 4}}, "mean_iou": 0.7852, "pct_above_threshold": 0.654}, "ketos_output": "best"}
+    report = {"model": "m", "test_set": "t", "note": "n", "validation_best": {"epoch": 4, "val_accuracy": 0.95533, "cer": 0.04467, "val_word_accuracy": 0.764, "wer": 0.236}, "bootstrap": {"n_bootstrap": 1000, "alpha": 0.05, "cer_ci95": [0.0368, 0.053], "wer_ci95": [0.21, 0.262]}, "segmentation_iou": {"threshold": 0.75, "manuscripts": {"a": {"title": "A", "mean_iou": 0.7168, "pct_above_threshold": 0.381, "n_lines": 711, "n_pages": 4}}, "mean_iou": 0.7852, "pct_above_threshold": 0.654}, "trainer_output": "best"}
     (tmp_path / "r.json").write_text(json.dumps(report, indent=1))
     r = files.read_report(spark, str(tmp_path / "r.json"))
     assert tuple(r.select("model", "cer", "wer", "char_accuracy", "raw", "best_epoch", "iou_mean", "iou_share", "bootstrap.cer_ci95").first()) == ("m", 0.04467, 0.236, 0.95533, "best", 4, 0.7852, 0.654, [0.0368, 0.053])
