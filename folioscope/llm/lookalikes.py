@@ -108,11 +108,11 @@ def _spell(word: str, wanted: str, loosely: bool = False) -> str:
 
 
 def main_script(words: list[str]) -> str:
-    """The script that most letters of the words are coded in; words that may be Latin in disguise do not count. Latin on ties."""
+    """The script that most letters of the words are coded in; words that may be Latin in disguise do not count. Latin on ties, and if none counts."""
     counts: Counter[str] = Counter()
     for w in words:
         coded, common = (frozenset(("LATIN",)),) * 2 if w.isascii() else resolve(w)
-        if "LATIN" in coded or "LATIN" not in common:
+        if coded == {"LATIN"} or "LATIN" not in common:
             counts.update(map(script, filter(letter, w)))
     return max(counts, key=lambda k: (counts[k], k == "LATIN"), default="LATIN")
 

@@ -20,7 +20,8 @@ from folioscope.llm.privacy import NameModel, find_spans, plain_form, redact
         ("µέτρον", "μέτρον", ["whole_script"]),
         ("Россия роса", "Россия роса", []),
         ("сaо de la", "cao de la", ["mixed_script"]),
-        ("сaо", "сао", ["mixed_script"]),  # one Latin letter of three, no other word
+        ("сaо", "cao", ["mixed_script"]),  # no other word tells the script
+        ("Россия сaо", "Россия сао", ["mixed_script"]),
         ("braiteχάρις roi", "braiteχάρις roi", []),  # two words run together
         ("braiteχάρις rоi", "braiteχάρις roi", ["mixed_script"]),
         ("τοut", "tout", ["mixed_script"]),
